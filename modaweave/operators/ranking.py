@@ -40,11 +40,11 @@ def hash_rank(
     """
     by = list(by)
     work = df.withColumn("_h", seeded_key(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    counts = work.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(_before(by, "_b")), F.lit(0)))
+    counts = work.groupBy(*by, "_b").agg(F.count("*").alias("_cnt"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(_before(by, "_b")), F.lit(0)))
     if size:
-        offsets = offsets.withColumn(size, F.sum("_n").over(W.partitionBy(*by)))
-    offsets = offsets.drop("_n")
+        offsets = offsets.withColumn(size, F.sum("_cnt").over(W.partitionBy(*by)))
+    offsets = offsets.drop("_cnt")
     for col in by:
         offsets = offsets.withColumnRenamed(col, f"_o_{col}")
     offsets = offsets.withColumnRenamed("_b", "_o_b")

@@ -130,38 +130,46 @@ def yeo_johnson_inverse(y: Column, lam: float) -> Column:
     return F.when(y >= 0, pos).otherwise(neg)
 
 
-def box_cox(x: Column, lam: float) -> Column:
-    return F.when(x > 0, F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(float(lam))) - 1.0) / lam)
+def box_cox(x: Column, lam: float | Column) -> Column:
+    lam = lam if isinstance(lam, Column) else F.lit(float(lam))
+    return F.when(x > 0, F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam))
 
 
 def fit_power(df: DataFrame, features: Sequence[str], kind: str = "yeo-johnson", rounds: int = 5, width: int = 17) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
-    Each round evaluates a grid of exponents for all columns in one aggregate, then narrows the
+    Equal values are counted once up front.  Each round scores a grid of exponents for all columns
+    in one aggregate (the grid is a broadcast table of features x width rows), then narrows the
     interval around each winner.  Five rounds of 17 points resolve about 1e-4.
     """
     shape = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}[kind]
-    lo = dict.fromkeys(features, -3.0)
-    hi = dict.fromkeys(features, 5.0)
-    best = dict.fromkeys(features, 1.0)
-    for _ in range(rounds):
-        grids = {f: np.linspace(lo[f], hi[f], width) for f in features}
-        aggs = [F.count("*").alias("n")]
-        for i, f in enumerate(features):
-            x = _seen(f)
-            jac = F.signum(x) * F.log1p(F.abs(x)) if kind == "yeo-johnson" else F.when(x > 0, F.log(x))
-            aggs += [F.count(x).alias(f"k{i}"), F.sum(jac).alias(f"j{i}")]
-            aggs += [F.var_pop(shape(x, float(g))).alias(f"v{i}_{m}") for m, g in enumerate(grids[f])]
-        row = df.agg(*aggs).first()
-        for i, f in enumerate(features):
-            scores = []
-            for m, g in enumerate(grids[f]):
-                var = row[f"v{i}_{m}"]
-                ok = var is not None and var > 0 and math.isfinite(var)
-                scores.append(-row[f"k{i}"] / 2.0 * math.log(var) + (g - 1.0) * row[f"j{i}"] if ok else -math.inf)
-            at = int(np.argmax(scores))
-            best[f] = float(grids[f][at])
-            lo[f], hi[f] = float(grids[f][max(at - 1, 0)]), float(grids[f][min(at + 1, width - 1)])
+    spark = df.sparkSession
+    long = to_long(df.select(F.lit(0).alias("_k"), *[_seen(f).alias(f) for f in features]), ["_k"], features)
+    usable = F.col("value").isNotNull() if kind == "yeo-johnson" else F.col("value") > 0
+    x = F.col("value")
+    jac = F.signum(x) * F.log1p(F.abs(x)) if kind == "yeo-johnson" else F.log(x)
+    values = long.filter(usable).groupBy("feature", "value").agg(F.count("*").cast("double").alias("c")).withColumn("j", jac).persist()
+    lo, hi, best = dict.fromkeys(features, -3.0), dict.fromkeys(features, 5.0), dict.fromkeys(features, 1.0)
+    try:
+        for _ in range(rounds):
+            grid = spark.createDataFrame(
+                [(f, m, float(g)) for f in features for m, g in enumerate(np.linspace(lo[f], hi[f], width))], "feature string, m int, lam double"
+            )
+            t = values.join(F.broadcast(grid), "feature").withColumn("t", shape(x, F.col("lam")))
+            c = F.col("c")
+            # Weighted variance about the weighted mean, from per-value moments.
+            stats = t.groupBy("feature", "m", "lam").agg(
+                F.sum("c").alias("n"), F.sum(c * F.col("j")).alias("jac"), (F.sum(c * F.col("t")) / F.sum("c")).alias("mu"), F.sum(c * F.col("t") * F.col("t")).alias("ss")
+            )
+            var = F.col("ss") / F.col("n") - F.col("mu") * F.col("mu")
+            score = F.when(var > 0, -F.col("n") / 2.0 * F.log(var) + (F.col("lam") - 1.0) * F.col("jac")).otherwise(F.lit(float("-inf")))
+            scored = stats.withColumn("score", F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(score))
+            for r in scored.groupBy("feature").agg(F.max_by("m", F.struct("score", (-F.col("m")).alias("i"))).alias("m")).collect():
+                f, steps = r["feature"], np.linspace(lo[r["feature"]], hi[r["feature"]], width)
+                best[f] = float(steps[r["m"]])
+                lo[f], hi[f] = float(steps[max(r["m"] - 1, 0)]), float(steps[min(r["m"] + 1, width - 1)])
+    finally:
+        values.unpersist()
     return best
 
 
@@ -178,13 +186,12 @@ def apply_quantile(df: DataFrame, model: dict[str, list[float]], output: str = "
     """Piecewise-linear rank of each value among the knots, ties averaged from both sides."""
     from statistics import NormalDist
 
-    out = df
-    for f, knots in model.items():
+    def placer(knots: list[float]):
         grid = np.asarray(knots)
         ref = np.linspace(0, 1, len(grid))
 
         @F.pandas_udf("double")
-        def place(x: pd.Series, grid=grid, ref=ref) -> pd.Series:
+        def place(x: pd.Series) -> pd.Series:
             v = x.to_numpy(dtype="float64")
             up = np.interp(v, grid, ref)
             down = -np.interp(-v, -grid[::-1], -ref[::-1])
@@ -194,8 +201,9 @@ def apply_quantile(df: DataFrame, model: dict[str, list[float]], output: str = "
                 u = np.array([NormalDist().inv_cdf(p) if np.isfinite(p) else np.nan for p in u])
             return pd.Series(u)
 
-        out = out.withColumn(f, place(_x(f)))
-    return out
+        return place
+
+    return df.withColumns({f: placer(knots)(_x(f)) for f, knots in model.items()})
 
 
 def transform(df: DataFrame, features: Sequence[str], method: str, **kwargs) -> DataFrame:
