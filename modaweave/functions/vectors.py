@@ -10,6 +10,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` (a lambda would re-evaluate it)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def as_doubles(v: str | Column) -> Column:
     return _c(v).cast("array<double>")
 

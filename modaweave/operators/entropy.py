@@ -33,7 +33,7 @@ def maximum(bins: int) -> float:
 
 def bucket(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin 0..bins-1; the last bin includes the upper edge."""
-    raw = F.floor(F.try_divide((x - lo) * bins, hi - lo)).cast("int")
+    raw = F.floor(F.round(F.try_divide((x - lo) * bins, hi - lo), 9)).cast("int")
     return F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(bins - 1))
 
 
@@ -95,7 +95,8 @@ def distance_histogram(df: DataFrame, bits: str = "bits", id_col: str = "id", sa
             union = np.maximum(weight[i][:, None] + weight[None, :] - both, 1e-8)
             dist = 1.0 - both / union
             later = np.arange(len(m))[None, :] > i[:, None]
-            hist, _ = np.histogram(dist[later], bins=bins, range=(0.0, 1.0))
+            at = np.minimum(np.floor(np.round(dist[later] * bins, 9)).astype("int64"), bins - 1)
+            hist = np.bincount(at, minlength=bins)
             yield pd.DataFrame({"bin": np.arange(bins, dtype="int32"), "n": hist.astype("int64")})
 
     rows = spark.range(0, n, 1, spark.sparkContext.defaultParallelism).withColumnRenamed("id", "i")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,7 +30,7 @@ from .ranking import ordered_rank, top_per_group
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 8192
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 def _stack(s: pd.Series) -> np.ndarray:
@@ -67,12 +67,19 @@ def _reported(d: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.nd
 
 
 def _k_best(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column positions and distances of every entry up to the k-th distance, row by row."""
+    """Column positions and (12-digit) distances of the k smallest entries of each row; of equal
+    distances the earlier column stays, so columns in id order break ties by id."""
+    dist = np.round(dist, 12)
     if dist.shape[1] <= k:
-        cols = np.broadcast_to(np.arange(dist.shape[1]), dist.shape)
-        return cols, dist
-    kth = np.argpartition(dist, k - 1, axis=1)[:, :k]
-    return kth, np.take_along_axis(dist, kth, axis=1)
+        return np.broadcast_to(np.arange(dist.shape[1]), dist.shape), dist
+    cols = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    vals = np.take_along_axis(dist, cols, axis=1)
+    limit = vals.max(axis=1)
+    for i in np.flatnonzero((dist <= limit[:, None]).sum(axis=1) > k):
+        near = np.flatnonzero(dist[i] <= limit[i])
+        cols[i] = near[np.argsort(dist[i, near], kind="stable")[:k]]
+        vals[i] = dist[i, cols[i]]
+    return cols, vals
 
 
 def distinct_vectors(df: DataFrame, vec: str, id_col: str, keep: int) -> DataFrame:
@@ -136,7 +143,7 @@ def _fields(df: DataFrame, col: str) -> str:
 
 def _search_broadcast(corpus: DataFrame, asked: DataFrame, k: int, metric: str, p: float) -> DataFrame:
     kind_q, kind_c = _fields(asked, "vid"), _fields(corpus, "vid")
-    held = corpus.select("vid", "vec").toPandas()  # size checked by the caller
+    held = corpus.select("vid", "vec").toPandas().sort_values("vid")  # size checked by the caller
     payload = corpus.sparkSession.sparkContext.broadcast(
         (held["vid"].to_numpy(), _prepare(_stack(held["vec"]), metric) if len(held) else None)
     )
@@ -218,7 +225,7 @@ def _search_partitioned(corpus: DataFrame, asked: DataFrame, k: int, metric: str
     first = top_per_group(visits, ["vid"], [F.col("low"), F.col("cell"), F.col("block")], 2, "_r").drop("_r")
     # Round one: the closest blocks give each query a tight k-th distance ...
     probe = cut_lineage(_visit(first, blocks, asked, k, metric, p, kind_q, kind_c))
-    reached = top_per_group(probe, ["vid"], [F.col("_m"), F.col("nid")], k, "_r")
+    reached = top_per_group(probe, ["vid"], [F.col("distance"), F.col("nid")], k, "_r")
     limit = reached.groupBy("vid").agg(F.when(F.count("*") >= k, F.max("_m")).alias("limit"))
     # ... round two: only blocks that can still beat it.
     rest = (
@@ -228,7 +235,7 @@ def _search_partitioned(corpus: DataFrame, asked: DataFrame, k: int, metric: str
         .join(first.select("vid", "cell", "block"), ["vid", "cell", "block"], "left_anti")
     )
     found = probe.unionByName(_visit(rest, blocks, asked, k, metric, p, kind_q, kind_c))
-    return top_per_group(found, ["vid"], [F.col("_m"), F.col("nid")], k, "_r").select("vid", "nid", "distance")
+    return top_per_group(found, ["vid"], [F.col("distance"), F.col("nid")], k, "_r").select("vid", "nid", "distance")
 
 
 def _visit(visits: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, metric: str, p: float, kind_q: str, kind_c: str) -> DataFrame:
@@ -247,20 +254,20 @@ def _visit(visits: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, metri
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"vid": [], "nid": [], "distance": [], "_m": []})
+        c = c.sort_values("vid")
         a, b, ids = _prepare(_stack(q["vec"]), metric), _prepare(_stack(c["vec"]), metric), c["vid"].to_numpy()
         out = []
         step = max(1, (32 << 20) // (8 * len(b)))
         for s in range(0, len(a), step):
             d = pairwise(a[s : s + step], b, metric, p)
-            cols, vals = _k_best(d, k)
-            shown = np.take_along_axis(_reported(d, a[s : s + step], b, metric), cols, axis=1)
+            cols, vals = _k_best(_reported(d, a[s : s + step], b, metric), k)
             out.append(
                 pd.DataFrame(
                     {
                         "vid": np.repeat(q["vid"].to_numpy()[s : s + step], cols.shape[1]),
                         "nid": ids[cols.ravel()],
-                        "distance": shown.ravel(),
-                        "_m": vals.ravel(),
+                        "distance": vals.ravel(),
+                        "_m": np.take_along_axis(d, cols, axis=1).ravel(),
                     }
                 )
             )
@@ -392,8 +399,3 @@ def edges(neighbours: DataFrame) -> DataFrame:
     a, b = F.col("query"), F.col("neighbour")
     return neighbours.groupBy(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).agg(F.min("distance").alias("distance"))
 
-
-def similarity_column(a: str | Column, b: str | Column) -> Column:
-    from ..functions.vectors import cosine
-
-    return cosine(a, b)

@@ -10,8 +10,10 @@ Two layouts are used.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,16 +77,12 @@ def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return cut_lineage(laid)
 
 
-def _flip(col: str | Column) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
 def ordered_rank(
     df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "rank"
 ) -> DataFrame:
     """1-based row number in value order (``order`` must be total), optionally inside groups."""
     by = list(by)
-    laid = lay_out(df, [F.col(c) for c in by] + [_flip(c) for c in order])
+    laid = lay_out(df, [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order])
     counts = laid.groupBy("_pid").agg(F.count("*").alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(_before([], "_pid")), F.lit(0)).alias("_off"))
     base = F.shiftleft(F.col("_pid").cast("bigint"), 33)
@@ -104,7 +102,7 @@ def ordered_cumsum(
 ) -> DataFrame:
     """Inclusive running sums in value order (``order`` must be total), optionally inside groups."""
     by = list(by)
-    laid = lay_out(df, [F.col(c) for c in by] + [_flip(c) for c in order])
+    laid = lay_out(df, [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order])
     totals = laid.groupBy(*by, "_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     offsets = totals.select(
         *by, "_pid", *[F.coalesce(F.sum(f"_t_{v}").over(_before(by, "_pid")), F.lit(0)).alias(f"_o_{v}") for v in values]
@@ -126,35 +124,50 @@ def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str], names:
     )
 
 
-def exact_quantiles(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
-    """Linear-interpolated quantiles per group, columns ``q0 .. q{n-1}``.
+def exact_quantiles_long(long: DataFrame, probs: Sequence[float], by: str = "feature", value: str = "value") -> DataFrame:
+    """(by, i, q): the linear-interpolated quantile for each probability ``probs[i]``.
 
     Equal values are counted before the shuffle, so a hot value is one row; the remaining distinct
-    values are ranked over the whole cluster instead of inside one aggregation buffer.
+    values are ranked over the whole cluster instead of inside one aggregation buffer.  Only rows
+    that hold a wanted position go on.
     """
-    by = list(by)
-    counted = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    cum = ordered_cumsum(counted, [value], ["_c"], by, prefix="_cum")
-    totals = counted.groupBy(*by).agg(F.sum("_c").alias("_tot"))
-    cum = cum.join(totals, by)
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_tot") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda k: (F.col("_cum_c") - F.col("_c") <= k) & (F.col("_cum_c") > k)
-        aggs += [
-            F.max(F.when(at(lo), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(at(hi), F.col(value))).alias(f"_hi{i}"),
-            F.max(pos - lo).alias(f"_fr{i}"),
-        ]
-    picked = cum.groupBy(*by).agg(*aggs)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}")
-            for i in range(len(probs))
-        ],
-    )
+    share = np.asarray(probs, dtype="float64")
+    counted = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(by, value).agg(F.count("*").alias("_c"))
+    cum = ordered_cumsum(counted, [value], ["_c"], [by], prefix="_cum")
+    totals = counted.groupBy(by).agg(F.sum("_c").alias("_tot"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, g in pdf.groupby(by, sort=False):
+                pos = share * (g["_tot"].iat[0] - 1)
+                need = np.concatenate([np.floor(pos), np.ceil(pos)])
+                order = np.argsort(need, kind="stable")
+                end = g["_cum_c"].to_numpy()
+                lo = np.searchsorted(need[order], end - g["_c"].to_numpy(), "left")
+                hi = np.searchsorted(need[order], end, "left")
+                for row in np.flatnonzero(hi > lo):
+                    which = order[lo[row] : hi[row]]
+                    yield pd.DataFrame(
+                        {
+                            by: key,
+                            "i": (which % len(share)).astype("int32"),
+                            "upper": which >= len(share),
+                            "fraction": (pos - np.floor(pos))[which % len(share)],
+                            "at": float(g[value].iat[row]),
+                        }
+                    )
+
+    kind = dict(long.dtypes)[by]
+    found = cum.join(totals, by).select(by, F.col(value).cast("double").alias(value), "_c", "_cum_c", "_tot")
+    hits = found.mapInPandas(pick, f"`{by}` {kind}, i int, upper boolean, fraction double, at double")
+    low, high = F.max(F.when(~F.col("upper"), F.col("at"))), F.max(F.when(F.col("upper"), F.col("at")))
+    return hits.groupBy(by, "i").agg((low + (high - low) * F.max("fraction")).alias("q"))
+
+
+def exact_quantiles(long: DataFrame, probs: Sequence[float], by: str = "feature", value: str = "value") -> DataFrame:
+    """The same, one row per group with columns ``q0 .. q{n-1}``."""
+    rows = exact_quantiles_long(long, probs, by, value)
+    return rows.groupBy(by).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))])
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:

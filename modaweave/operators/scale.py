@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import exact_quantiles, to_long
+from .ranking import exact_quantiles, exact_quantiles_long, to_long
 
 METHODS = ("standardize", "minmax", "robust", "pareto")
 
@@ -178,8 +178,10 @@ def fit_quantile(df: DataFrame, features: Sequence[str], knots: int = 1000) -> d
     n = df.count()
     m = max(2, min(knots, n))
     long = to_long(df.select(F.lit(0).alias("_k"), *[_seen(f).alias(f) for f in features]), ["_k"], features)
-    rows = exact_quantiles(long, list(np.linspace(0, 1, m))).collect()
-    return {r["feature"]: [r[f"q{i}"] for i in range(m)] for r in rows}
+    model: dict[str, list[float]] = {f: [] for f in features}
+    for row in exact_quantiles_long(long, list(np.linspace(0, 1, m))).orderBy("feature", "i").collect():
+        model[row["feature"]].append(row["q"])
+    return {f: k for f, k in model.items() if k}
 
 
 def apply_quantile(df: DataFrame, model: dict[str, list[float]], output: str = "uniform") -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_slot, seeded_key
+from ..functions.vectors import let
 from .ranking import ordered_rank
 
 PAD, OTHER = 0, 1
@@ -49,58 +51,62 @@ def extend_vocab(base: DataFrame, extra: DataFrame) -> DataFrame:
     return shared.unionByName(added)
 
 
-def encode(df: DataFrame, tokens: str, vocab: DataFrame, id_col: str = "id") -> DataFrame:
+def encode(df: DataFrame, tokens: str, vocab: DataFrame, id_col: str = "id", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(id, token_ids, length); unknown tokens get the id of ``<other>``.
 
-    Distinct (id, token) pairs are looked up, then mapped back onto the sequence in place, so the
-    sequence itself is never exploded by position and re-sorted.
+    A vocabulary of checked size is broadcast as a lookup and nothing is shuffled; a larger one is
+    joined by token and the sequence put together again by position.
     """
-    pairs = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    table = vocab.select("token", "token_id")
-    if vocab.count() <= BROADCAST_TOKENS:
-        found = pairs.join(F.broadcast(table), "token")
-    else:
-        found = pairs.join(table, "token")
-    # One map per sequence, no longer than the sequence itself.
-    maps = found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_m"))
-    return df.join(maps, F.col(id_col) == F.col("_id"), "left").select(
-        id_col,
-        F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(OTHER).cast("bigint"))).alias("token_ids"),
-        F.size(tokens).alias("length"),
-    )
+    if vocab.count() <= broadcast_tokens:
+        table = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
+        shared = df.sparkSession.sparkContext.broadcast(table)
+
+        @F.pandas_udf("array<bigint>")
+        def look_up(seqs: pd.Series) -> pd.Series:
+            get = shared.value.get
+            return pd.Series([[get(t, OTHER) for t in s] for s in seqs], dtype=object)
+
+        return df.select(id_col, look_up(tokens).alias("token_ids"), F.size(tokens).alias("length"))
+    cells = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
+    code = F.struct("pos", F.coalesce("token_id", F.lit(OTHER).cast("bigint")).alias("code"))
+    lists = cells.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), code))).alias("_s"))
+    return lists.select(id_col, F.transform("_s", lambda s: s["code"]).alias("token_ids"), F.size("_s").alias("length"))
 
 
 def mask_labels(df: DataFrame, token_ids: str = "token_ids", id_col: str = "id", share: float = 0.15, seed: int = 42) -> DataFrame:
     """(id, labels): ceil(share * n) seeded positions keep their id as label, the others are 0."""
-    pos = F.transform(
-        F.sequence(F.lit(0), F.size(token_ids) - 1),
-        lambda i: F.struct(seeded_key(F.concat_ws("#", F.col(id_col).cast("string"), i.cast("string")), seed).alias("h"), i.alias("i")),
-    )
+    key = lambda i: seeded_key(F.concat_ws("#", F.col(id_col).cast("string"), i.cast("string")), seed)
+    shuffled = F.array_sort(F.transform(token_ids, lambda t, i: F.struct(key(i).alias("h"), i.alias("i"), t.alias("t"))))
     n_mask = F.ceil(F.round(F.size(token_ids) * share, 9)).cast("int")
-    chosen = F.transform(F.slice(F.array_sort(pos), 1, n_mask), lambda s: s["i"])
-    labels = F.transform(token_ids, lambda t, i: F.when(F.array_contains(F.col("_chosen"), i), t).otherwise(F.lit(0).cast("bigint")))
-    return (
-        df.filter(F.size(token_ids) > 0)
-        .withColumn("_chosen", chosen)
-        .select(id_col, labels.alias("labels"), n_mask.alias("masked"))
+    zero = F.lit(0).cast("bigint")
+    # The position in the shuffled order decides; sorting by place restores the sequence.
+    marked = F.transform(shuffled, lambda s, r: F.struct(s["i"].alias("i"), F.when(r < n_mask, s["t"]).otherwise(zero).alias("t")))
+    return df.filter(F.size(token_ids) > 0).select(
+        id_col, F.transform(F.array_sort(marked), lambda s: s["t"]).alias("labels"), n_mask.alias("masked")
     )
 
 
 def context_tokens(df: DataFrame, tokens: str, id_col: str = "id") -> DataFrame:
     """(id, pos, context): each token with its sorted, counted direct neighbours, as in ``b_a1_c1``."""
-    rows = df.select(id_col, F.posexplode(tokens).alias("pos", "token"), F.col(tokens))
-    left = F.when(F.col("pos") > 0, F.get(F.col(tokens), F.col("pos") - 1))
-    right = F.get(F.col(tokens), F.col("pos") + 1)
-    rows = rows.withColumn("_l", left).withColumn("_r", right).drop(tokens)
-    both = (
-        F.when(F.col("_l").isNull() & F.col("_r").isNull(), F.array().cast("array<string>"))
-        .when(F.col("_l").isNull(), F.array(F.concat("_r", F.lit("1"))))
-        .when(F.col("_r").isNull(), F.array(F.concat("_l", F.lit("1"))))
-        .when(F.col("_l") == F.col("_r"), F.array(F.concat("_l", F.lit("2"))))
-        .when(F.col("_l") < F.col("_r"), F.array(F.concat("_l", F.lit("1")), F.concat("_r", F.lit("1"))))
-        .otherwise(F.array(F.concat("_r", F.lit("1")), F.concat("_l", F.lit("1"))))
+    gap = F.array(F.lit(None).cast("string"))
+    n = F.size(tokens)
+    zipped = F.arrays_zip(
+        F.col(tokens).alias("token"),
+        F.concat(gap, F.slice(tokens, 1, F.greatest(n - 1, F.lit(0)))).alias("l"),
+        F.concat(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), gap).alias("r"),
+    )
+    rows = df.filter(n > 0).select(id_col, F.posexplode(zipped).alias("pos", "_s"))
+    rows = rows.select(id_col, "pos", *[F.col("_s")[c].alias(f"_{c}") for c in ("token", "l", "r")])
+    one = lambda c: F.concat(F.col(c), F.lit("1"))
+    around = (
+        F.when(F.col("_l").isNull() & F.col("_r").isNull(), None)
+        .when(F.col("_l").isNull(), one("_r"))
+        .when(F.col("_r").isNull(), one("_l"))
+        .when(F.col("_l") == F.col("_r"), F.concat("_l", F.lit("2")))
+        .when(F.col("_l") < F.col("_r"), F.concat_ws("_", one("_l"), one("_r")))
+        .otherwise(F.concat_ws("_", one("_r"), one("_l")))
     )
-    return rows.select(id_col, "pos", F.concat_ws("_", F.col("token"), both).alias("context"))
+    return rows.select(id_col, "pos", F.concat_ws("_", "_token", around).alias("context"))
 
 
 def pattern_flags(df: DataFrame, text: str, patterns: Mapping[str, str]) -> DataFrame:
@@ -111,8 +117,10 @@ def pattern_flags(df: DataFrame, text: str, patterns: Mapping[str, str]) -> Data
 def shingles(tokens: str | Column, n: int = 2) -> Column:
     """Distinct runs of n tokens; a shorter sequence is one shingle."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    runs = lambda t: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")
+    )
+    return F.array_distinct(let(tokens, runs))
 
 
 def fingerprint_slots(df: DataFrame, tokens: str, id_col: str = "id", n: int = 2, slots: int = 2048) -> DataFrame:
@@ -128,7 +136,7 @@ def fingerprint_slots(df: DataFrame, tokens: str, id_col: str = "id", n: int = 2
 def fingerprint_bits(tokens: str | Column, n: int = 2, slots: int = 2048) -> Column:
     """Dense bit array of the same fingerprint, computed inside the row."""
     hit = F.array_distinct(F.transform(shingles(tokens, n), lambda s: hash_slot(s, slots).cast("int")))
-    return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.array_contains(hit, i).cast("tinyint"))
+    return let(hit, lambda h: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.array_contains(h, i).cast("tinyint")))
 
 
 def masked_mean_pool(df: DataFrame, key: str, vec: str, mask: str) -> DataFrame:

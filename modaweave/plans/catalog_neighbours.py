@@ -201,7 +201,7 @@ def _(spark, d):
 _TOTALS = "totals AS (SELECT id, CAST(sum(bit) AS DOUBLE) AS x FROM bits GROUP BY id), edge AS (SELECT min(x) AS lo, max(x) AS hi FROM totals)"
 
 
-@query("bit_count_entropy", "E4", with_(fx.BITS_SQL, _TOTALS) + _entropy_sql("SELECT least(floor((x - lo) * 20 / (hi - lo)), 19) AS b, count(*) AS n FROM totals CROSS JOIN edge GROUP BY 1"))
+@query("bit_count_entropy", "E4", with_(fx.BITS_SQL, _TOTALS) + _entropy_sql("SELECT least(floor(round((x - lo) * 20 / (hi - lo), 9)), 19) AS b, count(*) AS n FROM totals CROSS JOIN edge GROUP BY 1"))
 def _(spark, d):
     return entropy.bit_count(fx.fingerprints(spark, d))
 
@@ -214,14 +214,13 @@ def _(spark, d):
         "w AS (SELECT id, b, list_sum(b) AS n FROM fp)",
         "p AS (SELECT 1.0 - list_dot_product(x.b, y.b) / greatest(x.n + y.n - list_dot_product(x.b, y.b), 1e-8) AS dist FROM w x JOIN w y ON x.id < y.id)",
     )
-    + _entropy_sql("SELECT least(floor(dist * 50), 49) AS b, count(*) AS n FROM p GROUP BY 1"),
-    digits=3,
+    + _entropy_sql("SELECT least(floor(round(dist * 50, 9)), 49) AS b, count(*) AS n FROM p GROUP BY 1"),
 )
 def _(spark, d):
-    return entropy.distance(fx.fingerprints(spark, d)).filter("bins > 0")
+    return entropy.distance(fx.fingerprints(spark, d))
 
 
-@query("bit_frequency_entropy", "E6", with_(fx.BITS_SQL, _SHARES) + _entropy_sql("SELECT least(floor(p * 50), 49) AS b, count(*) AS n FROM shares GROUP BY 1"))
+@query("bit_frequency_entropy", "E6", with_(fx.BITS_SQL, _SHARES) + _entropy_sql("SELECT least(floor(round(p * 50, 9)), 49) AS b, count(*) AS n FROM shares GROUP BY 1"))
 def _(spark, d):
     return entropy.bit_frequency(fx.fingerprints(spark, d))
 
