@@ -101,7 +101,7 @@ MODEL_RULES = {
     "plsda_5 KNN": "(quality * 35 + doc_id % 65) % 100",
 }
 _RULE_ROWS = " UNION ALL ".join(
-    f"SELECT d.doc_id AS id, '{m}' AS model, CAST({e} AS DOUBLE) / 100 AS p, l.quality AS y, l.toxic, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    f"SELECT doc_id AS id, '{m}' AS model, CAST({e} AS DOUBLE) / 100 AS p, l.quality AS y, l.toxic, d.n_chars FROM documents d JOIN labels l USING (doc_id)"
     for m, e in MODEL_RULES.items()
 )
 FOLDS = """folds AS (SELECT doc_id AS id, ntile(5) OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS fold FROM labels)"""
@@ -150,6 +150,12 @@ def fingerprints(spark, d) -> DataFrame:
     return vectors(spark, d).withColumn("bits", bits_above("features")).select("id", "bits", "label", "cls")
 
 
+def grouped_vectors(spark, d) -> DataFrame:
+    """Vectors with the source of the document of the same id as their group."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"))
+    return vectors(spark, d).join(docs, "id")
+
+
 # -- texts --------------------------------------------------------------------------------------------------
 WORDS = "words AS (SELECT doc_id AS id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS tokens FROM documents)"
 
