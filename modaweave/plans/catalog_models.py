@@ -41,7 +41,7 @@ def _set(spark, d) -> tuple[ModalitySet, DataFrame]:
 
 
 # -- fusion ------------------------------------------------------------------------------------------------------
-@query("fusion_dispatch", "F0 F14")
+@query("fusion_dispatch", "F0 F14", " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) AS rows, CAST(4 AS BIGINT) AS width FROM embeddings" for m in ("pca", "rks", "plsda", "integrate")))
 def _(spark, d):
     v = cut_lineage(fx.vector_modalities(spark, d))
     out = [fuse.fuse(v, ["a", "b", "c"], m, 4, "label")[1].agg(F.count("*").alias("rows"), F.max(F.size("features")).alias("width")).select(F.lit(m).alias("method"), "rows", "width") for m in ("pca", "rks", "plsda", "integrate")]
@@ -149,7 +149,7 @@ def _(spark, d):
     return out.select("encoding_loss_a", "encoding_loss_b", "total_encoding_loss", "total_reconstruction_loss", "total_loss")
 
 
-@query("recompressed_widths", "F13")
+@query("recompressed_widths", "F13", " UNION ALL ".join(f"SELECT count(*) AS rows, CAST({k} AS BIGINT) AS width, CAST({k} AS BIGINT) AS k FROM embeddings" for k in (2, 4, 8, 16)))
 def _(spark, d):
     v = cut_lineage(fx.vector_modalities(spark, d))
     models = fuse.recompress(fuse.integrate(v, ["a", "b", "c"], 16), [2, 4, 8, 16])
@@ -203,9 +203,30 @@ _LEARNERS = (
 )
 _SMALL = {"AdaBoost": {"rounds": 3}, "Balanced Ensemble": {"size": 3, "rounds": 2}, "XGBoost": {"rounds": 5}, "Gradient Boosting": {"rounds": 5}, "MLP": {"rounds": 30}, "Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}}
 
+
+
+def _knn_sql(target, metric, k, weight):
+    """Neighbour learners can be stated in SQL: all pairs of the two split parts."""
+    return (
+        with_(
+            fx.VECTORS,
+            f"t AS (SELECT id, features, {target} AS label, row_number() OVER (ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) <= floor(round(0.75 * count(*) OVER (), 6)) AS train FROM vectors)",
+            f"p AS (SELECT q.id, q.label AS truth, n.id AS nid, n.label, {metric} AS dist FROM t q JOIN t n ON NOT q.train AND n.train)",
+            f"k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 12), nid) AS rk FROM p QUALIFY rk <= {k})",
+        )
+        + f"SELECT id, {r('max(truth)')} AS label, {r(f'sum(({weight}) * label) / sum({weight})')} AS p FROM k GROUP BY id"
+    )
+
+
+_GAPS = "list_transform(list_zip(q.features, n.features), lambda z: abs(z[1] - z[2]) ** {p})"
+_CHECKED = {
+    "k_neighbours": _knn_sql("CAST(label AS DOUBLE)", f"list_sum({_GAPS.format(p=3)}) ** (1.0 / 3)", 11, "1.0 / (dist + 1e-8)"),
+    "k_neighbours_regression": _knn_sql("features[1] * 3 - features[2] + features[3] * features[3] * 2", f"sqrt(list_sum({_GAPS.format(p=2)}))", 5, "1.0"),
+}
+
 for _name, _row, _learner, _task in _LEARNERS:
 
-    @query(f"learner_{_name}", _row)
+    @query(f"learner_{_name}", _row, _CHECKED.get(_name))
     def _(spark, d, learner=_learner, task=_task):
         data = cut_lineage(split.holdout(_vec(spark, d) if task == "classification" else _target(spark, d), 0.25))
         train, test = data.filter("split = 'train'").drop("split"), data.filter("split = 'test'").drop("split")
@@ -288,9 +309,9 @@ def _(spark, d):
     return studies.ensemble_predict(models, new, data.select("id"))
 
 
-@query("train_test_preparation", "V13 N15")
+@query("train_test_preparation", "V13 N15", with_(fx.COMMON, "n AS (SELECT count(*) AS n, CAST(floor(round(0.8 * count(*), 6)) AS BIGINT) AS cut FROM common)") + "SELECT 'train' AS part, cut AS rows, CAST(8 AS BIGINT) AS width FROM n UNION ALL SELECT 'test', n - cut, 8 FROM n")
 def _(spark, d):
-    ms = fx.modalities(spark, d).keep_common()
+    ms = fx.modalities(spark, d)
     tr, te = studies.prepared_train_test(ms, split.holdout(ms.common_ids()))
     rows = [s.assemble().agg(F.count("*").alias("rows"), F.max(F.size("features")).alias("width")).withColumn("part", F.lit(n)) for n, s in (("train", tr), ("test", te))]
     return rows[0].unionByName(rows[1])

@@ -340,7 +340,10 @@ def _(spark, d):
     return fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), g[0].alias("n_chars"), g[1].alias("n_words"))
 
 
-@query("batch_inference", "W10")
+_F0 = r("(CAST(('0x' || substr(sha256(text), 1, 2)) AS BIGINT) + 256 * CAST(('0x' || substr(sha256(text), 3, 2)) AS BIGINT)) / 65536.0")
+
+
+@query("batch_inference", "W10", f"SELECT doc_id AS id, {_F0} AS f0, CAST(NULL AS VARCHAR) AS error FROM documents")
 def _(spark, d):
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     good, bad = infer.good_and_rejects(infer.embed(docs, "text", infer.hash_model(4)))
@@ -353,7 +356,7 @@ def _(spark, d):
     return tokens.masked_mean_pool(fx.vectors(spark, d), "cls", "features", "label")
 
 
-@query("inference_over_distinct", "W12")
+@query("inference_over_distinct", "W12", f"SELECT doc_id AS id, {_F0} AS f0 FROM documents")
 def _(spark, d):
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return infer.embed_distinct(docs, "text", infer.hash_model(4)).select("id", F.col("features")[0].alias("f0"))
@@ -407,7 +410,7 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("stream_scoring", "ST4")
+@query("stream_scoring", "ST4", f"SELECT doc_id, {_F0} AS f0 FROM documents")
 def _(spark, d):
     from ..streaming import ingest
 

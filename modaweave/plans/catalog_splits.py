@@ -161,7 +161,10 @@ def _rare(spark, d):
     return fx.vectors(spark, d).select("id", (F.col("cls") == 0).cast("int").alias("label"), "features")
 
 
-@query("smote", "S18")
+_RARE = "c AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM embeddings GROUP BY 1)"
+
+
+@query("smote", "S18", with_(_RARE) + "SELECT label, false AS synthetic, n FROM c UNION ALL SELECT arg_min(label, n), true, max(n) - min(n) FROM c HAVING max(n) > min(n)")
 def _(spark, d):
     return sample.smote(_rare(spark, d)).groupBy("label", "synthetic").agg(F.count("*").alias("n"))
 

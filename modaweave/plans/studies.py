@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..operators import fuse as fusion
 from ..operators import groupsplit, learners, metrics, report, sample, split
-from ..operators.impute import fill_values, fill_with
 from ..operators.linalg import vector_mean
 from ..operators.modality import ModalitySet
 from ..operators.neighbours import knn, majority_vote, weighted_votes, with_labels
@@ -308,33 +307,36 @@ def prepare(ms: ModalitySet, threshold: float = 100.0, impute: str = "mean", sca
 
 
 def _mean_fill_standardise(df: DataFrame, features: Sequence[str], id_col: str, threshold: float) -> DataFrame:
+    return df.select(id_col, *_mean_std_columns(df, features, threshold))
+
+
+def _mean_std_columns(fit_on: DataFrame, features: Sequence[str], threshold: float = 100.0) -> list:
+    """Fill-and-standardise expressions for the features dense enough in ``fit_on``."""
     from ..operators.profile import absent, sparse_cutoff
 
-    seen = {f: F.when(~absent(df, f), F.col(f).cast("double")) for f in features}
+    seen = {f: F.when(~absent(fit_on, f), F.col(f).cast("double")) for f in features}
     aggs = [F.count("*").alias("n")]
     for i, f in enumerate(features):
         aggs += [F.count(seen[f]).alias(f"c{i}"), F.avg(seen[f]).alias(f"m{i}"), F.var_pop(seen[f]).alias(f"v{i}")]
-    row = df.agg(*aggs).first()
+    row = fit_on.agg(*aggs).first()
     need = sparse_cutoff(row["n"], threshold)
-    cols = [F.col(id_col)]
+    cols = []
     for i, f in enumerate(features):
         if row[f"c{i}"] >= need:
             sd = (row[f"v{i}"] * row[f"c{i}"] / row["n"]) ** 0.5 or 1.0
             cols.append(((F.coalesce(seen[f], F.lit(row[f"m{i}"])) - F.lit(row[f"m{i}"])) / F.lit(sd)).alias(f))
-    return df.select(*cols)
+    return cols
 
 
 def prepared_train_test(ms: ModalitySet, split_table: DataFrame) -> tuple[ModalitySet, ModalitySet]:
-    """Fill and scale with statistics of the training rows only."""
-    from ..operators.scale import fit
+    """Fill and scale with statistics of the training rows only.
 
-    parts = split.apply_split(ms.tables, split_table)
+    Each aligned modality is written once, then read for its statistics and for both outputs.
+    """
     train, test = {}, {}
-    for n, df in parts.items():
-        feats = ms.features(n)
-        tr, te = df.filter("split = 'train'").drop("split"), df.filter("split = 'test'").drop("split")
-        values = fill_values(tr, feats, "mean")
-        tr, te = fill_with(tr, values), fill_with(te, values)
-        scaler = fit(tr, feats)
-        train[n], test[n] = scaler.transform(tr), scaler.transform(te)
+    for n, df in split.apply_split(ms.tables, cut_lineage(split_table), ms.id_col).items():
+        df = cut_lineage(df)
+        cols = _mean_std_columns(df.filter("split = 'train'"), ms.features(n))
+        train[n] = df.filter("split = 'train'").select(ms.id_col, *cols)
+        test[n] = df.filter("split <> 'train'").select(ms.id_col, *cols)
     return ModalitySet(train, ms.id_col, ms.labels), ModalitySet(test, ms.id_col, ms.labels)
