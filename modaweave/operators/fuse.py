@@ -360,8 +360,8 @@ def tensor_fusion(df: DataFrame, stacks: Sequence[str], k: int, rounds: int = 50
 def spectral_embedding(edges: DataFrame, k: int, rounds: int = 30, seed: int = 42) -> DataFrame:
     """(id, features): leading non-trivial directions of the normalised neighbour graph.
 
-    Orthogonal iteration where the graph stays a table: one join and one sum per round, written to
-    reliable storage every few rounds; only k x k products reach the driver.
+    Orthogonal iteration where the graph stays a table: one join and one sum per round, each round
+    written to reliable storage; only k x k products reach the driver.
     """
     from ..functions.hashing import unit_interval
     from ..session import cut_lineage
@@ -380,15 +380,14 @@ def spectral_embedding(edges: DataFrame, k: int, rounds: int = 30, seed: int = 4
             *[unit_interval(F.md5(F.concat_ws("|", F.lit(f"{seed}-{j}"), F.col("src").cast("string")))) - 0.5 for j in range(k)],
         ).alias("features"),
     )
-    x = cut_lineage(_orthonormal(x))
-    for i in range(rounds):
+    x = _orthonormal(x)
+    for _ in range(rounds):
         step = graph.join(x.withColumnRenamed("id", "dst"), "dst").select(
             F.col("src").alias("id"), array_to_vector(F.transform("features", lambda v: v * F.col("w"))).alias("v")
         )
         summed = step.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
         # The half-step shift keeps the spectrum positive, so the largest directions win.
         x = _orthonormal(x.join(summed, "id").select("id", F.zip_with("features", "s", lambda a, b: 0.5 * a + 0.5 * b).alias("features")))
-        x = cut_lineage(x) if i % 3 == 2 or i == rounds - 1 else x
     return x.select("id", F.slice("features", 2, wide - 1).alias("features"))
 
 

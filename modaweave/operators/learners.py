@@ -283,13 +283,26 @@ class NetLearner:
 
 
 @dataclass
-class RidgeLearner:
-    """The penalty is given per table, Spark's is per row: alpha / n."""
+class PenalisedLearner:
+    """Least squares with the usual penalties: alpha * (l1 |w| + (1 - l1)/2 |w|^2) per row, or, with
+    ``per_table``, alpha |w|^2 on the summed error (ridge).
+
+    Spark fits on a label divided by its deviation, which leaves an L1 penalty alone and divides an
+    L2 penalty by that deviation, so the two parts are converted separately.
+    """
 
     alpha: float = 1.0
+    l1: float = 0.0
+    per_table: bool = False
 
     def fit(self, df: DataFrame) -> Model:
-        est = R.LinearRegression(featuresCol="_f", labelCol="label", regParam=self.alpha / max(df.count(), 1), standardization=False)
+        row = df.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd")).first()
+        alpha = self.alpha / max(row["n"], 1) if self.per_table else self.alpha
+        one, two = alpha * self.l1, alpha * (1.0 - self.l1) * (row["sd"] or 1.0)
+        total = one + two
+        est = R.LinearRegression(
+            featuresCol="_f", labelCol="label", regParam=total, elasticNetParam=one / total if total else 0.0, standardization=False
+        )
         return SparkModel(est.fit(_vec(df)), "prediction")
 
 
@@ -316,9 +329,9 @@ CLASSIFIERS: dict[str, Callable[..., Any]] = {
 
 REGRESSORS: dict[str, Callable[..., Any]] = {
     "Linear Regression": lambda: SparkLearner(lambda: R.LinearRegression(standardization=False), "prediction"),
-    "Ridge": lambda alpha=1.0: RidgeLearner(alpha),
-    "Lasso": lambda alpha=1.0: SparkLearner(lambda: R.LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False), "prediction"),
-    "ElasticNet": lambda alpha=1.0, l1=0.5: SparkLearner(lambda: R.LinearRegression(regParam=alpha, elasticNetParam=l1, standardization=False), "prediction"),
+    "Ridge": lambda alpha=1.0: PenalisedLearner(alpha, per_table=True),
+    "Lasso": lambda alpha=1.0: PenalisedLearner(alpha, 1.0),
+    "ElasticNet": lambda alpha=1.0, l1=0.5: PenalisedLearner(alpha, l1),
     "Decision Tree": lambda max_depth=5, min_rows=1: SparkLearner(lambda: R.DecisionTreeRegressor(maxDepth=max_depth, minInstancesPerNode=min_rows, seed=42), "prediction"),
     "Random Forest": lambda trees=20, max_depth=5: SparkLearner(lambda: R.RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=42), "prediction"),
     "Gradient Boosting": lambda rounds=20, max_depth=3: SparkLearner(lambda: R.GBTRegressor(maxIter=rounds, maxDepth=max_depth, seed=42), "prediction"),
@@ -326,7 +339,7 @@ REGRESSORS: dict[str, Callable[..., Any]] = {
     "Extra Trees": lambda trees=20, max_depth=5: SparkLearner(lambda: R.RandomForestRegressor(numTrees=trees, maxDepth=max_depth, bootstrap=False, seed=42), "prediction"),
     "K Neighbors": lambda k=5, p=2.0, weights="uniform": NeighbourLearner(k, p, weights),
     "Support Vector Machine": lambda: KernelLearner(SparkLearner(lambda: R.LinearRegression(loss="huber", regParam=0.01), "prediction")),
-    "Kernel Ridge": lambda alpha=1.0: KernelLearner(RidgeLearner(alpha)),
+    "Kernel Ridge": lambda alpha=1.0: KernelLearner(PenalisedLearner(alpha, per_table=True)),
 }
 
 # Several boosting packages name one algorithm here.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import spread
@@ -14,22 +14,18 @@ from ..operators.ranking import hash_rank
 def save_embeddings(df: DataFrame, path: str, id_col: str = "id", vec: str = "features") -> int:
     """Write (id, vector) as Parquet; empty tables, null ids and vectors of uneven length fail.
 
-    The counts ride along with the write itself.
+    The check reads what was written, so the input is computed once.
     """
-    seen = Observation()
-    watched = df.select(id_col, vec).observe(
-        seen,
-        F.count("*").alias("rows"),
-        F.count(id_col).alias("ids"),
-        F.min(F.size(vec)).alias("low"),
-        F.max(F.size(vec)).alias("high"),
+    df.select(id_col, vec).write.mode("overwrite").parquet(path)
+    got = (
+        df.sparkSession.read.parquet(path)
+        .agg(F.count("*").alias("rows"), F.count(id_col).alias("ids"), F.min(F.size(vec)).alias("low"), F.max(F.size(vec)).alias("high"))
+        .first()
     )
-    watched.write.mode("overwrite").parquet(path)
-    got = seen.get
     if not got["rows"]:
         raise ValueError("no rows to save")
     if got["rows"] != got["ids"] or got["low"] != got["high"]:
-        raise ValueError(f"inconsistent table: {got}")
+        raise ValueError(f"inconsistent table: {got.asDict()}")
     return got["rows"]
 
 
