@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 ModelFn = Callable[[list[str]], np.ndarray]
 
 
@@ -53,7 +55,8 @@ def embed(df: DataFrame, text: str, model: ModelFn, id_col: str = "id", batch: i
                     res = [one(t) for t in texts]
                 yield pd.DataFrame({id_col: part[id_col].to_numpy(), "features": [r[0] for r in res], "error": [r[1] for r in res]})
 
-    return df.select(id_col, text).mapInPandas(run, f"{id_col} {kind}, features array<double>, error string")
+    rows = df.select(id_col, text)
+    return (rows if rows.isStreaming else spread_small(rows)).mapInPandas(run, f"{id_col} {kind}, features array<double>, error string")
 
 
 def good_and_rejects(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:

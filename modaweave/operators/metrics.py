@@ -118,22 +118,19 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -
 def curve(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """One row per distinct score, from the highest: running tp and fp, tpr, fpr, precision, recall."""
     scored = _by_score(df, by, y, p)
-    cum = ordered_cumsum(scored, [F.desc(p)], ["pos", "neg"], by)
-    totals = scored.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    cum = cum.join(F.broadcast(totals), list(by)) if by else cum.withColumns({c: totals.select(c).scalar() for c in ("_P", "_N")})
+    cum = ordered_cumsum(scored, [F.desc(p)], ["pos", "neg"], by, total="all_")
     return cum.select(
         *by,
         F.col(p).alias("threshold"),
         F.col("cum_pos").alias("tp"),
         F.col("cum_neg").alias("fp"),
-        _ratio(_d("cum_pos"), _d("_P"), None).alias("tpr"),
-        _ratio(_d("cum_neg"), _d("_N"), None).alias("fpr"),
+        _ratio(_d("cum_pos"), _d("all_pos"), None).alias("tpr"),
+        _ratio(_d("cum_neg"), _d("all_neg"), None).alias("fpr"),
         _ratio(_d("cum_pos"), _d("cum_pos") + _d("cum_neg"), None).alias("precision"),
-        _ratio(_d("cum_pos"), _d("_P"), None).alias("recall"),
-        (F.col("pos") / F.col("_P")).alias("_gain"),
+        _ratio(_d("cum_pos"), _d("all_pos"), None).alias("recall"),
+        F.try_divide(_d("pos"), _d("all_pos")).alias("_gain"),
         F.col("pos").alias("_pos"),
         F.col("neg").alias("_neg"),
-        "_P",
     )
 
 

@@ -355,30 +355,46 @@ def nearest_donors(left: DataFrame, right: DataFrame, width: int, k: int, by: st
     )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = {"qid": [], "pos": [], "did": [], "dist": [], "value": []}
-        if len(a) and len(b):
-            x, y = _stack(a["v"]), _stack(b["v"])
-            ids = b["did"].to_numpy()
-            has = ~np.isnan(y)
-            y0 = np.where(has, y, 0.0)
-            for qid, row in zip(a["qid"].to_numpy(), x, strict=True):
-                own = ~np.isnan(row)
-                shared = has[:, own].sum(1)
-                sq = (np.where(has[:, own], y0[:, own] - row[own], 0.0) ** 2).sum(1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.sqrt(width / shared * sq)
-                usable = shared > 0
+        out = [pd.DataFrame({"qid": [], "pos": [], "did": [], "dist": [], "value": []})]
+        if not len(a) or not len(b):
+            return out[0]
+        b = b.sort_values("did")
+        x, y, qids, ids = _stack(a["v"]), _stack(b["v"]), a["qid"].to_numpy(), b["did"].to_numpy()
+        has = ~np.isnan(y)
+        # Rows with the same gaps share one distance matrix, filled feature by feature.
+        gaps = np.isnan(x)
+        patterns, member = np.unique(gaps, axis=0, return_inverse=True)
+        step = max(1, (32 << 20) // (8 * len(b)))
+        for i, gap in enumerate(patterns):
+            rows = np.flatnonzero(member.ravel() == i)
+            own = np.flatnonzero(~gap)
+            shared = has[:, own].sum(1)
+            factor = width / np.maximum(shared, 1)
+            for s in range(0, len(rows), step):
+                at = rows[s : s + step]
+                sq = np.zeros((len(at), len(b)))
+                for j in own:
+                    d = x[at, j][:, None] - np.where(has[:, j], y[:, j], 0.0)[None, :]
+                    sq += np.where(has[:, j], d * d, 0.0)
+                dist = np.sqrt(factor * sq)
+                dist[:, shared == 0] = np.inf
                 if exclude_self:
-                    usable = usable & (ids != qid)
-                for pos in np.flatnonzero(~own):
-                    ok = np.flatnonzero(usable & has[:, pos])
-                    take = ok[np.lexsort((ids[ok], dist[ok]))[:k]]
-                    cols["qid"] += [qid] * len(take)
-                    cols["pos"] += [int(pos)] * len(take)
-                    cols["did"] += list(ids[take])
-                    cols["dist"] += list(dist[take])
-                    cols["value"] += list(y[take, pos])
-        return pd.DataFrame(cols)
+                    dist[ids[None, :] == qids[at][:, None]] = np.inf
+                for pos in np.flatnonzero(gap):
+                    cols, vals = _k_best(np.where(has[:, pos], dist, np.inf), k)
+                    ok = np.isfinite(vals)
+                    out.append(
+                        pd.DataFrame(
+                            {
+                                "qid": np.repeat(qids[at], cols.shape[1])[ok.ravel()],
+                                "pos": int(pos),
+                                "did": ids[cols[ok]],
+                                "dist": vals[ok],
+                                "value": y[cols[ok], pos],
+                            }
+                        )
+                    )
+        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
 
     key = ["g", "b", "c"]
     cand = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(

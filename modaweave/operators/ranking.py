@@ -99,13 +99,18 @@ def ordered_cumsum(
     values: Sequence[str],
     by: Sequence[str] = (),
     prefix: str = "cum_",
+    total: str | None = None,
 ) -> DataFrame:
-    """Inclusive running sums in value order (``order`` must be total), optionally inside groups."""
+    """Inclusive running sums in value order (``order`` must be total), optionally inside groups.
+
+    ``total`` is a column prefix that adds each group's whole sum as well.
+    """
     by = list(by)
     laid = lay_out(df, [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order])
     totals = laid.groupBy(*by, "_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    wholes = [F.sum(f"_t_{v}").over(W.partitionBy(*by)).alias(f"{total}{v}") for v in values] if total else []
     offsets = totals.select(
-        *by, "_pid", *[F.coalesce(F.sum(f"_t_{v}").over(_before(by, "_pid")), F.lit(0)).alias(f"_o_{v}") for v in values]
+        *by, "_pid", *[F.coalesce(F.sum(f"_t_{v}").over(_before(by, "_pid")), F.lit(0)).alias(f"_o_{v}") for v in values], *wholes
     )
     inside = W.partitionBy(*by, "_pid").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
     out = laid
@@ -133,13 +138,12 @@ def exact_quantiles_long(long: DataFrame, probs: Sequence[float], by: str = "fea
     """
     share = np.asarray(probs, dtype="float64")
     counted = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(by, value).agg(F.count("*").alias("_c"))
-    cum = ordered_cumsum(counted, [value], ["_c"], [by], prefix="_cum")
-    totals = counted.groupBy(by).agg(F.sum("_c").alias("_tot"))
+    cum = ordered_cumsum(counted, [value], ["_c"], [by], prefix="_cum", total="_tot")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, g in pdf.groupby(by, sort=False):
-                pos = share * (g["_tot"].iat[0] - 1)
+                pos = share * (g["_tot_c"].iat[0] - 1)
                 need = np.concatenate([np.floor(pos), np.ceil(pos)])
                 order = np.argsort(need, kind="stable")
                 end = g["_cum_c"].to_numpy()
@@ -158,7 +162,7 @@ def exact_quantiles_long(long: DataFrame, probs: Sequence[float], by: str = "fea
                     )
 
     kind = dict(long.dtypes)[by]
-    found = cum.join(totals, by).select(by, F.col(value).cast("double").alias(value), "_c", "_cum_c", "_tot")
+    found = cum.select(by, F.col(value).cast("double").alias(value), "_c", "_cum_c", "_tot_c")
     hits = found.mapInPandas(pick, f"`{by}` {kind}, i int, upper boolean, fraction double, at double")
     low, high = F.max(F.when(~F.col("upper"), F.col("at"))), F.max(F.when(F.col("upper"), F.col("at")))
     return hits.groupBy(by, "i").agg((low + (high - low) * F.max("fraction")).alias("q"))

@@ -20,7 +20,7 @@ BROADCAST_TOKENS = 500_000
 def words(text: str | Column) -> Column:
     """Lower-cased words, split at single spaces; empty pieces dropped."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), " "), "")
 
 
 def token_counts(df: DataFrame, tokens: str | Column) -> DataFrame:

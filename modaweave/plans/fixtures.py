@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import bits_above
 from ..operators.modality import ModalitySet
+from ..session import spread_small
 
 BITS = 64
 
@@ -163,7 +164,8 @@ WORDS = "words AS (SELECT doc_id AS id, list_filter(string_split(lower(text), '
 def texts(spark, d) -> DataFrame:
     from ..operators.tokens import words
 
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), words("text").alias("tokens"))
+    docs = spread_small(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("id"), words("text").alias("tokens"))
 
 
 def vector_modalities(spark, d) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 from typing import Any
@@ -302,7 +303,10 @@ def prepare(ms: ModalitySet, threshold: float = 100.0, impute: str = "mean", sca
     labels = None if ms.labels is None else ms.labels.join(ids, ms.id_col, "left_semi")
     kept = ModalitySet({n: t.join(ids, ms.id_col, "left_semi") for n, t in ms.tables.items()}, ms.id_col, labels)
     if (impute, scale) == ("mean", "standardize"):
-        return kept.map(lambda n, t: _mean_fill_standardise(t, ms.features(n), ms.id_col, threshold))
+        # The modalities' statistics are separate jobs, so they may share the cluster.
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            jobs = {n: pool.submit(_mean_fill_standardise, t, ms.features(n), ms.id_col, threshold) for n, t in kept.tables.items()}
+            return ModalitySet({n: j.result() for n, j in jobs.items()}, ms.id_col, labels)
     return kept.drop_sparse_features(threshold).impute(impute).scale(scale)
 
 

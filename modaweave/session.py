@@ -58,3 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to be split into one piece per core.
+
+    Decided from the planned size: an input with at least one full split per core is left as the
+    scan divides it, so nothing large is ever shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if planned < cores * split else df

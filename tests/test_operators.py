@@ -344,6 +344,25 @@ def test_missing_columns_are_named(spark):
         readers.normalise_id(spark.createDataFrame([(1,)], "foo int"))
 
 
+def test_in_memory_list(spark):
+    rows = readers.from_list(spark, ["CCO", "C", "CCO"]).collect()
+    assert [(r["id"], r["entity"]) for r in rows] == [(0, "CCO"), (1, "C"), (2, "CCO")]
+
+
+def test_task_file_blanks_and_names(spark):
+    path = scratch_path(spark, "tasks")
+    spark.createDataFrame([("x", "1.5", ""), ("y", "", "0")], "smiles string, a string, b string").coalesce(1).write.option("header", True).csv(path)
+    df, names = readers.task_file(spark, path)
+    assert names == ["a", "b"] and {r["entity"]: r["targets"] for r in df.collect()} == {"x": [1.5, None], "y": [None, 0.0]}
+
+
+def test_benchmark_headers(spark):
+    for header in (("Drug_ID", "Drug", "Y"), ("ID", "X", "Y")):
+        path = scratch_path(spark, "tab")
+        spark.createDataFrame([("d1", "CCO", "1.0")], [*header]).write.option("header", True).option("sep", "\t").csv(path)
+        assert readers.benchmark_file(spark, path).collect()[0].asDict() == {"id": "d1", "entity": "CCO", "y": 1.0}
+
+
 def test_stream_moments_equal_batch(spark):
     from modaweave.operators.linalg import moments
     from modaweave.streaming import ingest
