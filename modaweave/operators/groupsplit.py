@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_key
 from ..session import cut_lineage
-from .ranking import ordered_cumsum, ordered_rank
+from .ranking import ordered_cumsum, ordered_rank, salted_join
 
 
 def group_sizes(df: DataFrame, group: str, id_col: str) -> DataFrame:
@@ -65,12 +65,16 @@ def _assign_by_size(df: DataFrame, group: str, id_col: str, train_cap_of, valid_
         .otherwise("test")
     )
     assigned = ranked.join(F.broadcast(table), "size").select(group, choice.alias("split"))
-    return attach(df, assigned, group)
+    return attach(df, assigned, group, id_col)
 
 
-def attach(df: DataFrame, assigned: DataFrame, group: str) -> DataFrame:
-    """Give every row its group's split; AQE splits a hot group's rows over several tasks."""
-    return df.join(assigned, group)
+def attach(df: DataFrame, assigned: DataFrame, group: str, id_col: str) -> DataFrame:
+    """Give every row its group's split: by broadcast while the groups are few, otherwise with
+    salted keys, so a hot group's rows spread over several tasks."""
+    kept = cut_lineage(assigned)
+    if kept.count() <= 100_000:
+        return df.join(F.broadcast(kept), group)
+    return salted_join(df, kept, group, id_col)
 
 
 def two_way(df: DataFrame, group: str, id_col: str = "id", train: float = 0.8) -> DataFrame:
@@ -126,7 +130,7 @@ def random_groups(df: DataFrame, group: str, id_col: str = "id", valid: float =
     in_valid = _fill_in_order(groups, int(valid * n))
     rest = cut_lineage(groups.filter(~in_valid))
     in_test = _fill_in_order(rest, int(test * n))
-    return attach(df, groups.select(group, F.when(in_valid, "valid").when(in_test, "test").otherwise("train").alias("split")), group)
+    return attach(df, groups.select(group, F.when(in_valid, "valid").when(in_test, "test").otherwise("train").alias("split")), group, id_col)
 
 
 def balanced_groups(df: DataFrame, group: str, id_col: str = "id", train: float = 0.8, valid: float = 0.1, test: float = 0.1, seed: int = 0) -> DataFrame:
@@ -139,4 +143,4 @@ def balanced_groups(df: DataFrame, group: str, id_col: str = "id", train: float
     in_train = _fill_in_order(groups, train * n)
     rest = cut_lineage(groups.filter(~in_train))
     in_valid = _fill_in_order(rest, valid * n)
-    return attach(df, groups.select(group, F.when(in_train, "train").when(in_valid, "valid").otherwise("test").alias("split")), group)
+    return attach(df, groups.select(group, F.when(in_train, "train").when(in_valid, "valid").otherwise("test").alias("split")), group, id_col)

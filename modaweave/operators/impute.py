@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import broadcast_small
 from .ranking import exact_quantiles, ordered_rank, to_long
 
 METHODS = ("mean", "median", "most_frequent", "interpolate", "knn")
@@ -58,7 +59,7 @@ def interpolate(df: DataFrame, features: Sequence[str], order: str) -> DataFrame
     )
     before = W.partitionBy("_blk").orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy("_blk").orderBy("_rn").rowsBetween(0, W.unboundedFollowing)
-    out = ranked.join(F.broadcast(edges), "_blk")
+    out = ranked.join(broadcast_small(edges), "_blk")
     fills = {}
     for f in features:
         prev = F.coalesce(F.last(f"_k_{f}", True).over(before), F.col(f"_pb_{f}"))
@@ -93,7 +94,7 @@ def knn(df: DataFrame, features: Sequence[str], id_col: str = "id", k: int = 5,
     means = src.groupBy(*keys).agg(*[F.avg(_clean(f)).alias(f"_m_{f}") for f in features])
     out = df.join(filled.withColumnRenamed("qid", id_col), id_col, "left")
     if by:
-        out = out.join(F.broadcast(means), by, "left")
+        out = out.join(broadcast_small(means), by, "left")
     else:
         out = out.withColumns({f"_m_{f}": means.select(f"_m_{f}").scalar() for f in features})
     fills = {f: F.coalesce(_clean(f), F.col("fill")[i], F.col(f"_m_{f}")) for i, f in enumerate(features)}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashing import seeded_key
-from ..session import cut_lineage
+from ..session import broadcast_small, cut_lineage
 from .ranking import ordered_rank, top_per_group
 
 BROADCAST_BYTES = 64 << 20
@@ -123,7 +123,9 @@ def knn(
     # At most k+1 candidates per distinct vector, kept as one array so copies share them.
     lists = short.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
     members = ask.select(F.col(id_col).alias("query"), F.col(vec).cast("array<double>").alias("vec"))
-    keyed = members.join(asked.withColumnRenamed("vec", "_v"), F.col("vec") == F.col("_v")).select("query", "vid")
+    # The hash comes first, so sorting and comparing rarely look into the vectors.
+    same = (F.xxhash64("vec") == F.xxhash64("_v")) & (F.col("vec") == F.col("_v"))
+    keyed = members.join(asked.withColumnRenamed("vec", "_v"), same).select("query", "vid")
     near = F.filter("near", lambda s: s["neighbour"] != F.col("query")) if own else F.col("near")
     return (
         keyed.join(lists, "vid")
@@ -207,18 +209,20 @@ def _search_partitioned(corpus: DataFrame, asked: DataFrame, k: int, metric: str
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, block, rows, near, far = table.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            dq = pairwise(_prepare(_stack(pdf["vec"]), metric), shared.value, metric, p)
-            for i in range(len(pdf)):
-                at = dq[i][cell]
+            step = max(1, (4 << 20) // len(cell))
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s : s + step]
+                at = pairwise(_prepare(_stack(part["vec"]), metric), shared.value, metric, p)[:, cell]
                 upper, lower = at + far, np.maximum(np.maximum(at - far, near - at), 0.0)
-                order = np.argsort(upper)
-                reach = np.searchsorted(np.cumsum(rows[order]), k)
-                bound = upper[order[min(reach, len(order) - 1)]] if rows.sum() >= k else np.inf
-                hit = np.flatnonzero(lower <= bound + SLACK)
+                # The k-th neighbour is no farther than the upper edge of the blocks that hold k rows.
+                bound = np.full(len(part), np.inf)
+                if rows.sum() >= k:
+                    order = np.argsort(upper, axis=1)
+                    reach = (np.cumsum(rows[order], axis=1) < k).sum(axis=1)
+                    bound = upper[np.arange(len(part)), order[np.arange(len(part)), reach]]
+                q, hit = np.nonzero(lower <= bound[:, None] + SLACK)
                 yield pd.DataFrame(
-                    {"vid": [pdf["vid"].iat[i]] * len(hit), "cell": cell[hit], "block": block[hit], "low": lower[hit]}
+                    {"vid": part["vid"].to_numpy()[q], "cell": cell[hit], "block": block[hit], "low": lower[q, hit]}
                 )
 
     visits = asked.mapInPandas(route, f"vid {kind_q}, cell int, block int, low double")
@@ -240,14 +244,15 @@ def _search_partitioned(corpus: DataFrame, asked: DataFrame, k: int, metric: str
 
 def _visit(visits: DataFrame, blocks: DataFrame, asked: DataFrame, k: int, metric: str, p: float, kind_q: str, kind_c: str) -> DataFrame:
     """k best per (query, block); one task sees one block and at most about CHUNK_ROWS queries."""
-    sizes = visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    # One row per block visited.
+    sizes = broadcast_small(visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")))
     routed = (
-        visits.join(F.broadcast(sizes), ["cell", "block"])
+        visits.join(sizes, ["cell", "block"])
         .withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
         .join(asked, "vid")
         .select("vid", "vec", "cell", "block", "chunk")
     )
-    copies = blocks.join(F.broadcast(sizes), ["cell", "block"]).select(
+    copies = blocks.join(sizes, ["cell", "block"]).select(
         "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vid", "vec"
     )
 
@@ -341,15 +346,15 @@ def nearest_donors(left: DataFrame, right: DataFrame, width: int, k: int, by: st
     donors = right.select("did", group.alias("g"), "v")
     sizes = donors.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nb"))
     asks = incomplete.groupBy("g").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("nc"))
-    shape = sizes.join(asks, "g")
+    shape = broadcast_small(sizes.join(asks, "g"))  # one row per class
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = (
-        incomplete.join(F.broadcast(shape), "g")
+        incomplete.join(shape, "g")
         .withColumn("c", F.pmod(F.xxhash64("qid"), F.col("nc")).cast("int"))
         .select("qid", "g", "v", "c", spread("nb").alias("b"))
     )
     d = (
-        donors.join(F.broadcast(shape), "g")
+        donors.join(shape, "g")
         .withColumn("b", F.pmod(F.xxhash64("did"), F.col("nb")).cast("int"))
         .select("did", "g", "v", "b", spread("nc").alias("c"))
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,6 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Write a table of group-level numbers and mark it for broadcast if it proved to be small;
+    otherwise it goes back as it is and joins by shuffle."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
