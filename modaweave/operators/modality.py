@@ -9,14 +9,15 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import impute as _impute
 from . import profile as _profile
 from . import scale as _scale
 
 
 class ModalitySet:
-    """Named feature tables sharing an id column, plus optional labels.  Every method is lazy
-    where the operation allows it and returns a new set."""
+    """Named feature tables sharing an id column, plus optional labels.  Methods
+    return a new set; they run jobs only where a statistic or the common id set is needed."""
 
     def __init__(self, tables: Mapping[str, DataFrame], id_col: str = "id", labels: DataFrame | None = None):
         if not tables:
@@ -42,8 +43,11 @@ class ModalitySet:
         return reduce(lambda a, b: a.join(b, self.id_col, "left_semi"), ids[1:], ids[0]).distinct()
 
     def keep_common(self) -> ModalitySet:
-        """Keep only ids every table has; an empty intersection stays empty."""
-        ids = self.common_ids()
+        """Keep only ids every table has; an empty intersection stays empty.
+
+        The id set is written once, as every table is filtered by it.
+        """
+        ids = cut_lineage(self.common_ids())
         keep = lambda df: df.join(ids, self.id_col, "left_semi")
         return ModalitySet(
             {n: keep(df) for n, df in self.tables.items()},

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashing import seeded_key
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage, layout_width
 
 
 def _before(by: Sequence[str], order: str) -> W:
@@ -67,7 +67,7 @@ def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     Adds ``_pid`` (range number, in order) and ``_seq`` (position over the whole layout).
     """
-    width = shuffle_width(df.sparkSession)
+    width = layout_width(df)
     laid = (
         df.repartitionByRange(width, *order)
         .sortWithinPartitions(*order)

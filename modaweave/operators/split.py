@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_key
+from ..session import cut_lineage
 from .ranking import hash_rank, ordered_rank
 
 
@@ -72,8 +73,9 @@ def predetermined(df: DataFrame, folds: DataFrame, test_fold: int, valid_fold: i
 
 
 def apply_split(tables: dict[str, DataFrame], split: DataFrame, id_col: str = "id") -> dict[str, DataFrame]:
-    """Attach the same split to every modality."""
+    """Attach the same split, written once, to every modality."""
     cols = [c for c in ("seed", "fold", "split") if c in split.columns]
+    split = cut_lineage(split.select(id_col, *cols))
     return {n: t.join(split.select(id_col, *cols), id_col) for n, t in tables.items()}
 
 

@@ -295,18 +295,15 @@ def ensemble_predict(models: Sequence[learners.Model], df: DataFrame, inputs: Da
 def prepare(ms: ModalitySet, threshold: float = 100.0, impute: str = "mean", scale: str = "standardize") -> ModalitySet:
     """Common ids, sparse features out, filled, scaled: the path in front of every fusion.
 
-    The common id set is written once.  With mean filling and standardising one aggregate per
-    modality gives everything: filling with the mean leaves the mean alone and shrinks the variance
+    With mean filling and standardising one aggregate per modality gives everything: filling with the mean leaves the mean alone and shrinks the variance
     by the share of present values.
     """
-    ids = cut_lineage(ms.common_ids())
-    labels = None if ms.labels is None else ms.labels.join(ids, ms.id_col, "left_semi")
-    kept = ModalitySet({n: t.join(ids, ms.id_col, "left_semi") for n, t in ms.tables.items()}, ms.id_col, labels)
+    kept = ms.keep_common()
     if (impute, scale) == ("mean", "standardize"):
         # The modalities' statistics are separate jobs, so they may share the cluster.
         with ThreadPoolExecutor(max_workers=4) as pool:
             jobs = {n: pool.submit(_mean_fill_standardise, t, ms.features(n), ms.id_col, threshold) for n, t in kept.tables.items()}
-            return ModalitySet({n: j.result() for n, j in jobs.items()}, ms.id_col, labels)
+            return ModalitySet({n: j.result() for n, j in jobs.items()}, ms.id_col, kept.labels)
     return kept.drop_sparse_features(threshold).impute(impute).scale(scale)
 
 
@@ -338,7 +335,7 @@ def prepared_train_test(ms: ModalitySet, split_table: DataFrame) -> tuple[Modali
     Each aligned modality is written once, then read for its statistics and for both outputs.
     """
     train, test = {}, {}
-    for n, df in split.apply_split(ms.tables, cut_lineage(split_table), ms.id_col).items():
+    for n, df in split.apply_split(ms.tables, split_table, ms.id_col).items():
         df = cut_lineage(df)
         cols = _mean_std_columns(df.filter("split = 'train'"), ms.features(n))
         train[n] = df.filter("split = 'train'").select(ms.id_col, *cols)

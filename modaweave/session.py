@@ -64,8 +64,15 @@ def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def planned_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def layout_width(df: DataFrame, per_range: int = 16 << 20) -> int:
+    """Ranges for an explicit layout: the configured shuffle width, fewer for a small input."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, planned_bytes(df) // per_range)))
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -77,5 +84,4 @@ def spread_small(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if planned < cores * split else df
+    return df.repartition(cores) if planned_bytes(df) < cores * split else df
