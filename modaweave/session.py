@@ -65,7 +65,11 @@ def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate; products over many joins are cut off at 2**62."""
+    try:
+        return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 62)
+    except ValueError:  # more digits than an int conversion accepts
+        return 1 << 62
 
 
 def layout_width(df: DataFrame, per_range: int = 16 << 20) -> int:
