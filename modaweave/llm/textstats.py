@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORDS, bounded_sample, held_out
 
@@ -87,7 +88,7 @@ def text_stats(text: str | None) -> tuple[list[int], list[float]]:
     return counts, ratios
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def stats_column(text: pd.Series) -> pd.Series:
     return pd.Series([[float(x) for x in c] + r for c, r in map(text_stats, text)])
 
