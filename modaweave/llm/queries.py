@@ -11,6 +11,7 @@ from .op2_language import op2
 from .op4_packing import op4
 from .op5_quality import op5
 from .op6_rules import op6
+from .op7_minhash import op7
 from .op8_mixing import op8
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,7 @@ QUERIES: dict[str, Run] = {
     "op4_packing": lambda spark, sf_dir: _on_documents(op4, tokenizer=tokenizer())(spark, sf_dir),
     "op5_quality": _on_documents(op5, "labels"),
     "op6_rules": _on_documents(op6, "labels"),
+    "op7_minhash": _on_documents(op7),
     "op8_mixing": _on_documents(op8),
 }
 
