@@ -1,0 +1,161 @@
+"""Secret scans with a random forest that removes false positives.
+
+Candidates are values assigned to a credential word, and long runs of token characters: 16 or more
+with a digit, 20 or more without.  Each gets features: length, transitions between character classes, share covered by
+the corpus's frequent words, path and neighbouring words.  A forest trained on labelled findings
+keeps the likely secrets.  Every step is a DataFrame or SQL function or a Spark ML stage.
+
+Null and empty texts have no candidates; texts are scanned whole, whatever their length.  Repeated
+rows are scanned one by one; equal values in a text are found at each place.  Empty tables give
+empty results.  Without labelled findings of both kinds every candidate is kept as a secret.
+Columns of other names are ignored; ``path_col`` may be missing.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_sample, stored
+
+# Credential words, words that speak against a secret, and published token prefixes.
+CREDENTIAL = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "bearer", "private_key")
+HARMLESS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "uuid", "sha1", "sha256", "md5", "checksum", "commit", "digest", "http", "https", "www", "iban", "phone", "call")
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "SG.", "eyJ")
+
+_KEY = "|".join(CREDENTIAL)
+_RUN = "[A-Za-z0-9+/_=\\-]"
+#: An assignment with its value, or a run of 16 token characters; possessive, so linear in the text.
+CANDIDATE = f"(?:(?i:{_KEY})[\"']?[ \\t]{{0,3}}[=:][ \\t]{{0,3}}[\"']?[^\\s\"']{{6,}}+)|(?:{_RUN}{{16,}}+)"
+ASSIGNED = f"^(?i:{_KEY})[\"']?[ \\t]{{0,3}}[=:][ \\t]{{0,3}}[\"']?(?=[^\\s\"'])"
+SIDE = 48
+MARK = "[SECRET]"
+
+FEATURES = ("length", "runs", "digit_share", "upper_share", "lower_share", "hex_share", "distinct_share", "coverage", "assigned", "prefix", "credential_near", "harmless_near", "path_test", "path_config")
+
+
+def frequent_words(docs: DataFrame, most: int = 500, least_chars: int = 4) -> list[str]:
+    """The ``most`` frequent words over all documents, letters only and lower case."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("w")).filter(F.length("w") >= least_chars)
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    return [r["w"] for r in counts.collect()]
+
+
+def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
+    """doc_id, _r, start (0-based), length, value, before, after, path of every candidate.
+
+    Matches come in order, so each is located from the end of the one before it.
+    """
+    path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "_r", "text", path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
+    found = rows.withColumn("_all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,m:string>>").alias("got"))
+
+    def place(acc: Column, m: Column) -> Column:
+        at = F.call_function("locate", m, F.col("text"), acc["next"])
+        return F.struct((at + F.length(m)).alias("next"), F.concat(acc["got"], F.array(F.struct(at.alias("at"), m.alias("m")))).alias("got"))
+
+    placed = found.withColumn("_m", F.explode(F.aggregate("_all", zero, place)["got"]))
+    head = F.length(F.regexp_extract(F.col("_m.m"), ASSIGNED, 0))
+    value = F.regexp_replace(F.substring(F.col("_m.m"), head + 1, F.length("_m.m")), "[.,;:!?)]+$", "")
+    at = F.col("_m.at") + head
+    out = placed.select(
+        "doc_id", "_r", "path", (at - 1).alias("start"), value.alias("value"), (head > 0).alias("assigned"),
+        F.substring(F.col("text"), F.greatest(at - SIDE, F.lit(1)), at - F.greatest(at - SIDE, F.lit(1))).alias("before"),
+        F.substring(F.col("text"), at + F.length(value), F.lit(SIDE)).alias("after"),
+    ).withColumn("length", F.length("value"))
+    return out.filter((F.col("assigned") & (F.col("length") >= 6)) | (F.col("value").rlike("[A-Za-z]") & (F.col("length") >= F.when(F.col("value").rlike("[0-9]"), 16).otherwise(20))))
+
+
+def with_features(found: DataFrame, words: list[str]) -> DataFrame:
+    """Candidates with the columns named in FEATURES, as doubles."""
+    v = F.col("value")
+    share = lambda cls: F.length(F.regexp_replace(v, f"[^{cls}]", "")) / F.col("length")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[^A-Za-z0-9]", "."), "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d")
+    runs = F.length(F.regexp_replace(kinds, "(.)\\1+", "$1"))
+    covered = F.lit(0.0) if not words else 1 - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(words, key=lambda w: (-len(w), w))), "")) / F.col("length")
+    near = F.lower(F.concat_ws(" ", "before", "after"))
+    has = lambda names: near.rlike("\\b(?:" + "|".join(names) + ")\\b")
+    start = reduce(lambda a, b: a | b, [v.startswith(p) for p in PREFIXES])
+    path = F.lower(F.coalesce("path", F.lit("")))
+    named = {
+        "runs": runs,
+        "digit_share": share("0-9"),
+        "upper_share": share("A-Z"),
+        "lower_share": share("a-z"),
+        "hex_share": share("0-9a-f"),
+        "distinct_share": F.size(F.array_distinct(F.split(v, ""))) / F.col("length"),
+        "coverage": covered,
+        "assigned": F.col("assigned"),
+        "prefix": start,
+        "credential_near": has(CREDENTIAL),
+        "harmless_near": has(HARMLESS),
+        "path_test": path.rlike("test|example|fixture|mock|doc"),
+        "path_config": path.rlike("env|conf|secret|deploy|settings"),
+    }
+    return found.select(*[c for c in found.columns if c not in named and c != "length"], F.col("length").cast("double").alias("length"), *[c.cast("double").alias(k) for k, c in named.items()])
+
+
+def confirmed_findings(found: DataFrame) -> DataFrame:
+    """Labelled findings where none are given: what a rule is sure of.
+
+    label 1: a published prefix with a mixed tail, or an assigned value of digits and letters that
+    no frequent word covers; label 0: harmless neighbours, values without a digit, and values that
+    neither are assigned nor mix classes often.  The rest stays unlabelled.
+    """
+    mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 0.9)
+    sure = ((F.col("prefix") == 1) & (F.col("upper_share") > 0.3) & mixed) | ((F.col("assigned") == 1) & mixed & (F.col("coverage") < 0.3) & (F.col("length") >= 12))
+    harmless = (F.col("harmless_near") == 1) | (F.col("digit_share") == 0) | ((F.col("assigned") == 0) & (F.col("prefix") == 0) & ((F.col("runs") <= 4) | (F.col("coverage") >= 0.3)))
+    return found.withColumn("label", F.when(sure & ~(F.col("harmless_near") == 1), 1.0).when(harmless & ~sure, 0.0)).filter("label is not null")
+
+
+def train(labelled: DataFrame, most: int = 5000, trees: int = 20, depth: int = 6, seed: int = 1) -> PipelineModel | None:
+    """A forest over about ``most`` labelled findings of each kind (FEATURES and label 0 or 1)."""
+    keys = [c for c in ("doc_id", "start") if c in labelled.columns]
+    rows = labelled.withColumn("_k", F.xxhash64(*[F.col(c) for c in keys], *[F.col(c) for c in FEATURES]))
+    sample = stored(bounded_sample(rows, "_k", most, "label", seed).select("label", *FEATURES).coalesce(4), "secret-findings")
+    if sample.select("label").distinct().count() < 2:
+        return None
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_x"), forest]).fit(sample)
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, path_col: str | None = "source", **settings) -> DataFrame:
+    """Findings in stored rows (_r, doc_id, text): candidate columns, score, is_secret."""
+    found = stored(with_features(candidates(docs, path_col), frequent_words(docs)), "secret-candidates")
+    model = train(labelled if labelled is not None else confirmed_findings(found), **settings)
+    if model is None:
+        return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+    out = model.transform(found).withColumn("score", vector_to_array("_p")[1]).drop("_x", "_raw", "_p", "_pred")
+    return out.withColumn("is_secret", F.col("score") >= threshold)
+
+
+def op1(docs: DataFrame, **settings) -> DataFrame:
+    """One row per finding; the value itself only as a digest."""
+    found = scan(docs.withColumn("_r", F.monotonically_increasing_id()), **settings)
+    return found.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
+def redacted(docs: DataFrame, mark: str = MARK, **settings) -> DataFrame:
+    """All documents with each secret replaced by ``mark``, n_chars kept true; columns as they came."""
+    keyed = stored(docs.withColumn("_secret_row", F.monotonically_increasing_id()), "secret-rows")
+    found = scan(keyed.withColumn("_r", F.col("_secret_row")), **settings).filter("is_secret")
+    spans = found.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("length").cast("int").alias("n")))).alias("_spans"))
+    joined = keyed.join(spans, F.col("_secret_row") == F.col("_r"), "left")
+    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        part = F.substring(F.col("text"), acc["next"], s["s"] + 1 - acc["next"])
+        return F.struct((s["s"] + 1 + s["n"]).alias("next"), F.concat(acc["parts"], F.array(part, F.lit(mark))).alias("parts"))
+
+    done = F.aggregate("_spans", zero, cut)
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(F.col("text"), done["next"], F.length("text"))))
+    out = joined.withColumn("_clean", clean)
+    cols = {"text": F.col("_clean").alias("text"), "n_chars": F.when(F.col("_spans").isNull(), keyed["n_chars"]).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("_clean").alias("text")}
+    return out.select(*[cols.get(c, keyed[c]) for c in docs.columns])

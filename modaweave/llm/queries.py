@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op1_secrets import op1
 from .op2_language import op2
 from .op4_packing import op4
 from .op5_quality import op5
@@ -37,6 +38,7 @@ def _on_documents(run: Callable[..., DataFrame], *others: str, **settings) -> Ru
 
 
 QUERIES: dict[str, Run] = {
+    "op1_secrets": _on_documents(op1),
     "op2_language": _on_documents(op2),
     "op4_packing": lambda spark, sf_dir: _on_documents(op4, tokenizer=tokenizer())(spark, sf_dir),
     "op5_quality": _on_documents(op5, "labels"),
