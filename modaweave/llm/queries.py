@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .op1_secrets import op1
 from .op2_language import op2
+from .op3_embedding import op3
 from .op4_packing import op4
 from .op5_quality import op5
 from .op6_rules import op6
@@ -40,6 +41,7 @@ def _on_documents(run: Callable[..., DataFrame], *others: str, **settings) -> Ru
 QUERIES: dict[str, Run] = {
     "op1_secrets": _on_documents(op1),
     "op2_language": _on_documents(op2),
+    "op3_embedding": lambda spark, sf_dir: op3(table(spark, sf_dir, "embeddings")),
     "op4_packing": lambda spark, sf_dir: _on_documents(op4, tokenizer=tokenizer())(spark, sf_dir),
     "op5_quality": _on_documents(op5, "labels"),
     "op6_rules": _on_documents(op6, "labels"),
@@ -47,4 +49,23 @@ QUERIES: dict[str, Run] = {
     "op8_mixing": _on_documents(op8),
 }
 
-SQL: dict[str, str] = {}
+_LINKED = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
+
+SQL: dict[str, str] = {"op3_embedding": _LINKED}
