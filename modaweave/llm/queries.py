@@ -15,6 +15,8 @@ from .op5_quality import op5
 from .op6_rules import op6
 from .op7_minhash import op7
 from .op8_mixing import op8
+from .op9_licenses import op9
+from .op10_urls import op10
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +49,8 @@ QUERIES: dict[str, Run] = {
     "op6_rules": _on_documents(op6, "labels"),
     "op7_minhash": _on_documents(op7),
     "op8_mixing": _on_documents(op8),
+    "op9_licenses": _on_documents(op9),
+    "op10_urls": lambda spark, sf_dir: op10(table(spark, sf_dir, "pages")),
 }
 
 _LINKED = """
