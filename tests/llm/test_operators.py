@@ -1,0 +1,382 @@
+"""Each operator against a plain counterpart, and its defined results for odd input."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from helpers import Sets, counts, near_groups, targets
+
+from modaweave.llm import op1_secrets, op2_language, op3_embedding, op4_packing, op5_quality, op6_rules, op7_minhash, op8_mixing, op9_licenses, op10_urls
+from modaweave.llm.common import components, stored
+from modaweave.llm.queries import QUERIES, SQL, tokenizer
+from pyspark.sql import functions as F
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+def test_components(spark):
+    rng = np.random.default_rng(0)
+    pairs = [*map(tuple, rng.integers(0, 300, (220, 2)).tolist()), *[(1000, 1000 + k) for k in range(1, 200)], *[(2000 + k, 2001 + k) for k in range(60)]]
+    groups = Sets({x for p in pairs for x in p})
+    for a, b in pairs:
+        groups.join(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: groups.find(x) for a, b in pairs if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", list(SQL))
+def test_matches_sql(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(SQL[name])
+    cols = [c[0] for c in want.description]
+    df = QUERIES[name](spark, folder)
+    assert sorted(cols) == sorted(df.columns)
+    assert rows(df, *cols) == sorted(want.fetchall(), key=repr)
+
+
+# 1 secrets
+
+SECRET = "AKIA" + "Q7ZX2M4N6P8R3T5V"
+HEX = "9f2c4e6a8b0d1f3e5c7a"
+
+
+@pytest.fixture(scope="module")
+def leaks(spark):
+    good = [(i, f"some words here password={i:02d}{HEX} and more words") for i in range(60)]
+    keys = [(100 + i, f"key AKIA{'Q7ZX2M4N6P8R3T'}{chr(65 + i % 26)}{2 + i // 26} in the text") for i in range(60)]
+    calm = [(200 + i, f"the internationalisationword{'abcdefghij'[i % 10]}something goes on, checksum {i:04d}{HEX}{HEX}") for i in range(60)]
+    return spark.createDataFrame([*good, *keys, *calm, (300, None), (301, "")], "doc_id long, text string")
+
+
+def test_secrets(leaks):
+    got = op1_secrets.op1(leaks).collect()
+    hit = {r.doc_id for r in got if r.is_secret}
+    assert set(range(60)) | set(range(100, 160)) <= hit
+    assert not hit & set(range(200, 260))
+    assert any(r.doc_id >= 200 and not r.is_secret for r in got)
+    text = {r.doc_id: r.text for r in leaks.collect()}
+    import hashlib
+
+    assert all(hashlib.sha256(text[r.doc_id][r.start : r.start + r.length].encode()).hexdigest() == r.value_sha256 for r in got)
+
+
+def test_secrets_redacted(leaks):
+    out = {r.doc_id: r for r in op1_secrets.redacted(leaks.withColumn("n_chars", F.length("text"))).collect()}
+    assert out[3].text == f"some words here password={op1_secrets.MARK} and more words" and out[3].n_chars == len(out[3].text)
+    assert out[300].text is None and out[301].text == "" and len(out) == 182
+    assert HEX in out[205].text
+
+
+def test_secrets_odd(odd, empty):
+    assert op1_secrets.op1(odd).count() == 0 and op1_secrets.op1(empty).count() == 0
+    assert rows(op1_secrets.redacted(odd), *odd.columns) == rows(odd, *odd.columns)
+
+
+# 2 language
+
+
+def test_language(docs):
+    got = {r.doc_id: r for r in op2_language.op2(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert got.keys() == truth.keys()
+    held = [i for i, r in got.items() if r.held_out]
+    assert np.mean([got[i].lang_pred == truth[i] for i in held]) > 0.93
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    sure = [i for i in held if got[i].accepted]
+    assert np.mean([got[i].lang_pred == truth[i] for i in sure]) >= np.mean([got[i].lang_pred == truth[i] for i in held])
+
+
+def test_language_odd(odd, empty, docs):
+    dicts = op2_language.dictionaries(docs)
+    out = op2_language.with_language(odd, dicts)
+    got = {(r.doc_id, r["_lang"].lang_pred, r["_lang"].accepted) for r in out.collect()}
+    assert {(i, "und", False) for i in (1, 2, 3, 4)} <= got and out.columns[:-1] == odd.columns
+    assert op2_language.op2(empty).count() == 0
+    assert {r.lang_pred for r in op2_language.op2(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 3 embeddings
+
+
+def test_embeddings_odd(spark):
+    v = [1.0, 0.0, 0.0, 0.2]
+    data = [
+        (1, v, 1), (2, v, 1), (3, [2.0, 0.0, 0.0, 0.4], 1), (4, v, 2), (5, v, None), (6, None, 1), (7, [0.0] * 4, 1), (8, [1.0, None, 0.0, 0.0], 1),
+        (9, [float("nan"), 1.0, 0.0, 0.0], 1), (10, [float("inf"), 1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 1), (None, v, 1), (12, [-1.0, 0.0, 0.0, -0.2], 1), (12, v, 2),
+    ]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").withColumn("cid", F.lit("x")).withColumn("_r", F.lit(0))
+    got = rows(op3_embedding.op3(df), "vec_id", "n_links", "component_id", "kept")
+    alone = [(i, 0, i, True) for i in (5, 6, 7, 8, 9, 10, 11, 12)]
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (12, 1, 4, False), (None, 0, None, False), *alone]
+    assert got == sorted(want, key=repr)
+    assert op3_embedding.op3(df.limit(0)).count() == 0
+
+
+def test_embeddings_blocks_and_recall(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 32))
+    x = np.concatenate([rng.standard_normal((600, 32)), *[b + 0.05 * rng.standard_normal((12, 32)) for b in base], base[0] + 0.08 * rng.standard_normal((300, 32))])
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    groups = Sets(range(len(x)))
+    for a, b in zip(*np.nonzero(link), strict=True):
+        groups.join(a, b)
+    df = spark.createDataFrame([(i, list(map(float, v)), 1) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(op3_embedding, "BLOCK", 64)
+    for deviations in (6.0, None):
+        got = op3_embedding.op3(df, deviations=deviations).collect()
+        recall = sum(r.n_links for r in got) / link.sum()
+        assert recall >= (0.99 if deviations else 1.0) and all(r.n_links <= link[r.vec_id].sum() for r in got)
+        if deviations is None:
+            assert {r.vec_id: r.component_id for r in got} == {i: groups.find(i) for i in range(len(x))}
+
+
+# 4 packing
+
+
+def direct_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer())
+    return [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_round_trip(docs):
+    got = op4_packing.pack(docs, tokenizer()).collect()
+    data = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(data, direct_ids([t or "" for t in data.values()]), strict=True))
+    pieces = {}
+    for r in got:
+        ids = np.frombuffer(r.ids, dtype="<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+        pieces.setdefault(r.doc_id, []).append((r.start, ids))
+    assert {i: sum((x for _, x in sorted(p)), []) for i, p in pieces.items()} == want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert sorted(ends) == list(range(len(ends))) and all(v == 4096 for k, v in ends.items() if k < len(ends) - 1)
+
+
+def test_packing_sequences(docs):
+    pieces = stored(op4_packing.pack(docs.limit(40), tokenizer(), length=256), "test-pieces")
+    whole = {r.sequence_id: r for r in op4_packing.sequences(pieces).collect()}
+    assert sum(r.n_ids for r in whole.values()) == pieces.agg(F.sum("length")).first()[0]
+    assert all(len(r.ids) == 4 * r.n_ids <= 1024 for r in whole.values())
+
+
+def test_packing_odd(odd, empty):
+    got = op4_packing.op4(odd, tokenizer()).collect()
+    assert sum(r.length for r in got) == sum(map(len, direct_ids([r.text or "" for r in odd.collect()])))
+    assert op4_packing.op4(empty, tokenizer()).count() == 0
+
+
+def test_token_bytes_are_exact():
+    texts = ["", " ", "a<|startoftext|>b <|endoftext|> x", "\u00e9 \u0301x 'S 's'T b\x1cc d \u0130 \u0391\u03a3", "9<|startoftext|>", "caf\u00e9\u2003d'ont"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in op4_packing.token_bytes(texts, tokenizer())] == [x[:-1] for x in direct_ids(texts)]
+
+
+def test_hilbert_neighbours_are_adjacent():
+    side = np.arange(8)
+    cells = np.array(np.meshgrid(side, side, side, side)).reshape(4, -1).T
+    key = op4_packing.hilbert_index(cells, bits=3)
+    assert sorted(key) == list(range(8**4))
+    assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+# 5 and 6 quality
+
+
+def test_quality(docs, labels):
+    got = {r.doc_id: r for r in op5_quality.op5(docs, labels).collect()}
+    truth = [(r.doc_id, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    assert np.mean([got[i].predicted == y for i, y in truth]) > 0.95
+
+
+def test_quality_odd(spark, odd, empty, labels):
+    got = op5_quality.op5(odd, labels).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in got if r.doc_id == 6}) == 1
+    assert op5_quality.op5(empty, labels).count() == 0
+    assert {r.predicted for r in op5_quality.op5(odd, no_labels(spark)).collect()} == {1}
+    assert rows(op5_quality.accepted(odd, no_labels(spark)), *odd.columns) == rows(odd, *odd.columns)
+
+
+def test_bradley_terry_orders_pairs():
+    rng = np.random.default_rng(1)
+    w = np.array([2.0, -1.0, 0.0])
+    d = rng.standard_normal((4000, 3))
+    d *= np.where(rng.random(4000) < 1 / (1 + np.exp(-d @ w)), 1, -1)[:, None]
+    assert np.abs(op5_quality.bradley_terry(d, penalty=1e-6) - w).max() < 0.2
+
+
+def test_rules(docs, labels):
+    got = {r.doc_id: r for r in op6_rules.op6(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        g = got[r.doc_id]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == counts(r.text)
+        assert g.base_failed == (g.n_words < 20 or 100 * g.n_repeat_words > 30 * g.n_words)
+        assert g.kept == (not g.base_failed and g.rule == 0)
+    judged = [(got[r.doc_id].kept, r.quality) for r in labels.collect() if not got[r.doc_id].base_failed]
+    assert np.mean([k == bool(q) for k, q in judged]) > 0.95
+
+
+def test_rules_are_found_and_pruned():
+    rng = np.random.default_rng(2)
+    x = {"a": rng.random(2000), "b": rng.random(2000), "noise": rng.random(2000)}
+    bad = ((x["a"] > 0.8) & (x["b"] <= 0.5)) | (x["b"] > 0.95)
+    rules = op6_rules.learn(x, bad)
+    hit = np.zeros(2000, dtype=bool)
+    for rule in rules:
+        hit |= op6_rules.covers(rule, x, 2000)
+    assert (hit == bad).mean() > 0.98 and len(rules) <= 6
+
+
+def test_rules_odd(spark, odd, empty, labels):
+    got = op6_rules.op6(odd, no_labels(spark)).collect()
+    assert len(got) == odd.count() and {r.rule for r in got} == {0}
+    assert {r.n_words for r in got if r.doc_id in (1, 2, 3)} == {0}
+    assert op6_rules.op6(empty, labels).count() == 0
+
+
+# 7 MinHash
+
+
+def test_minhash(spark, docs):
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r for r in op7_minhash.op7(docs).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == near_groups(data)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_minhash_chains_and_blocks(spark, monkeypatch):
+    """A large group in which most pairs are not similar enough, but steps between neighbours are."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.permutation(4000)]
+    slide = [(k, " ".join(words[k * 2 : k * 2 + 60])) for k in range(150)]
+    stars = [(1000 + k, " ".join(w if rng.random() > 0.02 else f"x{rng.integers(10**9)}" for w in words[:120])) for k in range(150)]
+    data = [*slide, *stars]
+    monkeypatch.setattr(op7_minhash, "BLOCK", 16)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op7_minhash.op7(df).collect()}
+    assert got == near_groups(data)
+
+
+def test_minhash_odd(odd, empty):
+    got = rows(op7_minhash.op7(odd), "doc_id", "n_shingles", "component_id", "kept")
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 3, 4, True), (5, 4, 5, True), (6, 4, 6, True), (6, 4, 6, True), (7, 4, 6, False), (None, 3, None, True), (8, 1, 8, True), (9, 1, 9, True)]
+    assert got == sorted(want, key=repr)
+    assert op7_minhash.op7(empty).count() == 0
+    kept = op7_minhash.deduplicated(odd, width=5, similarity=(4, 5))
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+
+
+def test_estimate_is_corrected_for_chance():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    est = []
+    for k in range(40):
+        b = np.r_[a[:1200], np.random.default_rng(k + 1).integers(0, 1 << 63, 800, dtype=np.uint64)]
+        sig = [np.frombuffer(op7_minhash.packed(op7_minhash.minima(np.roll(x, k) * np.uint64(2 * k + 1))), dtype=np.uint64)[None] for x in (a, b)]
+        est.append(op7_minhash.estimated(*sig)[0, 0])
+    assert abs(np.mean(est) - 1200 / 2800) < 0.03
+
+
+# 8 mixing
+
+
+def test_mixing(docs):
+    got = op8_mixing.op8(docs).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = targets(sizes)
+    assert len(got) == docs.count() and all(r.source_size == sizes[r.source] and r.taken <= 2 * r.size for r in got)
+    for s, t in want.items():
+        mine = [r for r in got if r.source == s]
+        assert all(abs(r.target - t) <= 1e-6 * t for r in mine) and abs(sum(r.taken for r in mine) - t) <= 0.001 * t + 5
+    again = op8_mixing.op8(docs.repartition(5)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+
+
+def test_mixing_with_base_rates(docs):
+    based = docs.withColumn("q", 0.5 + F.pmod("doc_id", F.lit(3)))
+    got = op8_mixing.op8(based, base="q").collect()
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target + 5
+
+
+def test_mixing_odd(odd, empty):
+    got = op8_mixing.op8(odd).collect()
+    assert len(got) == odd.count() and sum(r.size for r in got) == 120_000 + 5 + 18 + 5 + 1 + 2
+    assert op8_mixing.op8(empty).count() == 0
+    mixed = op8_mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in got)
+
+
+# 9 licences
+
+
+def test_licences(spark, docs):
+    notices = [(10_001, "words before\nReleased under the MIT License.\nwords after"), (10_002, "x " * 300 + "Licensed under CC BY-NC 4.0. " + "y " * 300), (10_003, "This work is licensed under the GNU General Public License, version 3."), (10_004, "he has no driving license at all"), (10_005, None), (10_006, "All rights reserved.")]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(notices, "doc_id long, text string"))
+    got = op9_licenses.op9(both).collect()
+    found = {(r.doc_id, r.line, r.family, r.confirmed) for r in got}
+    assert {(10_001, 1, "MIT", True), (10_003, 0, "GPL", True), (10_006, 0, "unknown", False)} <= found
+    assert (10_002, 0, "CC-BY-NC", True) in found
+    assert not any(i in (10_004, 10_005) and ok for i, _, _, ok in found)
+    cues = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General": "GPL", "CC BY-NC": "CC-BY-NC"}
+    want = {(r.doc_id, f) for r in docs.collect() for c, f in cues.items() if c in (r.text or "")}
+    assert want <= {(r.doc_id, r.family) for r in got}
+
+
+def test_licences_odd(odd, empty):
+    assert op9_licenses.op9(odd).count() == 0 and op9_licenses.op9(empty).count() == 0
+
+
+# 10 URLs
+
+
+def test_url_parts_and_rules(spark):
+    urls = [None, "no scheme", "http://A.Example.ORG/es/x?q#f", "http://example.org/en/15", "x://sub.example.com/de/1", "http://b.com/fr/", "http://b.com", "http://ads.shop.net/", "a://b://c/d", "http://plain.net/p", "http://org/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(None).cast("string")).withColumn("host", F.lit(1))
+    got = {r.page_id: tuple(r)[1:] for r in op10_urls.op10(df).collect()}
+    assert got == {
+        0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("a.example.org", "/es/x", "example.org/es/", "block"), 3: ("example.org", "/en/15", "example.org/en/1", "block"),
+        4: ("sub.example.com", "/de/1", "com/de/", "block"), 5: ("b.com", "/fr/", "com/fr/", "allow"), 6: ("b.com", "", None, "allow"), 7: ("ads.shop.net", "/", None, "block"),
+        8: ("b:", "//c/d", None, "allow"), 9: ("plain.net", "/p", None, "allow"), 10: ("org", "/x", "org/", "allow"),
+    }
+    assert op10_urls.op10(df.limit(0)).count() == 0
+
+
+def test_url_propagation(spark):
+    names = ["a.org", "b.net", "c.net", "spam.net", "d.net", "e.net", "f.net"]
+    links = [("a.org", "b.net"), ("a.org", "c.net"), ("b.net", "c.net"), ("d.net", "spam.net"), ("d.net", "spam.net"), ("e.net", "d.net"), ("c.net", "f.net"), ("f.net", "spam.net")]
+    html = {n: "".join(f'<a class=x href="https://{d}/p">t</a><a href="/local">u</a>' for s, d in links if s == n) for n in names}
+    df = spark.createDataFrame([(i, f"http://{n}/p", html[n]) for i, n in enumerate(names)], "page_id long, url string, html string")
+    got = {r.host: r for r in op10_urls.judged(df).collect()}
+    at = {n: i for i, n in enumerate(names)}
+    w = np.zeros((7, 7))
+    for s, d in links:
+        w[at[s], at[d]] += 1
+    walk = lambda m, seed: sum(0.15 * 0.85**k * np.linalg.matrix_power(m.T, k)[:, at[seed]] for k in range(60))
+    share = lambda m: np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+    trust, distrust = walk(share(w), "a.org"), walk(share(w.T), "spam.net")
+    for n in names:
+        assert abs(got[n].trust - trust[at[n]]) < 1e-3 and abs(got[n].distrust - distrust[at[n]]) < 1e-3
+        assert got[n].verdict == ("allow" if n == "a.org" else "block" if distrust[at[n]] > trust[at[n]] else "allow")
+    assert got["d.net"].verdict == "block" and got["b.net"].verdict == "allow"
