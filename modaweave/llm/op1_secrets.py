@@ -145,9 +145,11 @@ def op1(docs: DataFrame, **settings) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = MARK, **settings) -> DataFrame:
     """All documents with each secret replaced by ``mark``, n_chars kept true; columns as they came."""
     keyed = stored(docs.withColumn("_secret_row", F.monotonically_increasing_id()), "secret-rows")
-    found = scan(keyed.withColumn("_r", F.col("_secret_row")), **settings).filter("is_secret")
-    spans = found.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("length").cast("int").alias("n")))).alias("_spans"))
-    joined = keyed.join(spans, F.col("_secret_row") == F.col("_r"), "left")
+    path = settings.get("path_col", "source")
+    given = [c for c in ("doc_id", path) if c in keyed.columns]
+    found = scan(keyed.select(*given, "text", F.col("_secret_row").alias("_r")), **settings).filter("is_secret")
+    spans = found.groupBy(F.col("_r").alias("_secret_key")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("length").cast("int").alias("n")))).alias("_spans"))
+    joined = keyed.join(spans, F.col("_secret_row") == F.col("_secret_key"), "left")
     zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("parts"))
 
     def cut(acc: Column, s: Column) -> Column:

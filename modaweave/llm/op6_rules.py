@@ -81,18 +81,23 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float
     return (p - n) / (p + n) if p + n else -1.0, p
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16, seed: int = 6) -> list[Rule]:
-    """Ordered rules for bad rows; ``precision`` is what a rule must reach on its pruning rows."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16, tries: int = 6, seed: int = 6) -> list[Rule]:
+    """Ordered rules for bad rows; ``precision`` is what a rule must reach on its pruning rows.
+
+    A rule that fails is tried again on another split; ``tries`` failures in a row end the search.
+    """
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
     left = np.ones(len(bad), dtype=bool)
-    while len(rules) < most and bad[left].sum() >= 5:
+    failed = 0
+    while len(rules) < most and failed < tries and bad[left].sum() >= 5:
         index = np.flatnonzero(left)
         test = rng.random(len(index)) < 1 / 3
         grow, prune = ({k: v[index[m]] for k, v in x.items()} for m in (~test, test))
         rule = _grow(grow, bad[index[~test]], longest)
+        failed += 1
         if not rule:
-            break
+            continue
         y = bad[index[test]]
         while len(rule) > 1:  # drop the test whose loss helps or does not hurt
             options = [rule[:i] + rule[i + 1 :] for i in range(len(rule))]
@@ -102,7 +107,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, lon
             rule = options[int(np.argmax(values))]
         value, found = _worth(rule, prune, y)
         if not found or (value + 1) / 2 < precision:
-            break
+            continue
+        failed = 0
         rules.append(rule)
         left &= ~covers(rule, x, len(bad))
     return rules

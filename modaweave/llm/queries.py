@@ -57,8 +57,8 @@ _LINKED = """
 WITH RECURSIVE vec AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND label IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
@@ -78,7 +78,7 @@ WITH RECURSIVE word AS (
   FROM documents WHERE text IS NOT NULL
 ), shingle AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s
   FROM word
 ), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 common AS (
