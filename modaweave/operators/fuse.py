@@ -53,8 +53,8 @@ def pca(df: DataFrame, k: int, vec: str = "features") -> LinearFusion:
 
 
 def incremental_pca(batches: Sequence[DataFrame], k: int, vec: str = "features") -> LinearFusion:
-    """Same model from batch moments merged one after the other."""
-    return pca_from(reduce(lambda a, b: a + b, [moments(b, vec) for b in batches]), k)
+    """Same model from centred batch moments merged one after the other."""
+    return pca_from(reduce(lambda a, b: a + b, [centred_moments(b, vec) for b in batches]), k)
 
 
 def kernel_pca(df: DataFrame, k: int, vec: str = "features") -> LinearFusion:
@@ -332,6 +332,9 @@ def tensor_fusion(df: DataFrame, stacks: Sequence[str], k: int, rounds: int = 50
     the small factors only needs the second moments of the stacked rows: one pass over the data in
     all, the iterations run on a width x width matrix.
     """
+    widths = df.agg(*[F.struct(F.min(F.size(s)).alias("a"), F.max(F.size(s)).alias("b")).alias(s) for s in stacks]).first()
+    if len({x for w in widths for x in w}) > 1:
+        raise ValueError(f"modalities must have one width, got {dict(zip(stacks, widths, strict=True))}; select features first (top_features)")
     row = df.select(F.concat(*[F.col(s).cast("array<double>") for s in stacks]).alias("v"))
     s = moments(row, "v").outer
     m = len(stacks)
@@ -356,6 +359,25 @@ def tensor_fusion(df: DataFrame, stacks: Sequence[str], k: int, rounds: int = 50
     return TensorFusion(a, c)
 
 
+def top_features(df: DataFrame, stacks: Sequence[str], label: str, k: int = 100) -> DataFrame:
+    """The ``k`` features of each modality that a straight line predicts ``label`` best from.
+
+    One moment pass over each modality beside the label; a narrower modality than ``k`` is an error,
+    since the stacked modalities need one width.
+    """
+    out = df
+    for s in stacks:
+        both = df.select(F.concat(F.col(s).cast("array<double>"), F.array(F.col(label).cast("double"))).alias("v"))
+        cov = centred_moments(both, "v").covariance
+        if len(cov) - 1 < k:
+            raise ValueError(f"{s} has {len(cov) - 1} features, {k} are wanted")
+        spread = np.diag(cov)[:-1] * cov[-1, -1]
+        r2 = np.where(spread > 0, cov[:-1, -1] ** 2 / np.where(spread > 0, spread, 1.0), 0.0)
+        pick = np.sort(np.lexsort((np.arange(len(r2)), -r2))[:k])
+        out = out.withColumn(s, F.array(*[F.get(F.col(s), F.lit(int(i))).cast("double") for i in pick]))
+    return out
+
+
 # -- spectral embedding -------------------------------------------------------------------------------
 def spectral_embedding(edges: DataFrame, k: int, rounds: int = 30, seed: int = 42) -> DataFrame:
     """(id, features): leading non-trivial directions of the normalised neighbour graph.
@@ -401,16 +423,21 @@ def _orthonormal(x: DataFrame) -> DataFrame:
     return project(x, np.linalg.inv(r))
 
 
-def fuse(df: DataFrame, modalities: Sequence[str], method: str, k: int, label: str | None = None):
+def fuse(df: DataFrame, modalities: Sequence[str], method: str, k: int, label: str | None = None, most: int | None = None):
     """Fit a named fusion over the modality columns of an aligned table.
 
+    ``most`` with a ``label`` first selects that many features of each modality (tensor fusion).
+
     Returns (model, rows with ``features``).  The model's ``transform`` takes other rows, so nothing
     is refitted on held-out data.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     joined = df.withColumn("features", F.concat(*[F.col(m).cast("array<double>") for m in modalities]))
-    if method in ("pca", "ipca", "kpca"):
+    if method == "ipca":
+        part = F.pmod(F.xxhash64("features"), F.lit(4))
+        model = incremental_pca([b for b in (joined.filter(part == i) for i in range(4)) if not b.isEmpty()], k)
+    elif method in ("pca", "kpca"):
         model = pca(joined, k)
     elif method == "ica":
         model = ica(joined, k)
@@ -434,6 +461,7 @@ def fuse(df: DataFrame, modalities: Sequence[str], method: str, k: int, label: s
         model = integrate(df, modalities, k)
         return model, model.transform(df)
     else:
+        df = top_features(df, modalities, label, most) if label and most else df
         model = tensor_fusion(df, modalities, k)
         return model, model.transform(df, modalities)
     return model, model.transform(joined)

@@ -123,20 +123,23 @@ class QuadraticLearner:
     reg: float = 1e-3
 
     def fit(self, df: DataFrame) -> Model:
-        classes = [r["label"] for r in df.select("label").distinct().orderBy("label").collect()]
-        total, parts = 0, []
+        classes = [r["label"] for r in df.select("label").distinct().orderBy("label").limit(3).collect()]
+        if len(classes) > 2:
+            raise ValueError("p is the second class's share, so two classes at most")
+        weight = F.col("weight") if "weight" in df.columns else F.lit(1.0)
+        share = {r["label"]: r["w"] for r in df.groupBy("label").agg(F.sum(weight).alias("w")).collect()}
+        total, parts = sum(share.values()), []
         for c in classes:
             m = centred_moments(df.filter(F.col("label") == c), "features")
-            total += m.n
             parts.append(m)
         means, precs, consts = [], [], []
-        for m in parts:
+        for c, m in zip(classes, parts, strict=True):
             cov = m.outer / max(m.n - 1, 1)
             cov = (1 - self.reg) * cov + self.reg * np.eye(len(cov))
             sign, logdet = np.linalg.slogdet(cov)
             means.append(m.mean)
             precs.append(np.linalg.inv(cov))
-            consts.append(float(np.log(m.n / total) - 0.5 * logdet))
+            consts.append(float(np.log(share[c] / total) - 0.5 * logdet))  # weights shift the prior
         return QuadraticModel(classes, means, precs, consts)
 
 
@@ -178,9 +181,10 @@ class BoostLearner:
     seed: int = 42
 
     def fit(self, df: DataFrame) -> Model:
-        base = _vec(df).select("_f", F.col("label").cast("double").alias("label"))
-        n = base.count()
-        cur = cut_lineage(base.withColumn("_w", F.lit(1.0 / n)))
+        weight = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+        base = _vec(df).select("_f", F.col("label").cast("double").alias("label"), weight.alias("_w"))
+        whole = base.agg(F.sum("_w").alias("w")).first()["w"]
+        cur = cut_lineage(base.withColumn("_w", F.col("_w") / F.lit(float(whole or 1.0))))
         stages = []
         for _ in range(self.rounds):
             if self.regression:
@@ -271,6 +275,17 @@ class KernelLearner:
         return MappedModel(fmap, self.inner.fit(fmap.transform(df)))
 
 
+def _repeated(df: DataFrame) -> DataFrame:
+    """Rows as often as their weight says, for a learner without weights; a fraction of a copy is
+    settled by a hash of the row."""
+    if "weight" not in df.columns:
+        return df
+    w = F.col("weight").cast("double")
+    part = F.pmod(F.xxhash64("features", "label"), F.lit(1_000_000)) / F.lit(1e6) < w - F.floor(w)
+    copies = (F.floor(w) + F.when(part, 1).otherwise(0)).cast("int")
+    return df.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).drop("_copy", "weight")
+
+
 @dataclass
 class NetLearner:
     hidden: Sequence[int] = (16,)
@@ -279,7 +294,7 @@ class NetLearner:
     def fit(self, df: DataFrame) -> Model:
         layers = [width_of(df, "features"), *self.hidden, 2]
         est = C.MultilayerPerceptronClassifier(featuresCol="_f", labelCol="label", layers=layers, maxIter=self.rounds, seed=42)
-        return SparkModel(est.fit(_vec(df)), "probability")
+        return SparkModel(est.fit(_vec(_repeated(df))), "probability")
 
 
 @dataclass
@@ -296,13 +311,17 @@ class PenalisedLearner:
     per_table: bool = False
 
     def fit(self, df: DataFrame) -> Model:
-        row = df.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("sd")).first()
-        alpha = self.alpha / max(row["n"], 1) if self.per_table else self.alpha
+        w = F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)
+        y = F.col("label").cast("double")
+        mean = df.agg((F.sum(w * y) / F.sum(w)).alias("m")).first()["m"]
+        row = df.agg(F.sum(w).alias("n"), F.sqrt(F.sum(w * (y - F.lit(mean)) * (y - F.lit(mean))) / F.sum(w)).alias("sd")).first()
+        alpha = self.alpha / max(row["n"] or 0, 1) if self.per_table else self.alpha
         one, two = alpha * self.l1, alpha * (1.0 - self.l1) * (row["sd"] or 1.0)
         total = one + two
         est = R.LinearRegression(
             featuresCol="_f", labelCol="label", regParam=total, elasticNetParam=one / total if total else 0.0, standardization=False
         )
+        est = est.setWeightCol("weight") if "weight" in df.columns else est
         return SparkModel(est.fit(_vec(df)), "prediction")
 
 
@@ -368,6 +387,11 @@ def _registry(task: str) -> dict[str, Callable[..., Any]]:
     raise ValueError("task must be 'classification' or 'regression'")
 
 
+def for_route(route: str) -> list[str]:
+    """Learners that a balancing route asks for in place of the usual ones."""
+    return ["Balanced Ensemble"] if route == "balanced ensemble" else []
+
+
 def make(name: str, task: str = "classification", **params):
     reg = _registry(task)
     key = ALIASES.get(name, name)

@@ -21,22 +21,40 @@ MAX_WIDTH = 8192
 
 @dataclass
 class Moments:
-    """Row count, column sums and sum of outer products; addition merges two of them."""
+    """Row count, column sums and sum of outer products; addition merges two of them.
+
+    ``centred`` products are about the mean, and merge with the pairwise update: nothing cancels
+    when the data lie far from zero.
+    """
 
     n: int
     total: np.ndarray
     outer: np.ndarray
+    centred: bool = False
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.n + other.n, self.total + other.total, self.outer + other.outer)
+        if self.centred != other.centred:
+            raise ValueError("centred and raw products do not add up")
+        n, outer = self.n + other.n, self.outer + other.outer
+        if self.centred and self.n and other.n:
+            d = other.mean - self.mean
+            outer = outer + np.outer(d, d) * (self.n / n * other.n)
+        return Moments(n, self.total + other.total, outer, self.centred)
 
     @property
     def mean(self) -> np.ndarray:
         return self.total / max(self.n, 1)
 
+    @property
+    def raw(self) -> np.ndarray:
+        """Sum of outer products of the rows as they are."""
+        return self.outer + self.n * np.outer(self.mean, self.mean) if self.centred else self.outer
+
     @property
     def covariance(self) -> np.ndarray:
         """Sample covariance."""
+        if self.centred:
+            return self.outer / max(self.n - 1, 1)
         m = self.mean
         return (self.outer - self.n * np.outer(m, m)) / max(self.n - 1, 1)
 
@@ -86,7 +104,9 @@ def centred_moments(df: DataFrame, vec: str = "features") -> Moments:
     moved = df.select(F.zip_with(F.col(vec).cast("array<double>"), shift, lambda x, c: x - c).alias(vec))
     out = moments(moved, vec)
     # Report sums of the original rows; the outer products stay centred.
-    return Moments(out.n, out.total + out.n * m, out.outer)
+    # What is left of the shifted mean is taken out once more.
+    rest = out.total / max(out.n, 1)
+    return Moments(out.n, out.total + out.n * m, out.outer - out.n * np.outer(rest, rest), True)
 
 
 def project(df: DataFrame, weights: np.ndarray, center: np.ndarray | None = None, vec: str = "features", out: str = "features") -> DataFrame:

@@ -143,10 +143,9 @@ def resampling_decision(balance: DataFrame) -> DataFrame:
 
 
 def recommended_metrics(balance: DataFrame) -> DataFrame:
+    """Two lists: one above an imbalance ratio of 10, one for all else."""
     ir = F.col("imbalance_ratio")
-    return balance.withColumn(
-        "metrics", F.when(ir > 10, "pr_auc,f1,recall").when(ir > 2, "roc_auc,balanced_accuracy,mcc").otherwise("roc_auc,accuracy,f1")
-    )
+    return balance.withColumn("metrics", F.when(ir > 10, "pr_auc,f1,recall").otherwise("roc_auc,balanced_accuracy,f1"))
 
 
 def class_sizes(df: DataFrame, tasks: Sequence[str]) -> DataFrame:
@@ -157,14 +156,15 @@ def class_sizes(df: DataFrame, tasks: Sequence[str]) -> DataFrame:
     return counts.join(F.broadcast(totals), "task").select("task", "label", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
-def group_statistics(df: DataFrame, group: str, tasks: Sequence[str], top: int = 10) -> DataFrame:
-    """Mean target and number of known targets for the largest groups."""
+def group_statistics(df: DataFrame, group: str, tasks: Sequence[str], top: int = 10, most_tasks: int | None = None) -> DataFrame:
+    """Mean target and number of known targets for the largest groups, over the first ``most_tasks`` (default: all)."""
+    tasks = tasks[:most_tasks]
     return (
         df.groupBy(group)
         .agg(
             F.count("*").alias("size"),
-            *[F.avg(t).alias(f"mean_{t}") for t in tasks[:20]],
-            *[F.count(t).alias(f"known_{t}") for t in tasks[:20]],
+            *[F.avg(t).alias(f"mean_{t}") for t in tasks],
+            *[F.count(t).alias(f"known_{t}") for t in tasks],
         )
         .orderBy(F.desc("size"), group)
         .limit(top)

@@ -157,7 +157,11 @@ def smote_enn(df: DataFrame, label: str = "label", vec: str = "features", id_col
 
 
 def rebalance(df: DataFrame, label: str = "label", vec: str = "features", id_col: str = "id", strategy: str | None = None, seed: int = 42) -> tuple[DataFrame, str]:
-    """Apply the route the class profile calls for (or the named one); returns (rows, route)."""
+    """Apply the route the class profile calls for (or the named one); returns (rows, route).
+
+    A single class has nothing to balance.  "balanced ensemble" leaves the rows alone: its learner
+    draws balanced copies itself, see ``learners.for_route``.  An unknown name is an error.
+    """
     from .profile import class_balance, resampling_decision
 
     route = strategy or resampling_decision(class_balance(df, label)).first()["strategy"]
@@ -168,5 +172,9 @@ def rebalance(df: DataFrame, label: str = "label", vec: str = "features", id_col
         "smote-enn": lambda: smote_enn(df, label, vec, id_col, seed=seed),
         "class weights": lambda: cost_weights(df, label),
         "cost weight": lambda: cost_weights(df, label),
+        "balanced ensemble": lambda: df,
+        "single class": lambda: df,
     }
-    return (actions[route]() if route in actions else df), route
+    if route not in actions:
+        raise ValueError(f"strategy must be one of {sorted(actions)}, got {route!r}")
+    return actions[route](), route

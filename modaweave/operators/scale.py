@@ -135,28 +135,50 @@ def box_cox(x: Column, lam: float | Column) -> Column:
     return F.when(x > 0, F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam))
 
 
-def fit_power(df: DataFrame, features: Sequence[str], kind: str = "yeo-johnson", rounds: int = 5, width: int = 17) -> dict[str, float]:
+def fit_power(df: DataFrame, features: Sequence[str], kind: str = "yeo-johnson", rounds: int = 5, width: int = 17, interval: tuple[float, float] = (-3.0, 5.0), widenings: int = 8) -> dict[str, float]:
     """Maximum-likelihood exponent per column.
 
     Equal values are counted once up front.  Each round scores a grid of exponents for all columns
     in one aggregate (the grid is a broadcast table of features x width rows), then narrows the
-    interval around each winner.  Five rounds of 17 points resolve about 1e-4.
+    interval around each winner, or moves it on if the winner stands at its end (``widenings`` times at
+    most, beyond which the transform itself leaves the range of doubles).  Five rounds of 17 points
+    resolve about 1e-4.
+
+    A column on one side of zero is a power of b = x, 1 + x or 1 - x throughout.  It is scored on
+    (b / geometric mean)**e, of which the logarithm is taken first, so values far from zero or close
+    together lose nothing; the geometric mean drops out of the likelihood.  A column on both sides
+    is shifted by the transform of its mean.
     """
-    shape = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}[kind]
     spark = df.sparkSession
     long = to_long(df.select(F.lit(0).alias("_k"), *[_seen(f).alias(f) for f in features]), ["_k"], features)
-    usable = F.col("value").isNotNull() if kind == "yeo-johnson" else F.col("value") > 0
-    x = F.col("value")
-    jac = F.signum(x) * F.log1p(F.abs(x)) if kind == "yeo-johnson" else F.log(x)
-    values = long.filter(usable).groupBy("feature", "value").agg(F.count("*").cast("double").alias("c")).withColumn("j", jac).persist()
-    lo, hi, best = dict.fromkeys(features, -3.0), dict.fromkeys(features, 5.0), dict.fromkeys(features, 1.0)
+    x, c = F.col("value"), F.col("c")
+    box = kind == "box-cox"
+    if kind not in ("box-cox", "yeo-johnson"):
+        raise ValueError(f"unknown power transform {kind!r}")
+    usable = x > 0 if box else x.isNotNull() & ~F.isnan(x)
+    values = long.filter(usable).groupBy("feature", "value").agg(F.count("*").cast("double").alias("c"))
+    sides = values.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), (F.sum(x * c) / F.sum("c")).alias("_mean"))
+    side = F.lit("box") if box else F.when(F.col("_lo") >= 0, "up").when(F.col("_hi") <= 0, "down").otherwise("both")
+    log = F.when(F.col("_side") == "box", F.log(x)).when(F.col("_side") == "up", F.log1p(x)).when(F.col("_side") == "down", F.log1p(-x))
+    jac = F.when(F.col("_side") == "both", F.signum(x) * F.log1p(F.abs(x))).otherwise(0.0)
+    sided = values.join(F.broadcast(sides.select("feature", "_mean", side.alias("_side"))), "feature").withColumn("_log", log)
+    centre = sided.groupBy("feature").agg((F.sum(F.col("_log") * c) / F.sum("c")).alias("_gm"))
+    values = sided.join(F.broadcast(centre), "feature").select("feature", "value", "c", "_side", "_mean", (F.col("_log") - F.col("_gm")).alias("_l"), jac.alias("j")).persist()
+    lo, hi, best = dict.fromkeys(features, interval[0]), dict.fromkeys(features, interval[1]), dict.fromkeys(features, 1.0)
+    moves, narrowed = dict.fromkeys(features, 0), dict.fromkeys(features, 0)
+    lam = F.col("lam")
+    e = F.when(F.col("_side") == "down", 2.0 - lam).otherwise(lam)
+    one_sided = F.when(F.abs(e) < 1e-12, F.col("_l")).otherwise(F.expm1(e * F.col("_l")) / e)
+    shape = F.when(F.col("_side") == "both", yeo_johnson(x, lam) - yeo_johnson(F.col("_mean"), lam)).otherwise(one_sided)
     try:
-        for _ in range(rounds):
+        for _ in range(rounds + widenings):
+            live = [f for f in features if narrowed[f] < rounds]
+            if not live:
+                break
             grid = spark.createDataFrame(
-                [(f, m, float(g)) for f in features for m, g in enumerate(np.linspace(lo[f], hi[f], width))], "feature string, m int, lam double"
+                [(f, m, float(g)) for f in live for m, g in enumerate(np.linspace(lo[f], hi[f], width))], "feature string, m int, lam double"
             )
-            t = values.join(F.broadcast(grid), "feature").withColumn("t", shape(x, F.col("lam")))
-            c = F.col("c")
+            t = values.join(F.broadcast(grid), "feature").withColumn("t", shape)
             # Weighted variance about the weighted mean, from per-value moments.
             stats = t.groupBy("feature", "m", "lam").agg(
                 F.sum("c").alias("n"), F.sum(c * F.col("j")).alias("jac"), (F.sum(c * F.col("t")) / F.sum("c")).alias("mu"), F.sum(c * F.col("t") * F.col("t")).alias("ss")
@@ -165,9 +187,16 @@ def fit_power(df: DataFrame, features: Sequence[str], kind: str = "yeo-johnson",
             score = F.when(var > 0, -F.col("n") / 2.0 * F.log(var) + (F.col("lam") - 1.0) * F.col("jac")).otherwise(F.lit(float("-inf")))
             scored = stats.withColumn("score", F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(score))
             for r in scored.groupBy("feature").agg(F.max_by("m", F.struct("score", (-F.col("m")).alias("i"))).alias("m")).collect():
-                f, steps = r["feature"], np.linspace(lo[r["feature"]], hi[r["feature"]], width)
-                best[f] = float(steps[r["m"]])
-                lo[f], hi[f] = float(steps[max(r["m"] - 1, 0)]), float(steps[min(r["m"] + 1, width - 1)])
+                f, m = r["feature"], r["m"]
+                steps = np.linspace(lo[f], hi[f], width)
+                best[f] = float(steps[m])
+                if m in (0, width - 1) and not narrowed[f] and moves[f] < widenings:
+                    span, step = hi[f] - lo[f], steps[1] - steps[0]  # the winner's other neighbour stays inside
+                    lo[f], hi[f] = (best[f] - step, best[f] + span) if m else (best[f] - span, best[f] + step)
+                    moves[f] += 1
+                    continue
+                lo[f], hi[f] = float(steps[max(m - 1, 0)]), float(steps[min(m + 1, width - 1)])
+                narrowed[f] += 1
     finally:
         values.unpersist()
     return best

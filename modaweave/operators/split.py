@@ -88,9 +88,9 @@ def invariants(split: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def learning_fractions(df: DataFrame, label: str, id_col: str = "id", fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75), by: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """Nested stratified subsets: one copy of a row per fraction it belongs to."""
+    """Nested stratified subsets, each class cut down to whole rows: one copy of a row per fraction it is in."""
     ranked = hash_rank(df, id_col, by=[*by, label], seed=seed, name="_r", size="_n")
-    need = F.filter(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.col("_r") <= F.ceil(F.round(f * F.col("_n"), 6)))
+    need = F.filter(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.col("_r") <= F.floor(F.round(f * F.col("_n"), 6)))
     return ranked.withColumn("fraction", F.explode(need)).drop("_r", "_n")
 
 

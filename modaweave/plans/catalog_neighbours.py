@@ -398,7 +398,7 @@ def _(spark, d):
 
     schema = fx.table(spark, d, "embeddings").schema
     m = ingest.accumulate_moments(ingest.file_stream(spark, d, schema, "embeddings.parquet"), "embedding", scratch_path(spark, "moments"))
-    return spark.createDataFrame([(m.n, *[float(x) for x in m.total[:4]], float(m.outer[0, 1]))], "n bigint, s0 double, s1 double, s2 double, s3 double, x01 double")
+    return spark.createDataFrame([(m.n, *[float(x) for x in m.total[:4]], float(m.raw[0, 1]))], "n bigint, s0 double, s1 double, s2 double, s3 double, x01 double")
 
 
 @query("stream_running_counts", "ST3", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id")

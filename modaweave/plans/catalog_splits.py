@@ -145,7 +145,7 @@ def _(spark, d):
     "learning_fractions",
     "S16",
     with_("rk AS (SELECT doc_id AS id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY " + H("doc_id") + ", doc_id) AS rk, count(*) OVER (PARTITION BY toxic) AS n FROM labels)", "f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75]) AS fraction)")
-    + f"SELECT id, CAST(toxic AS BIGINT) AS toxic, {r('fraction')} AS fraction FROM rk CROSS JOIN f WHERE rk <= ceil(round(fraction * n, 6))",
+    + f"SELECT id, CAST(toxic AS BIGINT) AS toxic, {r('fraction')} AS fraction FROM rk CROSS JOIN f WHERE rk <= floor(round(fraction * n, 6))",
 )
 def _(spark, d):
     return split.learning_fractions(_lab(spark, d).select("id", "toxic"), "toxic")

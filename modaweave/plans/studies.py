@@ -162,10 +162,10 @@ def distribution_shift(long: DataFrame, group: str, models: Sequence[str], min_r
         parts = {"random": split.holdout(rows, 0.2, stratify="label"), "scaffold": groupsplit.two_way(rows, group)}
         for kind, tagged in parts.items():
             tagged = cut_lineage(tagged)
-            train, _ = sample.rebalance(tagged.filter("split = 'train'").select("id", "label", "features"), strategy=strategy)
+            train, route = sample.rebalance(tagged.filter("split = 'train'").select("id", "label", "features"), strategy=strategy)
             train, test = standardised(cut_lineage(train), tagged.filter("split = 'test'"))
             train, test = cut_lineage(train), cut_lineage(test)
-            for m in models:
+            for m in learners.for_route(route) or models:
                 model = learners.make(m).fit(train)
                 for part, d in (("train", train), ("test", test)):
                     records.append({"task": t, "split": kind, "model": m, "data": part, **_scores(model.transform(d), "classification")})
@@ -223,7 +223,7 @@ def classification_benchmark(tables: Mapping[str, DataFrame], labels: DataFrame,
         data = cut_lineage(tagged.join(df, "id"))
         train, route = sample.rebalance(data.filter("split = 'train'").select("id", "label", "features"), strategy=strategy)
         train, test = standardised(cut_lineage(train), data.filter("split = 'test'"))
-        for m in models:
+        for m in learners.for_route(route) or models:
             got = _scores(learners.make(m).fit(train).transform(test), "classification")
             records.append({"descriptor": name, "model": m, "strategy": route, **got})
     return _table(labels.sparkSession, records)

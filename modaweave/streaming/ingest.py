@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.infer import ModelFn, embed
-from ..operators.linalg import Moments, moments
+from ..operators.linalg import Moments, centred_moments, moments
 from ..session import scratch_path
 
 
@@ -79,16 +81,16 @@ def score_stream(stream: DataFrame, text: str, model: ModelFn, id_col: str, out:
 
 
 def accumulate_moments(stream: DataFrame, vec: str, out: str, checkpoint: str | None = None) -> Moments:
-    """Merge each micro-batch's moments into a state table.
+    """Merge each micro-batch's centred moments into a state table.
 
-    One state row set per batch number, replaced when a batch is repeated, summed when read.
+    One state row set per batch number, replaced when a batch is repeated, merged when read.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        m = moments(batch, vec)
+        m = centred_moments(batch, vec)
         rows = [(0, float(m.n), m.total.tolist())] + [(i + 1, 0.0, r.tolist()) for i, r in enumerate(m.outer)]
         spark.createDataFrame(rows, "i int, n double, row array<double>").coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
@@ -103,11 +105,16 @@ def accumulate_moments(stream: DataFrame, vec: str, out: str, checkpoint: str |
 
 
 def read_moments(spark: SparkSession, path: str) -> Moments:
-    cells = spark.read.parquet(path).select("i", "n", F.posexplode("row").alias("j", "v"))
-    total = cells.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
-    d = max(r["j"] for r in total) + 1
-    full = np.zeros((d + 1, d))
-    for r in total:
-        full[r["i"], r["j"]] = r["v"]
-    n = next(r["n"] for r in total if r["i"] == 0 and r["j"] == 0)
-    return Moments(int(n), full[0], full[1:])
+    """All batches' moments: products inside the batches are summed, and what lies between the batch
+    means is one more moment pass over a row per batch."""
+    state = spark.read.parquet(path)
+    heads = state.filter("i = 0").select("n", array_to_vector("row").alias("t"))
+    whole = heads.agg(F.sum("n").alias("n"), Summarizer.sum(F.col("t")).alias("t")).first()
+    n, total = whole["n"], whole["t"].toArray()
+    centre = F.array(*[F.lit(float(x)) for x in total / n])
+    between = state.filter("i = 0").select(F.zip_with("row", centre, lambda t, c: F.sqrt("n") * (t / F.col("n") - c)).alias("v"))
+    inside = state.filter("i > 0").groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("s"))
+    outer = np.zeros((len(total), len(total)))
+    for r in inside.collect():
+        outer[r["i"] - 1] = r["s"].toArray()
+    return Moments(int(n), total, outer + moments(between, "v").outer, True)

@@ -39,6 +39,23 @@ def test_pca_is_orthonormal_and_explains_variance(spark):
     assert np.allclose(fuse.incremental_pca(parts, 3).weights, model.weights, atol=1e-6)
 
 
+def test_incremental_pca_far_from_zero(spark):
+    x = RNG.normal(size=(400, 2)) * [1.0, 0.1] + 1e8
+    got = fuse.incremental_pca([table(spark, x[k : k + 100]) for k in range(0, 400, 100)], 2)
+    want = np.sort(np.linalg.eigvalsh(np.cov((x - x.mean(0)).T)))[::-1]
+    assert np.allclose(got.explained, want, rtol=1e-4)
+
+
+def test_tensor_fusion_needs_one_width(spark):
+    x = RNG.normal(size=(40, 9))
+    df = spark.createDataFrame([(i, r[:4].tolist(), r[4:].tolist(), float(r[1] - 2 * r[6])) for i, r in enumerate(x)], "id bigint, a array<double>, b array<double>, y double")
+    with pytest.raises(ValueError):
+        fuse.tensor_fusion(df, ["a", "b"], 2)
+    best = fuse.top_features(df, ["a", "b"], "y", 1).orderBy("id").collect()
+    assert all(np.allclose(r["a"], x[i, 1]) and np.allclose(r["b"], x[i, 6]) for i, r in enumerate(best))
+    assert fuse.fuse(df, ["a", "b"], "tensordecompose", 1, "y", most=2)[1].count() == 40
+
+
 def test_ica_recovers_sources(spark):
     s = np.column_stack([np.sign(np.sin(np.arange(600) / 7.0)), RNG.uniform(-1, 1, 600)])
     z = matrix(fuse.ica(table(spark, s @ np.array([[1.0, 0.4], [0.3, 1.0]])), 2).transform(table(spark, s @ np.array([[1.0, 0.4], [0.3, 1.0]]))))

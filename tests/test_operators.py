@@ -373,7 +373,66 @@ def test_stream_moments_equal_batch(spark):
     df.repartition(3).write.parquet(path)
     m = ingest.accumulate_moments(ingest.file_stream(spark, path, df.schema), "features", scratch_path(spark, "state"))
     b = moments(df)
-    assert m.n == b.n and np.allclose(m.outer, b.outer) and np.allclose(m.total, b.total)
+    assert m.n == b.n and np.allclose(m.raw, b.outer) and np.allclose(m.total, b.total)
+    assert np.allclose(m.covariance, np.cov(x.T))
+
+
+def test_learning_fractions_take_whole_rows(spark):
+    df = spark.createDataFrame([(i, 1) for i in range(19)], "id bigint, y int")
+    got = {r["fraction"]: r["n"] for r in split.learning_fractions(df, "y").groupBy("fraction").agg(F.count("*").alias("n")).collect()}
+    assert got == {0.1: 1, 0.25: 4, 0.5: 9, 0.75: 14}
+
+
+def test_rebalance_knows_its_routes(spark):
+    df = spark.createDataFrame([(i, int(i == 0), [float(i)]) for i in range(60)], "id bigint, label int, features array<double>")
+    rows, route = sample.rebalance(df)
+    assert route == "balanced ensemble" and rows.count() == 60 and learners.for_route(route) == ["Balanced Ensemble"]
+    with pytest.raises(ValueError):
+        sample.rebalance(df, strategy="smoteenn")
+
+
+@pytest.mark.parametrize(("kind", "shift"), [("box-cox", 0.0), ("box-cox", 100.0), ("yeo-johnson", 100.0), ("yeo-johnson", -100.0), ("yeo-johnson", -2.0)])
+def test_power_exponent_is_the_likeliest(spark, kind, shift):
+    x = np.random.default_rng(8).gamma(2.0, 1.0, 60) + shift + (1e-3 if not shift else 0.0)
+
+    def score(lam):
+        from decimal import Decimal, localcontext
+
+        with localcontext() as ctx:
+            ctx.prec = 140
+            one, p = Decimal(1), Decimal(lam)
+            t, jac = [], Decimal(0)
+            for v in map(Decimal, map(float, x)):
+                base, e, sign = (v, p, 1) if kind == "box-cox" else (v + 1, p, 1) if v >= 0 else (one - v, 2 - p, -1)
+                t.append(sign * (base.ln() if abs(e) < Decimal("1e-20") else ((base.ln() * e).exp() - 1) / e))
+                jac += sign * base.ln()
+            mean = sum(t) / len(t)
+            var = sum((a - mean) ** 2 for a in t) / len(t)
+            return float(-Decimal(len(t)) / 2 * var.ln() + (p - 1) * jac)
+
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = scale.fit_power(df, ["x"], kind)["x"]
+    step = max(0.02, abs(got) * 0.002)
+    assert score(got) >= max(score(got - step), score(got + step)) - 1e-9
+
+
+@pytest.mark.parametrize("name", ["QDA", "AdaBoost", "MLP"])
+def test_weights_change_the_fit(spark, name):
+    x = RNG.normal(size=(160, 2))
+    y = (x[:, 0] + 0.8 * RNG.normal(size=160) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(k), r.tolist(), 6.0 if k else 1.0) for i, (k, r) in enumerate(zip(y, x, strict=True))], "id bigint, label int, features array<double>, weight double")
+    plain, heavy = (learners.make(name).fit(d).transform(df).agg(F.avg("p")).first()[0] for d in (df.drop("weight"), df))
+    assert heavy > plain + 0.01
+
+
+def test_penalised_weights_count_as_rows(spark):
+    x = RNG.normal(size=(40, 2))
+    rows = [(i, float(v @ [1.0, -2.0] + 0.1 * RNG.normal()), v.tolist(), float(1 + i % 3)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, label double, features array<double>, weight double")
+    again = df.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("_c", "weight")
+    for model in ("Ridge", "Lasso"):
+        a, b = (np.array([r["p"] for r in learners.make(model, "regression", alpha=0.05).fit(d).transform(df).orderBy("id").collect()]) for d in (df, again))
+        assert np.allclose(a, b, atol=1e-4)
 
 
 # -- learners ---------------------------------------------------------------------------------------------------------------
