@@ -32,7 +32,7 @@ from .common import components, mix64, stored
 
 PERMUTATIONS, BAND, LOW_BITS = 128, 5, 4
 BANDS = PERMUTATIONS // BAND
-BLOCK = 512
+BLOCK = 1024
 #: How far below the threshold an estimate may lie: over four standard deviations.
 SLACK = 0.15
 
@@ -185,20 +185,49 @@ def _first_round(share: float, leaders: int = 8):
     return lambda batches: _flushed(pairs(batches))
 
 
-def _second_round(share: float):
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+def _shared(sets: list[np.ndarray], q: np.ndarray) -> np.ndarray:
+    """How many of ``q``'s shingles each set holds."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(q, every), len(q) - 1)
+    return np.bincount(owner[q[at] == every], minlength=len(sets))
+
+
+def _second_round(width: int, similarity: tuple[int, int]):
+    """Links (component, component) between what a block's askers and its other documents are in.
+
+    A pair is confirmed where it stands: in the first bucket that both documents are in."""
+    num, den = similarity
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for g in _groups(batches, ["key", "left", "block"]):
-            query = g["asks"].to_numpy()
-            q = g[query]
-            if q.empty or len(g) < 2:
+            asks = np.flatnonzero(g["asks"].to_numpy())
+            if not len(asks) or len(g) < 2:
                 continue
-            ok = _alike(q["n_shingles"].to_numpy(), g["n_shingles"].to_numpy(), estimated(_signature_rows(q), _signature_rows(g)), share)
-            ok &= q["comp"].to_numpy()[:, None] != g["comp"].to_numpy()[None, :]
+            n, sig, comp, cid = g["n_shingles"].to_numpy(), _signature_rows(g), g["comp"].to_numpy(), g["cid"].to_numpy()
+            ok = _alike(n[asks], n, estimated(sig[asks], sig), num / den)
+            ok &= comp[asks][:, None] != comp[None, :]
+            ok &= ~g["asks"].to_numpy()[None, :] | (cid[asks][:, None] < cid[None, :])
             i, j = np.nonzero(ok)
-            if len(i):
-                yield np.stack([q["cid"].to_numpy()[i], g["cid"].to_numpy()[j]], axis=1)
-
-    return lambda batches: _flushed(pairs(batches))
+            if not len(i):
+                continue
+            bands = np.array(g["bands"].tolist())
+            first = np.argmax(bands[asks[i]] == bands[j], axis=1)
+            here = bands[j, first] == g["key"].iloc[0]
+            texts, sets = g["_text"].to_numpy(), {}
+            i, j = i[here], j[here]
+            for k in np.unique(i):
+                with_ = j[i == k]
+                for m in (asks[k], *with_):
+                    if m not in sets:
+                        sets[m] = shingle_hashes(texts[m], width)
+                own = sets[asks[k]]
+                both = _shared([sets[m] for m in with_], own)
+                hit = with_[den * both >= num * (len(own) + n[with_] - both)]
+                if len(hit):
+                    yield np.stack([np.full(len(hit), comp[asks[k]]), comp[hit]], axis=1)
+
+    return lambda batches: _flushed(links(batches))
 
 
 def _confirm(width: int, similarity: tuple[int, int]):
@@ -235,7 +264,8 @@ def near_duplicates(rows: DataFrame, width: int = 3, similarity: tuple[int, int]
     keyed = reps.select("cid", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(keyed.join(shared, "key").join(reps.select("cid", "n_shingles", "sig"), "cid"), "minhash-members")
-    texts = stored(rows.join(members.select(F.col("cid").alias("_c")).distinct(), F.col("_r") == F.col("_c"), "left_semi").select(F.col("_r").alias("_t"), F.col("text").alias("_text")), "minhash-texts")
+    wanted = rows.join(members.select(F.col("cid").alias("_c")), F.col("_r") == F.col("_c"), "left_semi")
+    texts = stored(wanted.select(F.col("_r").alias("_t"), F.col("text").alias("_text")), "minhash-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("_t").alias(f"_i{k}"), F.col("_text").alias(f"_t{k}")) for k in "ab")
@@ -245,28 +275,26 @@ def near_duplicates(rows: DataFrame, width: int = 3, similarity: tuple[int, int]
     block = F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("size") / F.lit(BLOCK)))
     blocks = members.withColumn("block", block)
     first = blocks.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "cid", "n_shingles", "sig")
-    tried = stored(first.mapInPandas(_first_round(share), "a long, b long").distinct(), "minhash-pairs")
-    links = confirmed(tried)
+    links = confirmed(stored(first.mapInPandas(_first_round(share), "a long, b long").distinct(), "minhash-pairs"))
     comp = components(links)
 
     linked = blocks.join(comp, F.col("cid") == F.col("node"), "left").select(*blocks.columns, F.coalesce("component", "cid").alias("comp"))
-    linked = stored(linked, "minhash-linked")
+    linked = stored(linked.drop("sig", "n_shingles", "size"), "minhash-linked")
     parts = linked.groupBy("key", "comp").agg(F.count("*").alias("k"))
     main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("parts > 1").drop("parts")
     open_ = stored(linked.join(main, "key").withColumn("asks", F.col("comp") != F.col("main")).drop("main"), "minhash-open")
+    # A block meets the askers of its own and of every other block of its bucket.
     asking = open_.filter("asks").select("key", F.col("block").alias("left")).distinct()
-    # In the block of the askers themselves and in every other block of their bucket.
     facing = open_.join(asking, "key").withColumn("asks", F.col("asks") & (F.col("block") == F.col("left")))
-    guests = open_.filter("asks").withColumn("left", F.col("block")).join(open_.select("key", F.col("block").alias("other")).distinct(), "key").filter("other <> block").withColumn("block", F.col("other")).drop("other")
-    cols = ["key", "left", "block", "cid", "n_shingles", "sig", "comp", "asks"]
-    second = facing.select(*cols).union(guests.select(*cols)).repartition("key", "left", "block").sortWithinPartitions("key", "left", "block")
-    crossing = second.mapInPandas(_second_round(share), "a long, b long").distinct()
-    more = confirmed(stored(crossing.join(tried, ["a", "b"], "left_anti"), "minhash-pairs"))
-    # Components of components: round two only has to join what round one left apart.
-    label = comp.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    lifted = more.join(label, more.a == label._n, "left").select(F.coalesce("_c", "a").alias("a"), "b")
-    lifted = lifted.join(label, lifted.b == label._n, "left").select("a", F.coalesce("_c", "b").alias("b"))
-    upper = components(lifted).select(F.col("node").alias("_m"), F.col("component").alias("_top"))
+    others = open_.select("key", F.col("block").alias("other")).distinct()
+    guests = open_.filter("asks").withColumn("left", F.col("block")).join(others, "key").filter("other <> block").withColumn("block", F.col("other"))
+    cols = ["key", "left", "block", "cid", "comp", "asks"]
+    carried = reps.select(F.col("cid").alias("_c"), "n_shingles", "sig", "bands").join(texts, F.col("_c") == texts._t).drop("_t")
+    met = facing.select(*cols).union(guests.select(*cols)).join(carried, F.col("cid") == F.col("_c")).drop("_c")
+    met = met.repartition("key", "left", "block").sortWithinPartitions("key", "left", "block")
+    more = stored(met.mapInPandas(_second_round(width, similarity), "a long, b long"), "minhash-links")
+    # Round two only has to join the components that round one left apart.
+    upper = components(more).select(F.col("node").alias("_m"), F.col("component").alias("_top"))
     named = classes.join(comp, classes.cid == comp.node, "left").select("digest", "least", F.coalesce("component", "cid").alias("comp"))
     named = cut_lineage(named.join(upper, named.comp == upper._m, "left").select("digest", "least", F.coalesce("_top", "comp").alias("comp")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
