@@ -20,11 +20,12 @@ of other names are ignored.  Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -252,6 +253,20 @@ def _confirm(width: int, similarity: tuple[int, int]):
     return run
 
 
+@contextmanager
+def _bloom_filters(spark: SparkSession) -> Iterator[None]:
+    """Let Spark filter the large side of a join by a Bloom filter (of bounded size) of the other."""
+    wished = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(k, None) for k in wished}
+    for k, v in wished.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def near_duplicates(rows: DataFrame, width: int = 3, similarity: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, _r for stored rows (_r, doc_id, text).
 
@@ -264,8 +279,9 @@ def near_duplicates(rows: DataFrame, width: int = 3, similarity: tuple[int, int]
     keyed = reps.select("cid", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(keyed.join(shared, "key").join(reps.select("cid", "n_shingles", "sig"), "cid"), "minhash-members")
-    wanted = rows.join(members.select(F.col("cid").alias("_c")), F.col("_r") == F.col("_c"), "left_semi")
-    texts = stored(wanted.select(F.col("_r").alias("_t"), F.col("text").alias("_text")), "minhash-texts")
+    with _bloom_filters(rows.sparkSession):
+        wanted = rows.join(members.filter("size > 1").select(F.col("cid").alias("_c")), F.col("_r") == F.col("_c"), "left_semi")
+        texts = stored(wanted.select(F.col("_r").alias("_t"), F.col("text").alias("_text")), "minhash-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("_t").alias(f"_i{k}"), F.col("_text").alias(f"_t{k}")) for k in "ab")
