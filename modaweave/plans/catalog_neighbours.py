@@ -107,7 +107,22 @@ def _(spark, d):
     return density.maxmin(fx.fingerprints(spark, d), 50)
 
 
-@query("dense_regions", "K7")
+def _regions_sql(min_cluster: int, min_samples: int) -> str:
+    """Components over all pairs within the median core distance."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pair AS (SELECT a.id AS a, b.id AS b, round(list_distance(a.x, b.x), 12) AS d FROM v a JOIN v b ON a.id <> b.id),
+core AS (SELECT a AS id, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM pair) WHERE k <= {min_samples} GROUP BY a),
+eps AS (SELECT quantile_cont(core, 0.5) AS e FROM core),
+link AS (SELECT p.a, p.b FROM pair p JOIN core x ON x.id = p.a JOIN core y ON y.id = p.b CROSS JOIN eps WHERE greatest(p.d, x.core, y.core) <= e),
+reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+big AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS cluster FROM comp GROUP BY c HAVING count(*) >= {min_cluster})
+SELECT id, CAST(coalesce(cluster, -1) AS BIGINT) AS cluster, {r("CASE WHEN cluster IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - core / e)) END")} AS probability
+FROM comp JOIN core USING (id) LEFT JOIN big USING (c) CROSS JOIN eps"""
+
+
+@query("dense_regions", "K7", _regions_sql(10, 5))
 def _(spark, d):
     v = fx.vectors(spark, d).select("id", "features")
     return density.dense_regions(v, min_cluster=10, min_samples=5)
@@ -118,7 +133,7 @@ def _(spark, d):
     from ..operators.fuse import pca
 
     v = fx.vectors(spark, d).select("id", "features")
-    out = pca(sample.fixed_size(v, 300), 10).transform(v)
+    out = pca(v, 10).transform(v)
     return out.select("id", *[F.col("features")[i].alias(f"c{i}") for i in range(10)])
 
 

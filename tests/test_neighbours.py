@@ -107,6 +107,25 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in got} == {i: find(i) for i in range(n)}
 
 
+def test_dense_groups_closer_than_eps_are_one(spark):
+    """Groups too small to reach each other through their nearest neighbours alone."""
+    x = np.array([[0.5 * g, 0.001 * k] for g in range(40) for k in range(4)])
+    rows = density.dense_regions(table(spark, x), min_cluster=2, min_samples=3, eps=1.0).collect()
+    assert {r["cluster"] for r in rows} == {0}
+
+
+def test_range_links_join_what_steps_join(spark):
+    x = RNG.uniform(0, 10, size=(400, 2))
+    for size in (1 << 10, 16 << 20):  # many small blocks, and one
+        got = density.connected_components(table(spark, x).select("id"), density.range_links(table(spark, x), 0.45, block_bytes=size))
+        up = list(range(len(x)))
+        near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.45**2
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = up[i], up[j]
+            up = [min(a, b) if u in (a, b) else u for u in up] if a != b else up
+        assert {r["id"]: r["component"] for r in got.collect()} == dict(enumerate(up))
+
+
 def test_dense_regions_find_blobs(spark):
     x = np.vstack([RNG.normal(c, 0.05, size=(60, 2)) for c in (0, 5)] + [RNG.uniform(20, 90, size=(10, 2))])
     rows = density.dense_regions(table(spark, x), min_cluster=20, min_samples=5, eps=0.5).collect()
