@@ -74,7 +74,7 @@ def bit_frequency(df: DataFrame, bits: str = "bits", bins: int = 50) -> DataFram
     return of_counts(tagged.agg(F.count("*").alias("n")))
 
 
-def distance_histogram(df: DataFrame, bits: str = "bits", id_col: str = "id", sample: int = 5000, bins: int = 50, seed: int = 42) -> DataFrame:
+def distance_histogram(df: DataFrame, bits: str = "bits", id_col: str = "id", *, sample: int, bins: int = 50, seed: int = 42) -> DataFrame:
     """Histogram of pairwise Tanimoto distances inside a fixed-size sample.
 
     The sample is bounded, so its matrix is broadcast; each task multiplies its rows against it
@@ -103,11 +103,12 @@ def distance_histogram(df: DataFrame, bits: str = "bits", id_col: str = "id", sa
     return rows.mapInPandas(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def distance(df: DataFrame, bits: str = "bits", id_col: str = "id", **kwargs) -> DataFrame:
-    return of_counts(distance_histogram(df, bits, id_col, **kwargs))
+def distance(df: DataFrame, bits: str = "bits", id_col: str = "id", *, sample: int, **kwargs) -> DataFrame:
+    """Entropy of the pairwise distances among ``sample`` rows; the caller says how many."""
+    return of_counts(distance_histogram(df, bits, id_col, sample=sample, **kwargs))
 
 
-def retention_report(original: DataFrame, subset: DataFrame, bits: str = "bits", id_col: str = "id", bins: int = 20, sample: int = 5000) -> DataFrame:
+def retention_report(original: DataFrame, subset: DataFrame, bits: str = "bits", id_col: str = "id", bins: int = 20, *, sample: int) -> DataFrame:
     """Entropy of a subset next to the whole: retention and use of the maximum, in percent."""
 
     def side(df: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def _(spark, d):
 @query("ica", "F3")
 def _(spark, d):
     v = cut_lineage(_vec(spark, d))
-    return _wide(fuse.ica(v, 4, rounds=20).transform(v))
+    return _wide(fuse.ica(v, 4).transform(v))
 
 
 @query("cca_pair", "F4")
@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query("tensor_fusion", "F9")
 def _(spark, d):
-    v = fx.vector_modalities(spark, d).withColumn("a", F.slice("a", 1, 20))
+    v = cut_lineage(fuse.top_features(fx.vector_modalities(spark, d), ["a", "b", "c"], "label", 20))
     return _wide(fuse.tensor_fusion(v, ["a", "b", "c"], 4).transform(v, ["a", "b", "c"]))
 
 
@@ -135,12 +135,12 @@ def _(spark, d):
 @query(
     "reconstruction_losses",
     "F12",
-    with_(fx.CELLS, "m AS (SELECT pos, avg(v) AS mu FROM cells GROUP BY pos)", "x AS (SELECT id, pos, v, mu FROM cells JOIN m USING (pos) WHERE pos < 48)", "l AS (SELECT pos // 24 AS part, avg((v - mu) ** 2) AS e FROM x GROUP BY 1)")
+    with_(fx.CELLS, "m AS (SELECT pos, avg(v) AS mu FROM cells GROUP BY pos)", "x AS (SELECT id, pos, v, mu FROM cells JOIN m USING (pos) WHERE pos < 64)", "l AS (SELECT pos // 32 AS part, avg((v - mu) ** 2) AS e FROM x GROUP BY 1)")
     + f"SELECT {r('max(CASE WHEN part = 0 THEN e END)')} AS encoding_loss_a, {r('max(CASE WHEN part = 1 THEN e END)')} AS encoding_loss_b, {r('sum(e)')} AS total_encoding_loss, {r('sum(e)')} AS total_reconstruction_loss, {r('0.33 * sum(e) / 2 + 0.33 * sum(e) / 2')} AS total_loss FROM l",
 )
 def _(spark, d):
     # The column mean stands in for the encoder, so every part of the loss has a closed form.
-    v = fx.vectors(spark, d).select("id", F.slice("features", 1, 24).alias("a"), F.slice("features", 25, 24).alias("b"))
+    v = fx.vectors(spark, d).select("id", F.slice("features", 1, 32).alias("a"), F.slice("features", 33, 32).alias("b"))
     for n in ("a", "b"):
         mean = linalg.vector_mean(v, n)
         v = v.withColumn(f"enc_{n}", F.array(*[F.lit(float(x)) for x in mean]))
@@ -201,7 +201,7 @@ _LEARNERS = (
     ("balanced_ensemble", "L14", "Balanced Ensemble", "classification"),
     ("robust_regression", "L15", "Support Vector Machine", "regression"),
 )
-_SMALL = {"AdaBoost": {"rounds": 3}, "Balanced Ensemble": {"size": 3, "rounds": 2}, "XGBoost": {"rounds": 5}, "Gradient Boosting": {"rounds": 5}, "MLP": {"rounds": 30}, "Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}}
+_SMALL = {"Balanced Ensemble": {"size": 10, "rounds": 2}, "Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}}
 
 
 
@@ -238,7 +238,7 @@ for _name, _row, _learner, _task in _LEARNERS:
 @query("study_cross_validation", "V1")
 def _(spark, d):
     ms, labels = _set(spark, d)
-    return studies.cross_validate_fusions(ms, labels, ["pca", "plsda"], 4, ["Logistic Regression"], folds=3)
+    return studies.cross_validate_fusions(ms, labels, ["pca", "plsda"], 4, ["Logistic Regression"], folds=5)
 
 
 @query("study_group_split", "V2")
@@ -256,7 +256,7 @@ def _(spark, d):
 @query("study_base_models", "V4")
 def _(spark, d):
     ms, labels = _set(spark, d)
-    return studies.base_models(ms, labels, ["Naive Bayes"], folds=2)
+    return studies.base_models(ms, labels, ["Naive Bayes"], folds=5)
 
 
 @query("study_distribution_shift", "V5")
@@ -269,7 +269,7 @@ def _(spark, d):
 
 @query("study_low_data", "V6")
 def _(spark, d):
-    return studies.low_data_curves(_vec(spark, d), ["Naive Bayes"], seeds=(42,), folds=2, fractions=(0.25, 0.75)).drop("seconds")
+    return studies.low_data_curves(_vec(spark, d), ["Naive Bayes"], seeds=(42,), folds=2).drop("seconds")
 
 
 @query("study_descriptor_benchmark", "V7")

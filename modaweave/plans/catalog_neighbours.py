@@ -232,7 +232,7 @@ def _(spark, d):
     + _entropy_sql("SELECT least(floor(round(dist * 50, 9)), 49) AS b, count(*) AS n FROM p GROUP BY 1"),
 )
 def _(spark, d):
-    return entropy.distance(fx.fingerprints(spark, d))
+    return entropy.distance(fx.fingerprints(spark, d), sample=5000)
 
 
 @query("bit_frequency_entropy", "E6", with_(fx.BITS_SQL, _SHARES) + _entropy_sql("SELECT least(floor(round(p * 50, 9)), 49) AS b, count(*) AS n FROM shares GROUP BY 1"))
@@ -243,7 +243,7 @@ def _(spark, d):
 @query("entropy_retention", "E7")
 def _(spark, d):
     fp = cut_lineage(fx.fingerprints(spark, d))
-    return entropy.retention_report(fp, sample.fixed_size(fp, 200))
+    return entropy.retention_report(fp, sample.fixed_size(fp, density.target_size(fp.count(), 0.4)), sample=5000)
 
 
 @query("group_entropy", "E8", _entropy_sql("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand"))

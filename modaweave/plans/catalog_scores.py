@@ -134,9 +134,9 @@ def _(spark, d):
     return metrics.multitask_mean(long, 3)
 
 
-@query("argmax_class", "M17", "SELECT vec_id AS id, CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS BIGINT) AS class FROM embeddings")
+@query("argmax_class", "M17", "SELECT vec_id AS id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS class FROM embeddings")
 def _(spark, d):
-    return fx.vectors(spark, d).select("id", metrics.argmax_class(F.slice("features", 1, 8)).alias("class"))
+    return fx.vectors(spark, d).select("id", metrics.argmax_class("features").alias("class"))
 
 
 @query("ensemble_mean", "M18 V12", with_(fx.MODELS) + f"SELECT id, {r('avg(p)')} AS p FROM predictions GROUP BY id")

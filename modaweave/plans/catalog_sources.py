@@ -45,11 +45,9 @@ def _(spark, d):
     return readers.embeddings(spark, d, "embeddings").select("id", "label", vsum("embedding").alias("total"))
 
 
-@query("embedding_file_names", "IO5", "SELECT 'supplier' AS descriptor, count(*) AS n FROM supplier UNION ALL SELECT 'part', count(*) FROM part")
+@query("embedding_file_names", "IO5", " UNION ALL ".join(f"SELECT '{t}' AS descriptor, count(*) AS n FROM {t}" for t in fx.TABLES))
 def _(spark, d):
-    reader = spark.read.option("recursiveFileLookup", True)
-    named = [reader.option("pathGlobFilter", g).parquet(d).select(readers.descriptor_of(F.col("_metadata.file_name")).alias("descriptor")) for g in ("supplier*", "part*")]
-    return named[0].unionByName(named[1]).groupBy("descriptor").agg(F.count("*").alias("n"))
+    return readers.all_embeddings(spark, d).groupBy("descriptor").agg(F.count("*").alias("n"))
 
 
 @query("keyed_rows", "IO6 P5", "SELECT DISTINCT lang, CAST(source AS VARCHAR) AS source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
@@ -185,9 +183,9 @@ def _(spark, d):
     return readers.log_values(o.select(F.col("o_orderkey").alias("id"), text.alias("log")), "log", wanted).drop("log")
 
 
-@query("prefixed_columns", "IO19", "SELECT vec_id AS id, " + ", ".join(f"{r(f'embedding[{i + 1}]')} AS \"Sign_{i}\"" for i in range(8)) + " FROM embeddings")
+@query("prefixed_columns", "IO19", "SELECT vec_id AS id, " + ", ".join(f"{r(f'embedding[{i + 1}]')} AS \"Sign_{i}\"" for i in range(64)) + " FROM embeddings")
 def _(spark, d):
-    return writers.prefixed(fx.vectors(spark, d), "features", "Sign_", 8)
+    return writers.prefixed(fx.vectors(spark, d), "features", "Sign_", 64)
 
 
 # -- projection and validation -----------------------------------------------------------------------------
