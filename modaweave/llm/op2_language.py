@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of labelled text.  A document, letters
-only and lower case, is encoded in blocks with every dictionary; the language whose dictionary gives
+Each language has a zstandard raw-content dictionary made of labelled text.  A document, its words in
+lower case without what stands between them, is encoded in blocks with every dictionary; the language whose dictionary gives
 the fewest bytes wins.  A narrow margin over the runner-up is rejected: ``accepted`` is false.
 
 All of a text is encoded; blocks keep the dictionary in play for very long ones.  A text that is
@@ -27,14 +27,17 @@ _other = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
-    return _other.sub(" ", text.lower()).strip() if text else ""
+    """Words of letters in lower case; a word that follows itself at once counts once."""
+    words = _other.sub(" ", text.lower()).split() if text else []
+    return " ".join([w for w, before in zip(words, ["", *words], strict=False) if w != before])
 
 
-def dictionaries(docs: DataFrame, most: int = 400, size: int = 1 << 16, seed: int = 2) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, most: int = 1500, size: int = 1 << 18, seed: int = 2) -> dict[str, bytes]:
     """Language to dictionary, in order of training rows.
 
     About ``most`` labelled documents a language, one block of each at a place its hash chooses;
-    ``size`` bytes a language at most.  Both bound the training sample only.
+    ``size`` bytes a language at most, as many as the language with the least text has.  Both bound
+    the training sample only.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     order = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
@@ -47,7 +50,9 @@ def dictionaries(docs: DataFrame, most: int = 400, size: int = 1 << 16, seed: in
         parts = [p for p in (letters(r["t"]) for r in rows if r["lang"] == lang) if p]
         share = max(1, size // max(1, len(parts)))
         out[lang] = b" ".join(p.encode()[:share] for p in parts)[-size:]
-    return {k: v for k, v in out.items() if v}
+    # One size for all: a larger dictionary finds more matches in any language.
+    even = max(1 << 14, min((len(v) for v in out.values() if v), default=0))
+    return {k: v[-even:] for k, v in out.items() if v}
 
 
 def _encoder(data: bytes, level: int) -> Callable[[bytes], int]:
@@ -81,11 +86,12 @@ def identify(texts: list[str | None], names: list[str], encoders: list, narrow:
 
 def with_language(docs: DataFrame, dicts: dict[str, bytes], level: int = 3, narrow: float = 0.02) -> DataFrame:
     """All documents with a struct ``_lang`` of lang_pred, score and accepted."""
-    names, data = list(dicts), list(dicts.values())
+    names = list(dicts)
+    data = docs.sparkSession.sparkContext.broadcast(list(dicts.values()))  # ``size`` bytes a language at most
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoders = [_encoder(d, level) for d in data]
+        encoders = [_encoder(d, level) for d in data.value]
         for s in batches:
             yield pd.DataFrame(list(identify(s.tolist(), names, encoders, narrow)), columns=["lang_pred", "score", "accepted"])
 
