@@ -36,6 +36,13 @@ QUERIES = (
     "pca",
     "cross_modal_integration",
     "stream_ingest",
+    "diverse_pick",
+    "dense_regions",
+    "spectral_embedding",
+    "group_split_random",
+    "group_split_balanced",
+    "learner_logistic_regression",
+    "study_classification",
 )
 
 

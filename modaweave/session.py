@@ -57,11 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Write a table of group-level numbers and mark it for broadcast if it proved to be small;
-    otherwise it goes back as it is and joins by shuffle."""
+def broadcast_small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """Write a table of group-level numbers and mark it for broadcast if its rows, as text, proved to
+    take at most ``most_bytes``; otherwise it goes back as it is and joins by shuffle."""
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    size = kept.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(kept) if size <= most_bytes else kept
 
 
 def planned_bytes(df: DataFrame) -> int:
