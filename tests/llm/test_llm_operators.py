@@ -5,7 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from helpers import Sets, counts, near_groups, targets
+from llm_helpers import Sets, counts, near_groups, targets
 
 from modaweave.llm import op1_secrets, op2_language, op3_embedding, op4_packing, op5_quality, op6_rules, op7_minhash, op8_mixing, op9_licenses, op10_urls
 from modaweave.llm.common import components, stored

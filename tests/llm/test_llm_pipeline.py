@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import pytest
-from helpers import WORDS, near_groups, targets
+from llm_helpers import WORDS, near_groups, targets
 
 from modaweave.llm import op4_packing
 from modaweave.llm.queries import tokenizer
