@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import impute, joins, profile, scale
+from ..functions.vectors import vsum
+from ..operators import impute, joins, profile, scale, wide
 from . import fixtures as fx
 from .registry import query, r, with_
 
@@ -464,7 +465,41 @@ def _prepared_sql():
 
 @query("prepared_modalities", "V13", _prepared_sql(), digits=5)
 def _(spark, d):
-    from .studies import prepare
+    out, names = wide.WideSet.from_columns(fx.modalities(spark, d).tables).prepare()
+    return out.select("id", *[F.col("features")[names.index(c)].alias(c) for c in _ALL])
 
-    out = prepare(fx.modalities(spark, d)).assemble()
-    return out.select("id", *[F.col("features")[i].alias(c) for i, c in enumerate(_ALL)])
+
+# -- the same on arrays ------------------------------------------------------------------------------
+_HOLES = "CAST(CASE WHEN (vec_id + pos) % 7 = 3 THEN NULL ELSE embedding[pos + 1] END AS DOUBLE)"
+_WIDE = f"cells AS (SELECT vec_id AS id, pos, {_HOLES} AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS pos FROM embeddings))"
+
+
+def _wide_rows(spark, d):
+    """Embeddings with holes."""
+    v = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    return v.withColumn("features", F.transform("features", lambda x, i: F.when((F.col("id") + i) % 7 != 3, x)))
+
+
+def _wide_sums(name, rows, sql, run):
+    """A row per vector: its number of values, their sum and the sum weighted by position."""
+    query(name, rows, with_(_WIDE, "m AS (SELECT pos, avg(v) AS mean, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi FROM cells GROUP BY pos)", f"z AS (SELECT id, pos, {sql} AS z FROM cells JOIN m USING (pos))") + f"SELECT id, count(z) AS present, {r('sum(z)', 4)} AS total, {r('sum(z * (pos + 1))', 4)} AS weighted FROM z GROUP BY id", digits=4)(
+        lambda spark, d: run(_wide_rows(spark, d)).select(
+            "id", F.size(F.filter("features", lambda x: x.isNotNull() & ~F.isnan(x))).alias("present"), vsum(_held()).alias("total"), vsum(F.transform(_held(), lambda x, i: x * (i + 1))).alias("weighted")
+        )
+    )
+
+
+def _held():
+    return F.transform("features", lambda x: F.when(F.isnan(x), 0.0).otherwise(F.coalesce(x, F.lit(0.0))))
+
+
+@query("wide_missing_totals", "Q1", with_(_WIDE) + "SELECT 'embeddings' AS modality, count(*) FILTER (v IS NULL) AS missing FROM cells")
+def _(spark, d):
+    return wide.WideSet({"embeddings": _wide_rows(spark, d)}).missing_totals()
+
+
+_wide_sums("wide_mean_imputed", "I1", "coalesce(v, mean)", lambda v: wide.mean_filler(wide.position_stats(v)).transform(v))
+_wide_sums("wide_standardized", "N1", "(v - mean) / sd", lambda v: wide.fit(wide.position_stats(v), "standardize").transform(v))
+_wide_sums("wide_minmax_scaled", "N2", "(v - lo) / (hi - lo)", lambda v: wide.fit(wide.position_stats(v), "minmax").transform(v))
+_wide_sums("wide_l1_rows", "N6", "coalesce(v, 0) / sum(abs(v)) OVER (PARTITION BY id)", lambda v: wide.normalize_rows(v.withColumn("features", _held()), "L1"))
+_wide_sums("wide_l2_rows", "N7", "coalesce(v, 0) / sqrt(sum(v * v) OVER (PARTITION BY id))", lambda v: wide.normalize_rows(v.withColumn("features", _held()), "L2"))
