@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that ``stored`` has written in this process and nobody has dropped.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, a lost executor costs a re-read."""
     path = scratch_path(df.sparkSession, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths stored inside the block, for ``drop`` once what was made from them is written."""
+    paths: list[str] = []
+    mark = len(_written)
+    yield paths
+    paths += _written[mark:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _written:
+            _written.remove(path)
+    paths.clear()
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id's text, modulo 4; null ids count as fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4, F.lit(0))
