@@ -1,47 +1,68 @@
 """The corpus pipeline: quality, near-duplicates, secrets, mixing, packing.
 
 Each stage works on all that the stage before it kept, written as Parquet and read again.  Stages
-before the last return the columns of ``documents``.
+before the last return the columns of ``documents``.  A stage first drops the tables that the stage
+before it stored on its way: that stage's result has been written by then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from modaweave.llm import op1_secrets, op4_packing, op5_quality, op7_minhash, op8_mixing
-from modaweave.llm.common import stored, table
+from modaweave.llm.common import drop, table, tracked
 from modaweave.llm.queries import text_batches, tokenizer
+from modaweave.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What the last stage stored on its way.
+_left: list[str] = []
 
+
+def after_the_last(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _left)
+        text_batches(spark)
+        with tracked() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
+@after_the_last
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking accepts."""
-    text_batches(spark)
     return op5_quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@after_the_last
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    text_batches(spark)
     return op7_minhash.deduplicated(docs, width=5, similarity=(4, 5))
 
 
+@after_the_last
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
     return op1_secrets.redacted(docs)
 
 
+@after_the_last
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return op8_mixing.mixed_documents(docs)
 
 
+@after_the_last
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences, ids included."""
-    text_batches(spark)
     return op4_packing.pack(docs, tokenizer())
 
 
@@ -63,5 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
+            path = scratch_path(spark, f"stage-{name}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
