@@ -98,14 +98,19 @@ def stat(name: str, column: str = "_stats") -> Column:
     return F.col(column)[(COUNTS + RATIOS).index(name)]
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, _y): all labels 0 or 1 outside the held-out fold."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("_y"))
+    return rows.filter(F.col("_y").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
+
+
 def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 5) -> pd.DataFrame:
     """Statistics of about ``most`` labelled documents of either class (doc_id, y, COUNTS, RATIOS).
 
     A bounded training sample, taken by a hash of the id from all labels outside the held-out fold;
     it is small enough to be broadcast to the documents and read on the driver.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out())
-    chosen = bounded_sample(rows.filter(F.col("doc_id").isNotNull()), "doc_id", most, "_y", seed).distinct()
+    chosen = bounded_sample(known_labels(labels, label), "doc_id", most, "_y", seed).distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     out = texts.select("doc_id", "_y", stats_column("text").alias("_s")).toPandas()
     x = pd.DataFrame(np.array(out["_s"].tolist()).reshape(len(out), len(COUNTS + RATIOS)), columns=COUNTS + RATIOS)

@@ -206,6 +206,15 @@ def test_quality(docs, labels):
     assert np.mean([got[i].predicted == y for i, y in truth]) > 0.95
 
 
+def test_quality_threshold_covers_all_labels(spark, docs, labels):
+    """As many labelled documents are rejected as are bad, also where the classes overlap and the
+    sample levels them."""
+    mixed = labels.withColumn("quality", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
+    got = {r.doc_id: r for r in op5_quality.op5(docs, mixed, most=40).collect()}
+    train = [(got[r.doc_id].predicted, r.quality) for r in mixed.collect() if not got[r.doc_id].held_out]
+    assert abs(sum(p == 0 for p, _ in train) - sum(y == 0 for _, y in train)) <= 0.02 * len(train)
+
+
 def test_quality_odd(spark, odd, empty, labels):
     got = op5_quality.op5(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
