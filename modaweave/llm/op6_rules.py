@@ -2,7 +2,9 @@
 
 Sequential covering on a bounded labelled sample: grow a conjunction of threshold tests on text
 statistics that covers bad documents, prune it on rows it was not grown on, keep it if it is still
-precise, take away what it covers and go on.  The list becomes one ordered Spark conditional.
+precise, take away what it covers and go on.  Where the sample holds a smaller share of one class
+than of the other, its rows weigh as many labels as they stand for, so that gain and precision are
+those of all labels.  The list becomes one ordered Spark conditional.
 
 Null texts have no words; empty texts fail the base rule.  Without labels of both classes the list
 is empty and keeps everything.  Repeated rows are judged one by one, ties in the search go to the
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textstats import COUNTS, RATIOS, labelled_stats, stat, stats_column
+from .textstats import COUNTS, RATIOS, known_labels, labelled_stats, stat, stats_column
 
 
 @dataclass(frozen=True)
@@ -53,20 +55,21 @@ def _cuts(values: np.ndarray, most: int = 64) -> np.ndarray:
     return mid if len(mid) <= most else mid[np.linspace(0, len(mid) - 1, most).astype(int)]
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray, longest: int) -> Rule:
     """Add the test with the greatest information gain until only bad rows are left."""
     live, rule = np.ones(len(bad), dtype=bool), ()
     while len(rule) < longest and (~bad[live]).any():
-        p0, n0 = bad[live].sum(), (~bad[live]).sum()
+        p0, n0 = weight[live & bad].sum(), weight[live & ~bad].sum()
         best, gain = None, 1e-9
         for name, v in x.items():
-            here, y = v[live], bad[live]
+            here = v[live]
             order = np.argsort(here, kind="stable")
-            ranked, pos = here[order], np.concatenate([[0], np.cumsum(y[order])])
+            ranked = here[order]
+            pos, neg = (np.concatenate([[0.0], np.cumsum((weight * side)[live][order])]) for side in (bad, ~bad))
             for cut in _cuts(here):
                 k = int(np.searchsorted(ranked, cut, side="right"))
-                for above, p, total in ((True, p0 - pos[k], len(here) - k), (False, pos[k], k)):
-                    if p and (g := p * (np.log2(p / total) - np.log2(p0 / (p0 + n0)))) > gain:
+                for above, p, n in ((True, pos[-1] - pos[k], neg[-1] - neg[k]), (False, pos[k], neg[k])):
+                    if p > 1e-9 and (g := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > gain:
                         best, gain = Test(name, above, float(cut)), g
         if best is None:
             break
@@ -75,18 +78,20 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
     return rule
 
 
-def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, int]:
+def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     hit = covers(rule, x, len(bad))
-    p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
+    p, n = float(weight[hit & bad].sum()), float(weight[hit & ~bad].sum())
     return (p - n) / (p + n) if p + n else -1.0, p
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, longest: int = 4, most: int = 16, tries: int = 6, seed: int = 6) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, weight: np.ndarray | None = None, precision: float = 0.9, longest: int = 4, most: int = 16, tries: int = 6, seed: int = 6) -> list[Rule]:
     """Ordered rules for bad rows; ``precision`` is what a rule must reach on its pruning rows.
+    ``weight`` is how many labels a row stands for, one if not given.
 
     A rule that fails is tried again on another split; ``tries`` failures in a row end the search.
     """
     rules: list[Rule] = []
+    weight = np.ones(len(bad)) if weight is None else weight
     rng = np.random.default_rng(seed)
     left = np.ones(len(bad), dtype=bool)
     failed = 0
@@ -94,18 +99,18 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, lon
         index = np.flatnonzero(left)
         test = rng.random(len(index)) < 1 / 3
         grow, prune = ({k: v[index[m]] for k, v in x.items()} for m in (~test, test))
-        rule = _grow(grow, bad[index[~test]], longest)
+        rule = _grow(grow, bad[index[~test]], weight[index[~test]], longest)
         failed += 1
         if not rule:
             continue
-        y = bad[index[test]]
+        y, wy = bad[index[test]], weight[index[test]]
         while len(rule) > 1:  # drop the test whose loss helps or does not hurt
             options = [rule[:i] + rule[i + 1 :] for i in range(len(rule))]
-            values = [_worth(o, prune, y)[0] for o in options]
-            if max(values) < _worth(rule, prune, y)[0]:
+            values = [_worth(o, prune, y, wy)[0] for o in options]
+            if max(values) < _worth(rule, prune, y, wy)[0]:
                 break
             rule = options[int(np.argmax(values))]
-        value, found = _worth(rule, prune, y)
+        value, found = _worth(rule, prune, y, wy)
         if not found or (value + 1) / 2 < precision:
             continue
         failed = 0
@@ -115,12 +120,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, lon
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, seed: int = 6, **settings) -> list[Rule]:
-    """Learn from about ``most`` labelled documents of each class, held-out fold excluded."""
+    """Learn from about ``most`` labelled documents of each class, held-out fold excluded, weighted
+    by the labels that each stands for."""
     sample = labelled_stats(docs, labels, label, most, seed)
     bad = sample["y"].to_numpy() == 0
     if bad.all() or not bad.any():
         return []
-    return learn({n: sample[n].to_numpy() for n in RATIOS}, bad, **settings)
+    counts = {r["_y"]: r["count"] for r in known_labels(labels, label).groupBy("_y").count().collect()}
+    weight = sample["y"].map({y: max(1.0, n / most) for y, n in counts.items()}).to_numpy()  # the inverse of the sampling share
+    return learn({n: sample[n].to_numpy() for n in RATIOS}, bad, weight, **settings)
 
 
 def verdict(rules: list[Rule], stats: str = "_stats") -> Column:

@@ -254,6 +254,16 @@ def test_rules_are_found_and_pruned():
     assert (hit == bad).mean() > 0.98 and len(rules) <= 6
 
 
+def test_rules_reach_the_precision_of_all_labels(spark):
+    """Two thirds of the documents with a mark are bad, but nineteen of twenty in a levelled sample."""
+    plain = " ".join(f"word{k}" for k in range(30))
+    marked = (F.col("doc_id") < 3000) | (F.col("doc_id") % 20 == 0)
+    df = spark.range(30_000).select(F.col("id").alias("doc_id")).select("doc_id", F.concat(F.lit(plain), F.when(marked, " #").otherwise("")).alias("text"), (F.col("doc_id") >= 3000).cast("int").alias("quality"))
+    assert op6_rules.fit(df, df, most=1000) == []
+    clear = df.filter("quality = 0 or text not like '%#'")
+    assert len(op6_rules.fit(clear, clear, most=1000)) == 1
+
+
 def test_rules_odd(spark, odd, empty, labels):
     got = op6_rules.op6(odd, no_labels(spark)).collect()
     assert len(got) == odd.count() and {r.rule for r in got} == {0}
