@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are values assigned to a credential word, and long runs of token characters: 16 or more
-with a digit, 20 or more without.  Each gets features: length, transitions between character classes, share covered by
+Candidates are values assigned to a name with a credential word at its end, and long runs of token
+characters: 16 or more with a digit, 20 or more without.  A run ends where such an assignment begins.
+Each gets features: length, transitions between character classes, share covered by
 the corpus's frequent words, path and neighbouring words.  A forest trained on labelled findings
 keeps the likely secrets.  Every step is a DataFrame or SQL function or a Spark ML stage.
 
@@ -30,10 +31,16 @@ HARMLESS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "uu
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "SG.", "eyJ")
 
 _KEY = "|".join(CREDENTIAL)
+_NAME = "[A-Za-z0-9_\\-]"
 _RUN = "[A-Za-z0-9+/_=\\-]"
-#: An assignment with its value, or a run of 16 token characters; possessive, so linear in the text.
-CANDIDATE = f"(?:(?i:{_KEY})[\"']?[ \\t]{{0,3}}[=:][ \\t]{{0,3}}[\"']?[^\\s\"']{{6,}}+)|(?:{_RUN}{{16,}}+)"
-ASSIGNED = f"^(?i:{_KEY})[\"']?[ \\t]{{0,3}}[=:][ \\t]{{0,3}}[\"']?(?=[^\\s\"'])"
+_ASSIGN = f"{_NAME}*?(?i:{_KEY})[\"']?[ \\t]{{0,3}}[=:][ \\t]{{0,3}}[\"']?"
+#: An assignment with its value, or a run of 16 token characters.  A name is read from its first
+#: character only and runs are possessive, so the search is linear in the text.
+CANDIDATE = (
+    f"(?:(?<!{_NAME}){_ASSIGN}[^\\s\"']{{6,}}+)"
+    f"|(?:(?={_RUN}{{16}})(?:{_NAME}++|(?<![+/=])[+/=]++(?!{_ASSIGN}[^\\s\"']{{6}}))++)"
+)
+ASSIGNED = f"^{_ASSIGN}(?=[^\\s\"']{{6}})"
 SIDE = 48
 MARK = "[SECRET]"
 
@@ -106,12 +113,12 @@ def confirmed_findings(found: DataFrame) -> DataFrame:
     """Labelled findings where none are given: what a rule is sure of.
 
     label 1: a published prefix with a mixed tail, or an assigned value of digits and letters that
-    no frequent word covers; label 0: harmless neighbours, values without a digit, and values that
-    neither are assigned nor mix classes often.  The rest stays unlabelled.
+    no frequent word covers; label 0: harmless neighbours, and values that are not assigned and have
+    no digit or do not mix classes often.  The rest stays unlabelled.
     """
     mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 0.9)
     sure = ((F.col("prefix") == 1) & (F.col("upper_share") > 0.3) & mixed) | ((F.col("assigned") == 1) & mixed & (F.col("coverage") < 0.3) & (F.col("length") >= 12))
-    harmless = (F.col("harmless_near") == 1) | (F.col("digit_share") == 0) | ((F.col("assigned") == 0) & (F.col("prefix") == 0) & ((F.col("runs") <= 4) | (F.col("coverage") >= 0.3)))
+    harmless = (F.col("harmless_near") == 1) | ((F.col("assigned") == 0) & (F.col("digit_share") == 0)) | ((F.col("assigned") == 0) & (F.col("prefix") == 0) & ((F.col("runs") <= 4) | (F.col("coverage") >= 0.3)))
     return found.withColumn("label", F.when(sure & ~(F.col("harmless_near") == 1), 1.0).when(harmless & ~sure, 0.0)).filter("label is not null")
 
 

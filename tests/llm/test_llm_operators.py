@@ -77,6 +77,23 @@ def test_secrets_redacted(leaks):
     assert HEX in out[205].text
 
 
+def test_secrets_assigned_to_prefixed_names(spark):
+    run = "Zk9" * 8
+    cases = {
+        "MY_DB_PASSWORD=Xy9!kdkfj#2Qz": ["Xy9!kdkfj#2Qz"], "client_secret=ab12cd34ef": ["ab12cd34ef"], "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG": ["wJalrXUtnFEMI/K7MDENG"],
+        "GITHUB_TOKEN=ghp_16C7e42F292c6912E7": ["ghp_16C7e42F292c6912E7"], "https://host/path/client_secret=ab12cd34ef": ["ab12cd34ef"], f"{run}/password: 'abc123x' end": [run, "abc123x"],
+        f"id={run}/AUTH_TOKEN=ab12cd34ef": [f"id={run}", "ab12cd34ef"], f"data {run}== and": [f"{run}=="], "token=short": [], "the author: somebody": [], f"x_{run}_token==": [f"x_{run}_token=="],
+    }
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(cases)], "doc_id long, _r long, text string")
+    found = sorted((r.doc_id, r.start, r.value, r.assigned) for r in op1_secrets.candidates(df).collect())
+    for i, (text, want) in enumerate(cases.items()):
+        mine = [(start, value) for k, start, value, _ in found if k == i]
+        assert [v for _, v in mine if v[:2] != "//"] == want and all(text[at : at + len(v)] == v for at, v in mine), (text, mine)
+    assert all(assigned for k, _, _, assigned in found if k < 4)
+    labelled = op1_secrets.confirmed_findings(op1_secrets.with_features(op1_secrets.candidates(spark.createDataFrame([(0, 0, "password=correcthorsebattery")], "doc_id long, _r long, text string")), []))
+    assert labelled.count() == 0
+
+
 def test_secrets_odd(odd, empty):
     assert op1_secrets.op1(odd).count() == 0 and op1_secrets.op1(empty).count() == 0
     assert rows(op1_secrets.redacted(odd), *odd.columns) == rows(odd, *odd.columns)
