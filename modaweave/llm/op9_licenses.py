@@ -5,6 +5,10 @@ get word n-gram features and a multinomial logistic regression names a family, `
 ``unknown``.  A probability below the calibrated limit is ``unknown`` as well, and a family counts as
 confirmed only if the paragraph shares enough word pairs with one of its templates.
 
+A line gives a row for each notice, with the place of its window: every STEP words with a cue speak
+through the better of the two windows over them (a family before ``unknown``, then the likelier), and
+overlapping windows of one family are one notice.  Two notices inside one window are named as one.
+
 All texts are read whole; null and empty texts give no rows.  Paragraphs taken for ``none`` give no
 row.  Repeated rows are scanned one by one; of equally likely windows the first counts; empty tables
 give empty results; other columns are ignored.  DataFrame functions and Spark ML stages only.
@@ -17,6 +21,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, unit_hash
@@ -110,8 +115,29 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " ")))
 
 
+def notices(named: DataFrame) -> DataFrame:
+    """The best window of every notice, from all windows (_r, line, at, words, family, probability).
+
+    A window's groups are its own line's, so no group is larger than one text.
+    """
+    rank = F.struct((F.col("family") != "unknown").alias("k"), F.col("probability").alias("p"), (-F.col("at")).alias("o"))
+    line = W.partitionBy("_r", "line").orderBy("at")
+    cue = lambda start: F.array_join(F.slice("words", start, STEP), " ").rlike(CUE)
+    ranked = named.withColumn("_rank", rank).withColumn("_late", cue(STEP + 1))
+    ranked = ranked.withColumn("_early", cue(1) | ~F.col("_late"))  # also a cue that lies across the middle
+    beside = lambda by: F.max("_rank").over(line.rangeBetween(by, by))
+    speaks = lambda by: F.coalesce(F.col("_rank") > beside(by), F.lit(True))
+    ranked = ranked.withColumn("_speaks", (F.col("_early") & speaks(-STEP)) | (F.col("_late") & speaks(STEP)))
+    family = W.partitionBy("_r", "line", "family").orderBy("at")
+    kept = ranked.filter("_speaks").withColumn("_new", F.coalesce(F.col("at") - F.lag("at").over(family) >= WINDOW, F.lit(True)).cast("int"))
+    kept = kept.withColumn("_notice", F.sum("_new").over(family))
+    best = kept.groupBy("_r", "line", "family", "_notice").agg(F.max_by(F.struct("doc_id", "at", "_best", "probability", "words"), "_rank").alias("_b"))
+    return best.select("_r", "line", "family", "_b.*")
+
+
 def scan(docs: DataFrame, least_similarity: float = 0.6) -> DataFrame:
-    """doc_id, line, family, probability, similarity, confirmed of stored or keyed rows (_r)."""
+    """doc_id, line, at (first word of the notice's window), family, probability, similarity, confirmed
+    of stored or keyed rows (_r)."""
     spark = docs.sparkSession
     model, limit = fit(training(docs))
     names = F.array(*[F.lit(x) for x in families()])
@@ -120,13 +146,12 @@ def scan(docs: DataFrame, least_similarity: float = 0.6) -> DataFrame:
     named = model.transform(found).select("doc_id", "_r", "line", "at", "words", p.alias("_v")).withColumn("probability", F.array_max("_v"))
     named = named.withColumn("_best", F.element_at(names, F.array_position("_v", F.col("probability")).cast("int")))
     named = named.filter("_best <> 'none'").withColumn("family", F.when(F.col("probability") < limit, F.lit("unknown")).otherwise(F.col("_best"))).drop("_v")
-    best = named.groupBy("_r", "line").agg(F.max_by(F.struct("doc_id", "family", "_best", "probability", "words"), F.struct((F.col("family") != "unknown").alias("k"), F.col("probability"), (-F.col("at")).alias("o"))).alias("_b"))
-    best = best.select("_r", "line", "_b.*").withColumn("_wp", _pairs(F.col("words")))
+    best = notices(named).withColumn("_wp", _pairs(F.col("words")))
     pairs = template_pairs(spark).groupBy("family").agg(F.collect_list("_tp").alias("_tps")).select(F.col("family").alias("_f"), "_tps")  # a few fixed rows
     near = best.join(F.broadcast(pairs), F.col("_best") == F.col("_f"), "left")
     shares = F.transform("_tps", lambda t: F.size(F.array_intersect(t, F.col("_wp"))) / F.least(F.size(t), F.size("_wp")))
     near = near.withColumn("similarity", F.coalesce(F.array_max(shares), F.lit(0.0)))
-    return near.select("doc_id", F.col("line").cast("bigint").alias("line"), "family", "probability", "similarity", ((F.col("family") != "unknown") & (F.col("similarity") >= least_similarity)).alias("confirmed"))
+    return near.select("doc_id", F.col("line").cast("bigint").alias("line"), F.col("at").cast("bigint").alias("at"), "family", "probability", "similarity", ((F.col("family") != "unknown") & (F.col("similarity") >= least_similarity)).alias("confirmed"))
 
 
 def op9(docs: DataFrame, **settings) -> DataFrame:

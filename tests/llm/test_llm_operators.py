@@ -380,6 +380,15 @@ def test_licences(spark, docs):
     assert want <= {(r.doc_id, r.family) for r in got}
 
 
+def test_licences_of_one_line(spark, docs):
+    gap = "word " * 500
+    text = f"Released under the MIT License. {gap}This work is licensed under the GNU General Public License, version 3. {gap}All rights reserved. {gap}Released under the MIT License. {gap}"
+    both = docs.select("doc_id", "text").limit(150).union(spark.createDataFrame([(10_001, text)], "doc_id long, text string"))
+    got = sorted((r["at"], r.family) for r in op9_licenses.op9(both).collect() if r.doc_id == 10_001)
+    assert [f for _, f in got] == ["MIT", "GPL", "unknown", "MIT"]
+    assert all(at <= start < at + op9_licenses.WINDOW for (at, _), start in zip(got, (0, 505, 1017, 1520), strict=True))
+
+
 def test_licences_odd(odd, empty):
     assert op9_licenses.op9(odd).count() == 0 and op9_licenses.op9(empty).count() == 0
 
