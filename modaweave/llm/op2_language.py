@@ -2,7 +2,8 @@
 
 Each language has a zstandard raw-content dictionary made of labelled text.  A document, its words in
 lower case without what stands between them, is encoded in blocks with every dictionary; the language whose dictionary gives
-the fewest bytes wins.  A narrow margin over the runner-up is rejected: ``accepted`` is false.
+the fewest bytes wins.  Dictionaries keep all their text; where one is smaller than the best one's by
+more than an eighth, the two are compared with the larger cut to its size.  A narrow margin over the runner-up is rejected: ``accepted`` is false.
 
 All of a text is encoded; blocks keep the dictionary in play for very long ones.  A text that is
 null or has no letter is ``und`` with score 0 and not accepted.  Ties go to the language with more
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, held_out
 
 BLOCK = 2048
+#: Dictionaries are never cut below this for a comparison: a handful of words says nothing.
+LEAST = 1 << 14
 _other = re.compile(r"[\W\d_]+")
 
 
@@ -36,8 +40,7 @@ def dictionaries(docs: DataFrame, most: int = 1500, size: int = 1 << 18, seed: i
     """Language to dictionary, in order of training rows.
 
     About ``most`` labelled documents a language, one block of each at a place its hash chooses;
-    ``size`` bytes a language at most, as many as the language with the least text has.  Both bound
-    the training sample only.
+    ``size`` bytes a language at most.  Both bound the training sample only.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     order = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
@@ -50,9 +53,7 @@ def dictionaries(docs: DataFrame, most: int = 1500, size: int = 1 << 18, seed: i
         parts = [p for p in (letters(r["t"]) for r in rows if r["lang"] == lang) if p]
         share = max(1, size // max(1, len(parts)))
         out[lang] = b" ".join(p.encode()[:share] for p in parts)[-size:]
-    # One size for all: a larger dictionary finds more matches in any language.
-    even = max(1 << 14, min((len(v) for v in out.values() if v), default=0))
-    return {k: v[-even:] for k, v in out.items() if v}
+    return {k: v for k, v in out.items() if v}
 
 
 def _encoder(data: bytes, level: int) -> Callable[[bytes], int]:
@@ -69,18 +70,56 @@ def _blocks(text: str) -> list[bytes]:
     return [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
 
 
-def identify(texts: list[str | None], names: list[str], encoders: list, narrow: float) -> Iterator[tuple[str, float, bool]]:
+class Encoders:
+    """Encoded sizes of blocks by language, with its whole dictionary or its last ``size`` bytes."""
+
+    def __init__(self, dicts: list[bytes], level: int, most: int = 64) -> None:
+        self.sizes = [len(d) for d in dicts]
+        self.order = sorted(range(len(dicts)), key=lambda k: -self.sizes[k])
+        self.whole = [_encoder(d, level) for d in dicts]
+        self.cut = lru_cache(most)(lambda k, size: _encoder(dicts[k][-size:], level))
+
+    def even(self, a: int, b: int) -> int | None:
+        """The size at which languages a and b are compared; None if both as they are."""
+        small, large = sorted((max(self.sizes[a], LEAST), max(self.sizes[b], LEAST)))
+        return None if 8 * small >= 7 * large else small
+
+
+def compared(blocks: list[bytes], encoders: Encoders) -> tuple[int, np.ndarray]:
+    """(best language, lead over every language as a share), each pair at an even size.
+
+    A larger dictionary finds more matches in any language, so languages
+    come in with the most text first, and a later one wins only if it is better than every one before
+    it, cut to its size.  A language with little text so changes no verdict but those it wins.
+    """
+    whole = np.array([sum(map(e, blocks)) for e in encoders.whole], dtype=np.float64)
+
+    @cache
+    def at(k: int, size: int | None) -> float:
+        return whole[k] if size is None or encoders.sizes[k] <= size else float(sum(map(encoders.cut(k, size), blocks)))
+
+    def lead(a: int, b: int) -> float:
+        size = encoders.even(a, b)
+        return at(b, size) / at(a, size) - 1
+
+    best, *others = encoders.order
+    seen = [best]
+    for k in others:
+        if all(lead(k, b) > 0 or (lead(k, b) == 0 and k < b) for b in [best, *seen]):
+            best = k
+        seen.append(k)
+    return best, np.array([lead(best, k) for k in range(len(whole))])
+
+
+def identify(texts: list[str | None], names: list[str], encoders: Encoders, narrow: float) -> Iterator[tuple[str, float, bool]]:
     for t in texts:
         plain = letters(t)
         if not names or not any(c.isalpha() for c in plain):
             yield "und", 0.0, False
             continue
-        blocks = _blocks(plain)
-        sizes = np.array([sum(map(e, blocks)) for e in encoders], dtype=np.float64)
-        best = int(np.argmin(sizes))
-        rest = np.delete(sizes, best)
-        margin = float(rest.min() - sizes[best]) if len(rest) else sizes[best]
-        share = margin / sizes[best]
+        best, lead = compared(_blocks(plain), encoders)
+        rest = np.delete(lead, best)
+        share = max(0.0, float(rest.min())) if len(rest) else 1.0
         yield names[best], float(1 - np.exp(-20 * share)), bool(share >= narrow)
 
 
@@ -91,7 +130,7 @@ def with_language(docs: DataFrame, dicts: dict[str, bytes], level: int = 3, narr
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoders = [_encoder(d, level) for d in data.value]
+        encoders = Encoders(data.value, level)
         for s in batches:
             yield pd.DataFrame(list(identify(s.tolist(), names, encoders, narrow)), columns=["lang_pred", "score", "accepted"])
 

@@ -113,6 +113,21 @@ def test_language(docs):
     assert np.mean([got[i].lang_pred == truth[i] for i in sure]) >= np.mean([got[i].lang_pred == truth[i] for i in held])
 
 
+def test_language_with_a_rare_one(spark, docs):
+    """Twenty short documents of another language take nothing from the others, and are found."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("kqxzwj\u00f8\u00e6"), 6)) for _ in range(60)]
+    rare = [(500_000 + k, " ".join(rng.choice(words, 12)), "zz") for k in range(40)]
+    both = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    alone, dicts = op2_language.dictionaries(docs), op2_language.dictionaries(both)
+    assert 0 < len(dicts.pop("zz")) < 1 << 14 and {k: len(v) for k, v in dicts.items()} == {k: len(v) for k, v in alone.items()}
+    got = {r.doc_id: r.lang_pred for r in op2_language.op2(both).collect()}
+    held = [r for r in both.select("doc_id", "lang").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    for few in (True, False):
+        mine = [got[r.doc_id] == r.lang for r in held if (r.lang == "zz") == few]
+        assert len(mine) > 5 and np.mean(mine) > 0.97
+
+
 def test_language_odd(odd, empty, docs):
     dicts = op2_language.dictionaries(docs)
     out = op2_language.with_language(odd, dicts)
