@@ -1,6 +1,6 @@
 """URL filter by trust and distrust over the link graph.
 
-Hosts are nodes; links in the pages' HTML are edges.  Trust starts at trusted seeds and follows
+Hosts, without user info and port, are nodes; links in the pages' HTML are edges.  Trust starts at trusted seeds and follows
 links (personalised PageRank); distrust starts at blocked seeds and follows links backwards, since
 who links to bad hosts is suspect.  A host is blocked where distrust outweighs its trust.  Rules on
 host and path come first; the longest that fits decides.
@@ -14,6 +14,7 @@ judged one by one, empty tables give empty results, other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,19 @@ def host_of(url: str | Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), _UPPER, _LOWER), F.lit(""))
 
 
+def node_of(host: str | Column) -> Column:
+    """The host as a node of the link graph: lower case, without user info and port."""
+    return F.translate(F.regexp_replace(host, "^.*@|:[0-9]*$", ""), _UPPER, _LOWER)
+
+
 def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links): absolute links between different hosts, counted before any shuffle."""
-    found = pages.select(host_of("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("_d"))
-    named = found.select("src", F.translate(F.regexp_replace("_d", "^.*@|:[0-9]*$", ""), _UPPER, _LOWER).alias("dst"))
+    found = pages.select(node_of(host_of("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("_d"))
+    named = found.select("src", node_of("_d").alias("dst"))
     return named.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
@@ -63,11 +69,12 @@ def with_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return hosts.join(fit, "host", "left")
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, follow: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, follow: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) reached from ``seeds`` (host, trusted, blocked: booleans).
 
     Both walks run in one table keyed by (host, kind), so a round is one join and one sum.  Rounds
-    end when no host's mass changes by more than ``tolerance``.
+    end when no host is reached anew and no host's mass changes by more than the share ``tolerance``
+    of itself; mass falls by ``follow`` with each link, so this comes.  ``rounds`` ends them sooner.
     """
     starts = seeds.select("host", F.lit(0).alias("kind"), F.col("trusted").alias("_on")).union(seeds.select("host", F.lit(1).alias("kind"), F.col("blocked").alias("_on")))
     start = cut_lineage(starts.filter("_on").select("host", "kind", F.lit(1.0 - follow).alias("mass")).distinct())
@@ -77,12 +84,12 @@ def propagated(edges: DataFrame, seeds: DataFrame, follow: float = 0.85, rounds:
     out = ways.groupBy("_from", "_kind").agg(F.sum("links").alias("_all")).withColumnRenamed("_from", "_f").withColumnRenamed("_kind", "_k")
     ways = stored(ways.join(out, (ways._from == out._f) & (ways._kind == out._k)).select("_from", "_to", "_kind", (F.col("links") / F.col("_all")).alias("_share")), "url-ways")
     state = start
-    for _ in range(rounds if ways.limit(1).count() else 0):
+    for _ in (range(rounds) if rounds is not None else count()) if ways.limit(1).count() else ():
         moved = state.join(ways, (F.col("host") == F.col("_from")) & (F.col("kind") == F.col("_kind")))
         moved = moved.select(F.col("_to").alias("host"), "kind", (F.col("mass") * F.col("_share") * follow).alias("mass"))
         tagged = start.union(moved).select("host", "kind", "mass", F.lit(0.0).alias("_old")).union(state.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("_old")))
         new = cut_lineage(tagged.groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("_old").alias("_old")))
-        change = new.agg(F.max(F.abs(F.col("mass") - F.col("_old")))).first()[0]
+        change = new.filter("mass > 0").agg(F.max(F.abs(F.col("mass") - F.col("_old")) / F.col("mass"))).first()[0]
         state = new.drop("_old")
         if change is None or change <= tolerance:
             break
@@ -101,16 +108,17 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bloc
     seen = pages.select(host_of("url").alias("host")).distinct()
     edges = stored(host_edges(pages), "url-edges")
     ends = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host")))
-    hosts = stored(with_rules(seen.union(ends).distinct(), rule_table(spark, rules)), "url-hosts")
+    named = seen.union(seen.select(node_of("host").alias("host"))).union(ends).distinct()
+    hosts = stored(with_rules(named, rule_table(spark, rules)).withColumn("node", node_of("host")), "url-hosts")
     whole = lambda v: F.coalesce(F.get(F.filter("rules", lambda r: r["path"] == "/"), F.lit(0))["verdict"] == v, F.lit(False))
     parts = F.array(*[F.lit(p) for p in blocked_parts]) if blocked_parts else F.array().cast("array<string>")
     bad = F.arrays_overlap(F.split("host", "[.\\-_]"), parts) | whole("block")
-    seeds = hosts.select("host", (whole("allow") & ~bad).alias("trusted"), bad.alias("blocked"))
+    seeds = hosts.filter("host = node").select("host", (whole("allow") & ~bad).alias("trusted"), bad.alias("blocked"))
     for more, flags in ((trusted, (True, False)), (blocked, (False, True))):
         if more is not None:
-            seeds = seeds.union(more.select("host", F.lit(flags[0]), F.lit(flags[1])))
-    mass = propagated(edges, seeds)
-    known = hosts.join(mass, "host", "left").select(F.col("host").alias("_h"), "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+            seeds = seeds.union(more.select(node_of("host").alias("host"), F.lit(flags[0]), F.lit(flags[1])))
+    mass = propagated(edges, seeds).withColumnRenamed("host", "node")
+    known = hosts.join(mass, "node", "left").select(F.col("host").alias("_h"), "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     known = stored(known, "url-judged")
     out = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
     out = out.join(known, out.host == known._h, "left")

@@ -440,3 +440,12 @@ def test_url_propagation(spark):
         assert abs(got[n].trust - trust[at[n]]) < 1e-3 and abs(got[n].distrust - distrust[at[n]]) < 1e-3
         assert got[n].verdict == ("allow" if n == "a.org" else "block" if distrust[at[n]] > trust[at[n]] else "allow")
     assert got["d.net"].verdict == "block" and got["b.net"].verdict == "allow"
+
+
+def test_url_propagation_is_relative_and_joins_ports(spark):
+    """Two links from a hub host with 1,500 others beside it, and a page on a port."""
+    a = lambda d: f'<a href="http://{d}/">t</a>'
+    pages = [(i, f"http://h{i}.net/", a("spam.net")) for i in range(1500)] + [(1500, "http://far.net/", a("h7.net")), (1501, "http://u@bad.net:8080/", a("spam.net")), (1502, "http://friend.net/", a("bad.net"))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in op10_urls.judged(df).filter("page_id in (7, 1500, 1501, 1502)").collect()}
+    assert {k: r.verdict for k, r in got.items()} == dict.fromkeys(got, "block") and got[1501].host == "u@bad.net:8080"
