@@ -201,7 +201,7 @@ _LEARNERS = (
     ("balanced_ensemble", "L14", "Balanced Ensemble", "classification"),
     ("robust_regression", "L15", "Support Vector Machine", "regression"),
 )
-_SMALL = {"Balanced Ensemble": {"size": 10, "rounds": 2}, "Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}}
+_SMALL = {"Lasso": {"alpha": 0.01}, "ElasticNet": {"alpha": 0.01}}
 
 
 
@@ -269,14 +269,14 @@ def _(spark, d):
 
 @query("study_low_data", "V6")
 def _(spark, d):
-    return studies.low_data_curves(_vec(spark, d), ["Naive Bayes"], seeds=(42,), folds=2).drop("seconds")
+    return studies.low_data_curves(_vec(spark, d), ["Naive Bayes"]).drop("seconds")
 
 
 @query("study_descriptor_benchmark", "V7")
 def _(spark, d):
     v = cut_lineage(fx.vector_modalities(spark, d))
     tables = {n: v.select("id", "label", F.col(n).alias("features")) for n in ("a", "b")}
-    return studies.descriptor_benchmark(tables, ["Naive Bayes"], seeds=(42,), folds=2).drop("seconds")
+    return studies.descriptor_benchmark(tables, ["Naive Bayes"]).drop("seconds")
 
 
 @query("study_classification", "V8")
@@ -297,7 +297,7 @@ def _(spark, d):
 def _(spark, d):
     data = cut_lineage(split.holdout(_vec(spark, d), 0.25))
     train, new = data.filter("split = 'train'").drop("split"), data.filter("split = 'test'").drop("split")
-    results = studies.cross_validate({"raw": train}, ["Naive Bayes", "Logistic Regression"], folds=2)
+    results = studies.cross_validate({"raw": train}, ["Naive Bayes", "Logistic Regression"])
     return studies.predict_with_best(results, "roc_auc", {"raw": train}, {"raw": new})
 
 
