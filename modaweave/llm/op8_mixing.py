@@ -13,6 +13,7 @@ give empty results.  Repeated rows count and are taken separately; columns of ot
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,22 @@ def _rounded(cap: int):
     return run
 
 
+def _bounded_repeats(spread: DataFrame, chunk: int) -> DataFrame:
+    """Rows that share source, id and size and are more than ``chunk`` get chunks of their own, by rank.
+
+    Which row is which does not matter among them, so reruns give the same copies per document.
+    """
+    keys = ["source", "doc_id", "size"]
+    hot = cut_lineage(spread.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    if not hot.limit(1).count():
+        return spread
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    repeated = spread.join(F.broadcast(hot), same, "left_semi")  # at most one key for each ``chunk`` rows
+    ranked = ordered_rank(repeated.select(*keys, "_rate", "_r"), [*keys, "_rate", "_r"], name="_k")
+    own = ranked.select(F.col("_r").alias("_h_r"), (-1 - F.floor((F.col("_k") - 1) / F.lit(chunk))).alias("_own"))
+    return spread.join(own, F.col("_r") == F.col("_h_r"), "left").withColumn("_chunk", F.coalesce("_own", "_chunk")).drop("_h_r", "_own")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, base: str | None = None, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(sizes, plan): ``sizes`` is the documents' stored table with a row key ``_r``; ``plan`` gives
     (_r, copies).  ``chunk`` bounds the rows that are rounded together."""
@@ -113,6 +130,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
         F.round(F.least(F.col("base") * F.col("_tilt"), F.lit(float(cap))), 9).alias("_rate"),
         F.pmod(F.xxhash64("doc_id", "size"), chunks).alias("_chunk"),
     )
+    spread = _bounded_repeats(spread, chunk)
     plan = spread.groupBy("source", "_chunk").applyInPandas(_rounded(cap), "_r long, copies long")
     return spread, plan
 

@@ -371,6 +371,16 @@ def test_mixing_with_base_rates(docs):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target + 5
 
 
+def test_mixing_bounds_repeated_rows(spark):
+    """A repeated row and rows without an id do not gather in one chunk; reruns agree."""
+    data = [(7, "one two three", "a")] * 700 + [(None, "four five", "a")] * 300 + [(k, "w " * (k % 9 + 1), "ab"[k % 2]) for k in range(100, 600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    spread, _ = op8_mixing.mix(df, chunk=64)
+    assert spread.count() == 1500 and spread.groupBy("source", "_chunk").count().agg(F.max("count")).first()[0] <= 128
+    first, again = (rows(op8_mixing.op8(x, chunk=64), "doc_id", "source", "taken") for x in (df, df.repartition(5)))
+    assert len(first) == 1500 and first == again
+
+
 def test_mixing_odd(odd, empty):
     got = op8_mixing.op8(odd).collect()
     assert len(got) == odd.count() and sum(r.size for r in got) == 120_000 + 5 + 18 + 5 + 1 + 2
