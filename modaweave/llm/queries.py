@@ -17,14 +17,17 @@ from .op7_minhash import op7
 from .op8_mixing import op8
 from .op9_licenses import op9
 from .op10_urls import op10
+from .op11_alignment import op11
+from .op12_bestfit import op12
+from .op13_conversations import op13
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -51,6 +54,9 @@ QUERIES: dict[str, Run] = {
     "op8_mixing": _on_documents(op8),
     "op9_licenses": _on_documents(op9),
     "op10_urls": lambda spark, sf_dir: op10(table(spark, sf_dir, "pages")),
+    "op11_alignment": lambda spark, sf_dir: _on_documents(op11, a_path=tokenizer("byte_bpe_50k.json"), b_path=tokenizer("piece_bpe_32k.model"))(spark, sf_dir),
+    "op12_bestfit": lambda spark, sf_dir: _on_documents(op12, tokenizer=tokenizer("byte_bpe_50k.json"))(spark, sf_dir),
+    "op13_conversations": lambda spark, sf_dir: op13(table(spark, sf_dir, "conversations")),
 }
 
 _LINKED = """
@@ -93,4 +99,55 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d
 FROM documents d LEFT JOIN size z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
 """
 
-SQL: dict[str, str] = {"op3_embedding": _LINKED, "op7_minhash": _COPIES}
+_REPAIRS = r"""
+WITH RECURSIVE raw AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), 'none') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    (4294967295 - list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS k
+  FROM conversations
+), damaged AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw WHERE k <> 0
+), placed AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), checked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS b
+  FROM placed
+), fault AS (SELECT *, blank OR again AS gone, CASE WHEN cut AND NOT (blank OR again) THEN 5 ELSE 0 END AS extra FROM checked),
+counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (extra > 0) AS truncated, count(*) FILTER (b IS NOT NULL AND b || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM fault GROUP BY c
+), way(c, i, s, best) AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT), 'Z', {'cost': 0, 'audit': ''} FROM raw
+  UNION ALL
+  SELECT c, i, s, min({'cost': cost, 'audit': audit}) FROM (
+    SELECT w.c, f.i, unnest([
+        {'s': w.s, 'cost': w.best.cost + 2, 'audit': w.best.audit || 'D', 'ok': true},
+        {'s': CASE WHEN w.s = 'a' THEN 'u' ELSE 'a' END, 'cost': w.best.cost + f.extra + CASE WHEN f.r = CASE WHEN w.s = 'a' THEN 'a' ELSE 'u' END THEN 0 ELSE 1 END,
+         'audit': w.best.audit || CASE WHEN f.r = CASE WHEN w.s = 'a' THEN 'a' ELSE 'u' END THEN 'K' ELSE 'R' END, 'ok': NOT f.gone},
+        {'s': CASE WHEN w.s = 'a' THEN 'a' ELSE 'u' END, 'cost': w.best.cost + 5 + f.extra + CASE WHEN f.r = CASE WHEN w.s = 'a' THEN 'u' ELSE 'a' END THEN 0 ELSE 1 END,
+         'audit': w.best.audit || 'I' || CASE WHEN f.r = CASE WHEN w.s = 'a' THEN 'u' ELSE 'a' END THEN 'K' ELSE 'R' END, 'ok': NOT f.gone},
+        {'s': 'S', 'cost': w.best.cost + f.extra, 'audit': w.best.audit || 'K', 'ok': NOT f.gone AND w.s = 'Z' AND f.r = 's'}], recursive := true)
+    FROM way w JOIN fault f ON f.c = w.c AND f.i = w.i + 1)
+  WHERE ok GROUP BY c, i, s
+), done AS (
+  SELECT w.c, min(CASE w.s WHEN 'a' THEN {'cost': w.best.cost + 5, 'audit': w.best.audit || 'I'} WHEN 'S' THEN {'cost': w.best.cost + 10, 'audit': w.best.audit || 'II'} ELSE w.best END) AS best
+  FROM way w LEFT JOIN counted n ON n.c = w.c WHERE w.i = coalesce(n.n, 0) GROUP BY w.c
+), edit AS (
+  SELECT c, p, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY c ORDER BY p) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY c ORDER BY p) AS l
+  FROM (SELECT c, p, substr(best.audit, p, 1) AS e FROM (SELECT c, best, unnest(range(1, length(best.audit) + 1)) AS p FROM done))
+), told AS (
+  SELECT e.c, e.p, e.e, e.l, f.role, coalesce(f.text, '') AS text, max(CASE WHEN e.l = 1 AND e.e = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.c) AS led
+  FROM edit e LEFT JOIN fault f ON f.c = e.c AND f.i = e.i AND e.e <> 'I'
+), line AS (
+  SELECT c, string_agg(CASE WHEN e = 'K' THEN role WHEN (l - 1 - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS whole FROM told WHERE e <> 'D' GROUP BY c
+)
+SELECT CAST(nullif(d.c, 'none') AS BIGINT) AS conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+  coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, CAST(d.best.cost AS BIGINT) AS cost, d.best.audit AS audit, sha256(coalesce(w.whole, '')) AS repaired_sha256
+FROM done d LEFT JOIN counted n ON n.c = d.c LEFT JOIN line w ON w.c = d.c
+"""
+
+SQL: dict[str, str] = {"op3_embedding": _LINKED, "op7_minhash": _COPIES, "op13_conversations": _REPAIRS}
