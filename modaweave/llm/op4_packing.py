@@ -11,112 +11,27 @@ simply fills many sequences.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ordered_cumsum
 from .common import mix64, stored
+from .tokens import slices, word_bpe
 
 LENGTH = 4096
 END = 2
 BUCKETS, DIMS, BITS = 1024, 4, 10
-#: Words a Python worker remembers; a fuller memory starts anew.
-REMEMBERED = 1_500_000
-#: A special token of the vocabulary that separates words on their way through the tokenizer.
-_SPECIAL = "<|startoftext|>"
-
-
-class WordIds:
-    """Ids of words, remembered in Arrow and numpy arrays; entry 0 is the end id."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.bound = self.tok.token_to_id(_SPECIAL)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = pa.array([""], pa.large_string())  # the empty word stands for the end id
-        self.flat = np.array([END], dtype="<u4")
-        self.starts, self.sizes = np.array([0]), np.array([1])
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """Unseen words go through the tokenizer in long strings, a special token between them."""
-        alone = [self.bound is None or _SPECIAL in w for w in words]
-        out: list = [None] * len(words)
-        joined = [i for i, a in enumerate(alone) if not a]
-        for k in range(0, len(joined), 500):
-            part = joined[k : k + 500]
-            ids = np.asarray(self.tok.encode_batch_fast([_SPECIAL.join(words[i] for i in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.r_[-1, np.flatnonzero(ids == self.bound), len(ids)].tolist()
-            for i, lo, hi in zip(part, cuts[:-1], cuts[1:], strict=True):
-                out[i] = ids[lo + 1 : hi]
-        for i, a in enumerate(alone):
-            if a:
-                out[i] = np.asarray(self.tok.encode(words[i], add_special_tokens=False).ids, dtype="<u4")
-        return out
-
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """Entry of each (distinct) word; unseen ones are added."""
-        found = pc.index_in(words, value_set=self.words)
-        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if found.null_count:
-            new = words.filter(pc.is_null(found))
-            if len(self.words) + len(new) > REMEMBERED and len(self.words) > 1:
-                self.forget()
-                return self._places(words)
-            ids = self._encode(new.to_pylist())
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.concatenate([self.flat, *ids])
-            at[at < 0] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, new])
-        return at
-
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets of the texts), end ids included.
-
-        The vocabulary drops white space and no token spans it, so a text's ids are its words' ids
-        in a row.  That needs a tokenizer with this property.
-        """
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = split.values.dictionary_encode()
-        place = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, dtype=np.int64)
-        offsets = split.offsets.to_numpy(zero_copy_only=False)
-        real = place != 0  # splitting leaves empty words at the edges of a text
-        kept = np.r_[0, np.cumsum(real)][offsets]
-        entry = np.insert(place[real], kept[1:], 0)
-        kept = kept + np.arange(len(kept))
-        sizes = self.sizes[entry]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[entry] - (ends - sizes), sizes)]
-        return ids, np.r_[0, ends][kept]
-
-
-_loaded: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One tokenizer and word memory per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, end id left out."""
-    ids, offsets = word_ids(path).of(pa.array(texts, pa.large_string()))
+    ids, offsets = word_bpe(path).of(texts, END)
     return [ids[i : j - 1].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
@@ -178,12 +93,14 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Stored table: doc_id, _r (row key), curve, doc_tokens, ids (binary, end id included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, curve = word_ids(tokenizer), Curve()
+        words, curve = word_bpe(tokenizer), Curve()
         for batch in batches:
-            ids, offsets = words.of(batch.column("text"))
-            key = hilbert_index(curve.cells(ids, offsets))
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(np.diff(offsets)), raw.cast(pa.binary())], ["doc_id", "curve", "doc_tokens", "ids"])
+            texts = batch.column("text")
+            for lo, hi in slices(texts):
+                ids, offsets = words.of(texts[lo:hi].to_pylist(), END)
+                key = hilbert_index(curve.cells(ids, offsets))
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(key), pa.array(np.diff(offsets)), raw], ["doc_id", "curve", "doc_tokens", "ids"])
 
     out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, curve long, doc_tokens long, ids binary")
     return stored(out.withColumn("_r", F.monotonically_increasing_id()), "pack-ids")
