@@ -23,42 +23,27 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import byte_bpe, slices
-
-
-class Pieces:
-    """Ids and bytes of a piece vocabulary with byte fallback; it puts a space before the text itself."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes_of: dict[int, bytes] = {}
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            if self.model.is_byte(i):
-                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
-            elif not (self.model.is_control(i) or self.model.is_unknown(i)):
-                self.bytes_of[i] = piece.replace("▁", " ").encode()
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+from .tokens import byte_bpe, piece_bpe, slices
 
 
 class Pair:
     """Both vocabularies in a worker: bytes, lengths, id strings and the linkable id pairs."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = byte_bpe(a_path, plain_specials=True), Pieces(b_path)
+        self.a, self.b = byte_bpe(a_path, plain_specials=True), piece_bpe(b_path)
         self.bytes = [self._table(x.bytes_of) for x in (self.a, self.b)]
         self.sizes = [np.array([len(x) for x in t]) for t in self.bytes]
         self.width = max(len(t) for t in self.bytes)
-        self.text = np.array([b"%d" % i + sign for sign in (b",", b"|", b";", b"") for i in range(self.width)], dtype=object)
+        # Each id in decimal with each sign that may follow it, in rows of one width.
+        told = np.array([b"%d" % i + sign for sign in (b",", b"|", b";", b"") for i in range(self.width)])
+        self.text = told.view(np.uint8).reshape(len(told), -1)
+        self.told = np.char.str_len(told)
         self.linkable = linkable(self.a.bytes_of, self.b.bytes_of, self.width)
 
     @staticmethod
@@ -122,9 +107,10 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarra
             at[on] = np.searchsorted(a, other[~met & ~over])
             open_ = on[at[on] < hi[on]]
         cuts.append(at[found])
-        lo, hi = np.concatenate([lo, at[found] + 1]), np.concatenate([middle, hi[found]])
-        live = lo < hi
-        lo, hi = lo[live], hi[live]
+        # Both halves side by side: bisection for ascending values stays in near memory.
+        halves = np.stack([np.stack([lo, middle], 1), np.stack([np.where(found, at + 1, hi), hi], 1)], 1).reshape(-1, 2)
+        halves = halves[halves[:, 0] < halves[:, 1]]
+        lo, hi = halves[:, 0], halves[:, 1]
     return np.sort(np.concatenate(cuts))
 
 
@@ -134,11 +120,11 @@ class Aligned:
     def __init__(self, both: Pair, texts: list[str | None]):
         spaced = [" " + t if t else "" for t in texts]
         a_ids = [both.a.ids(t) if t else [] for t in spaced]
-        b_ids = both.b.ids([t or "" for t in texts])
+        b_ids = [both.b.ids(t or "") for t in texts]
         for k, t in enumerate(spaced):
             raw = t.encode()
-            if not t or both.spell(0, a_ids[k]) != raw or both.spell(1, b_ids[k]) != raw:
-                a_ids[k] = b_ids[k] = []
+            if not t or both.spell(0, a_ids[k]) != raw or both.spell(1, b_ids[k].tolist()) != raw:
+                a_ids[k], b_ids[k] = [], np.zeros(0, dtype=np.int64)
         self.a, self.a_at = self._flat(a_ids)
         self.b, self.b_at = self._flat(b_ids)
         ends_a, ends_b = np.cumsum(both.sizes[0][self.a]), np.cumsum(both.sizes[1][self.b])
@@ -152,7 +138,7 @@ class Aligned:
     @staticmethod
     def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         at = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
-        return np.concatenate([np.array(x, dtype=np.int64) for x in ids] or [np.zeros(0, dtype=np.int64)]), at
+        return np.concatenate([np.asarray(x, dtype=np.int64) for x in ids] or [np.zeros(0, dtype=np.int64)]), at
 
     def digests(self, both: Pair) -> list[str]:
         """sha256 of ``a1,a2|b1;a3|b2,b3`` for each text, '' for a text without tokens."""
@@ -165,9 +151,9 @@ class Aligned:
         code = np.empty(len(self.a) + len(self.b), dtype=np.int64)
         code[np.arange(len(self.a)) + b_first[a_group]] = self.a + a_sign * both.width
         code[np.arange(len(self.b)) + a_first[b_group + 1]] = self.b + b_sign * both.width
-        words = both.text[code].tolist()
-        at = (self.a_at + self.b_at).tolist()
-        return [hashlib.sha256(b"".join(words[i:j])).hexdigest() if j > i else "" for i, j in zip(at[:-1], at[1:], strict=True)]
+        whole = both.text[code].tobytes().translate(None, b"\0")
+        at = np.r_[0, np.cumsum(both.told[code])][self.a_at + self.b_at].tolist()
+        return [hashlib.sha256(whole[i:j]).hexdigest() if j > i else "" for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _rows(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -190,7 +176,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) ->
             texts = batch.column("text")
             for lo, hi in slices(texts):
                 x = Aligned(both, texts[lo:hi].to_pylist())
-                code = x.a[x.a_cut] * both.width + x.b[x.b_cut]
+                which, code = pd.factorize(x.a[x.a_cut] * both.width + x.b[x.b_cut])
                 n = np.diff(x.cut_at)
                 cols = {
                     "doc_id": batch.column("doc_id")[lo:hi],
@@ -199,7 +185,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) ->
                     "n_groups": pa.array(n),
                     "n_links": pa.array(n),
                     "groups_sha256": pa.array(x.digests(both), pa.string()),
-                    "links": _rows(x.cut_at, np.searchsorted(both.linkable, code)),
+                    "links": _rows(x.cut_at, np.searchsorted(both.linkable, code)[which]),
                 }
                 if groups:
                     cols |= {

@@ -19,13 +19,26 @@ import pyarrow.compute as pc
 
 #: Splitting patterns of the two kinds, as the vocabularies' files or their library state them.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The sign that stands for a space in piece vocabularies.
+SPACE = "\u2581"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: The merge engine is quadratic in one piece; texts with a run this long go to the library.
-LONG_RUN = 3000
-_long = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN)).search
+#: The merge engine is quadratic in one piece.  A text with a block of this many characters that has no
+#: space, or nothing else, goes to the library.
+LONG_RUN = 1500
+
+
+def long_run(text: str) -> bool:
+    for k in range(0, len(text) - LONG_RUN + 1, LONG_RUN):
+        block = text[k : k + LONG_RUN]
+        words = block.split(None, 1)
+        if not words or len(words[0]) == LONG_RUN:
+            return True
+    return False
+
+
 #: Letters, marks and signs of long standing, on whose classes and cases all engines agree.
-_unusual = re.compile("[^\x01-ԯ -⁯ぁ-ゖ一-龥가-힣]").search
+_unusual = re.compile("[^\x01-\x1b\x20-ԯ -⁯ぁ-ゖ一-龥가-힣]").search
 
 
 def byte_of_char() -> dict[str, int]:
@@ -70,13 +83,26 @@ class ByteBpe:
         self._allowed = set() if plain_specials else set(special)
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or _long(text):
+        if self.fast is None or long_run(text):
             return self.tok.encode(text, add_special_tokens=False).ids
         if self._allowed:
             return self.fast.encode(text, allowed_special=self._allowed, disallowed_special=())
         return self.fast.encode_ordinary(text)
 
 
+class _Cuts(dict):
+    """Words with signs or digits to their pieces, a zero byte between them; forgotten when many."""
+
+    def __init__(self, pieces, most: int = 200_000):
+        self.pieces, self.most = pieces, most
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = "\0".join(self.pieces(word))
+        return out
+
+
 class WordBpe:
     """Ids of lower-casing BPE with word ends; white space gives no ids.
 
@@ -108,10 +134,20 @@ class WordBpe:
         if len(ranks) == len(ids) and len(singles) == len(ends) == 256:
             self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
             self.end, self.map = ranks[b"\0"], np.array(ids, dtype="<u4")
-            self.pieces = regex.compile(WORD_PATTERN).findall
-
-    def _plain(self, text: str) -> bool:
-        return not (_unusual(text) or _long(text) or any(s in text for s in self.special))
+            self.cuts = _Cuts(regex.compile(WORD_PATTERN).findall)
+
+    def _words(self, text: str) -> list[str] | None:
+        """Words of a text, null where the library itself has to encode it.  A run of letters is one
+        piece; other words are cut by the pattern."""
+        if _unusual(text) or any(s in text for s in self.special):
+            return None
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if long_run(text):
+            return None
+        words = text.lower().split()
+        cuts = self.cuts
+        return [w if w.isalpha() else cuts[w] for w in words]
 
     def of(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by ``end``; offsets of the texts).  Null is empty."""
@@ -119,10 +155,9 @@ class WordBpe:
         alone: dict[int, np.ndarray] = {}
         parts: list[str] = []
         for k, t in enumerate(texts):
-            if t and self.fast is not None and self._plain(t):
-                if not t.isascii():
-                    t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
-                parts += self.pieces(t.lower())
+            words = self._words(t) if t and self.fast is not None else None
+            if words is not None:
+                parts += words
             elif t:
                 alone[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4")
             parts.append("")
@@ -139,6 +174,67 @@ class WordBpe:
         return ids, np.r_[0, marks + 1]
 
 
+class PieceBpe:
+    """Ids and bytes of a piece vocabulary with byte fallback; it puts a space before the text itself.
+
+    Pieces never span a space that follows something else, so a text is merged word by word.  Characters
+    are put together from bytes before any merge; what stays unfinished is spelt in byte pieces.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+        import tiktoken
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = self.model
+        every = range(m.get_piece_size())
+        pieces = {i: m.id_to_piece(i) for i in every if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+        byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in every if m.is_byte(i)}
+        self.bytes_of = {i: bytes([b]) for b, i in byte_ids.items()} | {i: p.replace(SPACE, " ").encode() for i, p in pieces.items()}
+        self.fast = None
+        ordered = sorted(pieces, key=lambda i: (-m.get_score(i), i))
+        longer = [i for i in ordered if len(pieces[i]) > 1]
+        scores = [m.get_score(i) for i in longer if pieces[i].strip(SPACE)]
+        spans = any(SPACE in p.lstrip(SPACE) for p in pieces.values())
+        if len(byte_ids) < 256 or spans or len(set(scores)) < len(scores) or any(m.is_unused(i) for i in every) or b"identity" not in m.serialized_model_proto():
+            return
+        ranks = {bytes([b]): b for b in range(256)}
+        spelt = [[byte_ids[b]] for b in range(256)]
+
+        def add(raw: bytes, ids: list[int]) -> None:
+            if raw in ranks:
+                spelt[ranks[raw]] = ids
+            else:
+                ranks[raw] = len(spelt)
+                spelt.append(ids)
+
+        single = {self.bytes_of[i]: i for i in pieces if len(pieces[i]) == 1}
+        for raw in sorted(single, key=len):
+            for k in range(2, len(raw)):
+                if raw[:k] not in ranks:
+                    add(raw[:k], [byte_ids[b] for b in raw[:k]])
+        for raw, i in single.items():
+            add(raw, [i])
+        for i in longer:
+            add(self.bytes_of[i], [i])
+        self.size = np.array([len(x) for x in spelt])
+        self.flat = np.array([i for x in spelt for i in x], dtype=np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.fast = tiktoken.Encoding("pieces", pat_str=r" *[^ ]+| +", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """Runs of spaces, whose pieces tie in rank, go to the library."""
+        if self.fast is None or SPACE in text or "  " in text or text[:1] == " " or long_run(text):
+            return np.array(self.model.encode(text), dtype=np.int64)
+        ranks = np.array(self.fast.encode_ordinary(" " + text), dtype=np.int64) if text else np.zeros(0, dtype=np.int64)
+        size = self.size[ranks]
+        ids = self.flat[self.at[ranks]]
+        if (size == 1).all():
+            return ids
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.at[ranks] - (ends - size), size) + np.arange(ends[-1])]
+
+
 #: Bytes of text that a worker turns into ids at a time.
 SLICE = 64 << 20
 
@@ -162,6 +258,13 @@ def byte_bpe(path: str, plain_specials: bool = False) -> ByteBpe:
     return _loaded[key]
 
 
+def piece_bpe(path: str) -> PieceBpe:
+    """One per Python worker."""
+    if path not in _loaded:
+        _loaded[path] = PieceBpe(path)
+    return _loaded[path]
+
+
 def word_bpe(path: str) -> WordBpe:
     """One per Python worker."""
     if path not in _loaded:
