@@ -67,3 +67,37 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
             left -= out[s]
             free.remove(s)
     return out
+
+
+def repair_plainly(turns):
+    """(cost, audit) of the cheapest repair of (initial, deletion forced, cut off) turns: the least pair
+    for each state of the grammar, turn by turn."""
+    other = {"u": "a", "a": "u"}
+
+    def put(ways, state, way):
+        ways[state] = min(ways.get(state, way), way)
+
+    def inserted(ways):
+        out, last = dict(ways), dict(ways)
+        for _ in range(2):
+            new = {}
+            for s, (c, a) in last.items():
+                put(new, "u" if s == "a" else "a", (c + 5, a + "I"))
+            for s, w in new.items():
+                put(out, s, w)
+            last = new
+        return out
+
+    ways = {"Z": (0, "")}
+    for initial, gone, cut in turns:
+        new = {}
+        for s, (c, a) in inserted(ways).items():
+            put(new, s, (c + 2, a + "D"))
+            if not gone:
+                want = "a" if s == "a" else "u"
+                put(new, other[want], (c + 5 * cut + (initial != want), a + ("K" if initial == want else "R")))
+                if s == "Z" and initial == "s":
+                    put(new, "S", (c + 5 * cut, a + "K"))
+        ways = new
+    ways = inserted(ways)
+    return min(ways[s] for s in ("Z", "u") if s in ways)
