@@ -22,6 +22,7 @@ from ..session import cut_lineage
 from .fuse import random_features
 from .linalg import _rows, centred_moments, width_of
 from .neighbours import knn
+from .trees import RandomCutForest, SecondOrderBoosting
 
 
 def _vec(df: DataFrame) -> DataFrame:
@@ -64,6 +65,34 @@ class SparkLearner:
         return SparkModel(est.fit(_vec(df)), self.kind)
 
 
+@dataclass
+class SummedLossLearner:
+    """A linear classifier under the usual objective, C times the summed loss plus the penalty.
+
+    Spark averages the loss, so its penalty is 1 / (C n), n the rows (or their weights).  Features are
+    taken as they are.
+    """
+
+    build: Callable[[float], Any]
+    kind: str
+    C_: float = 1.0
+
+    def fit(self, df: DataFrame) -> Model:
+        n = df.agg(F.sum(F.col("weight").cast("double") if "weight" in df.columns else F.lit(1.0)).alias("n")).first()["n"]
+        if not n:
+            raise ValueError("no rows to fit on")
+        return SparkLearner(lambda: self.build(1.0 / (self.C_ * n)), self.kind).fit(df)
+
+
+def _logistic(C_: float, penalty: str) -> SummedLossLearner:
+    share = 1.0 if penalty == "l1" else 0.0
+    return SummedLossLearner(lambda reg: C.LogisticRegression(regParam=reg, elasticNetParam=share, standardization=False, tol=1e-9, maxIter=500), "probability", C_)
+
+
+def _margin(C_: float) -> SummedLossLearner:
+    return SummedLossLearner(lambda reg: C.LinearSVC(regParam=reg, standardization=False), "raw", C_)
+
+
 @dataclass
 class NeighbourModel(Model):
     train: DataFrame
@@ -326,22 +355,19 @@ class PenalisedLearner:
 
 
 CLASSIFIERS: dict[str, Callable[..., Any]] = {
-    "Logistic Regression": lambda C_=1.0, penalty="l2": SparkLearner(
-        lambda: C.LogisticRegression(regParam=0.01 / C_, elasticNetParam=1.0 if penalty == "l1" else 0.0), "probability"
-    ),
+    "Logistic Regression": lambda C_=1.0, penalty="l2": _logistic(C_, penalty),
     "Decision Tree": lambda max_depth=5, min_rows=1: SparkLearner(lambda: C.DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_rows, seed=42), "probability"),
     "Random Forest": lambda trees=20, max_depth=5: SparkLearner(lambda: C.RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=42), "probability"),
-    "Support Vector Machine": lambda reg=0.01, kernel="linear": (
-        SparkLearner(lambda: C.LinearSVC(regParam=reg), "raw") if kernel == "linear" else KernelLearner(SparkLearner(lambda: C.LinearSVC(regParam=reg), "raw"))
-    ),
+    "Support Vector Machine": lambda C_=1.0, kernel="linear": _margin(C_) if kernel == "linear" else KernelLearner(_margin(C_)),
     "Naive Bayes": lambda: SparkLearner(lambda: C.NaiveBayes(modelType="gaussian"), "probability"),
     "KNN": lambda k=11, p=3.0, weights="distance": NeighbourLearner(k, p, weights),
     "MLP": lambda hidden=(16,), rounds=100: NetLearner(hidden, rounds),
     "QDA": lambda reg=1e-3: QuadraticLearner(reg),
     "AdaBoost": lambda rounds=10: BoostLearner(rounds),
-    "Extra Trees": lambda trees=20, max_depth=5: SparkLearner(
-        lambda: C.RandomForestClassifier(numTrees=trees, maxDepth=max_depth, bootstrap=False, seed=42), "probability"
-    ),
+    "Extra Trees": lambda trees=20, max_depth=5, min_rows=1, max_features="sqrt": RandomCutForest(trees, max_depth, min_rows, max_features),
+    "XGBoost": lambda rounds=20, max_depth=3, eta=0.3, subsample=1.0, colsample=1.0: SecondOrderBoosting(rounds, max_depth, eta, subsample=subsample, colsample=colsample),
+    "LightGBM": lambda rounds=20, max_depth=4, eta=0.1: SecondOrderBoosting(rounds, max_depth, eta, penalty=0.0, least=1e-3, bins=255),
+    "CatBoost": lambda rounds=20, max_depth=4, eta=0.1: SecondOrderBoosting(rounds, max_depth, eta, penalty=3.0, bins=128),
     "Gradient Boosting": lambda rounds=20, max_depth=3: SparkLearner(lambda: C.GBTClassifier(maxIter=rounds, maxDepth=max_depth, seed=42), "probability"),
     "Balanced Ensemble": lambda size=10, rounds=5: BalancedEnsemble(size, rounds),
 }
@@ -355,23 +381,32 @@ REGRESSORS: dict[str, Callable[..., Any]] = {
     "Random Forest": lambda trees=20, max_depth=5: SparkLearner(lambda: R.RandomForestRegressor(numTrees=trees, maxDepth=max_depth, seed=42), "prediction"),
     "Gradient Boosting": lambda rounds=20, max_depth=3: SparkLearner(lambda: R.GBTRegressor(maxIter=rounds, maxDepth=max_depth, seed=42), "prediction"),
     "AdaBoost": lambda rounds=10: BoostLearner(rounds, regression=True),
-    "Extra Trees": lambda trees=20, max_depth=5: SparkLearner(lambda: R.RandomForestRegressor(numTrees=trees, maxDepth=max_depth, bootstrap=False, seed=42), "prediction"),
+    "Extra Trees": lambda trees=20, max_depth=5, min_rows=1, max_features=None: RandomCutForest(trees, max_depth, min_rows, max_features, regression=True),
+    "XGBoost": lambda rounds=20, max_depth=3, eta=0.3, subsample=1.0, colsample=1.0: SecondOrderBoosting(rounds, max_depth, eta, subsample=subsample, colsample=colsample, regression=True),
+    "LightGBM": lambda rounds=20, max_depth=4, eta=0.1: SecondOrderBoosting(rounds, max_depth, eta, penalty=0.0, least=1.0, bins=255, regression=True),
+    "CatBoost": lambda rounds=20, max_depth=4, eta=0.1: SecondOrderBoosting(rounds, max_depth, eta, penalty=3.0, bins=128, regression=True),
     "K Neighbors": lambda k=5, p=2.0, weights="uniform": NeighbourLearner(k, p, weights),
     "Support Vector Machine": lambda: KernelLearner(SparkLearner(lambda: R.LinearRegression(loss="huber", regParam=0.01), "prediction")),
     "Kernel Ridge": lambda alpha=1.0: KernelLearner(PenalisedLearner(alpha, per_table=True)),
 }
 
-# Several boosting packages name one algorithm here.
-ALIASES = {"XGBoost": "Gradient Boosting", "LightGBM": "Gradient Boosting", "CatBoost": "Gradient Boosting"}
-
 GRIDS: dict[str, dict[str, list]] = {
-    "Logistic Regression": {"C_": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]},
+    "Logistic Regression": {"C_": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"]},
     "Decision Tree": {"max_depth": [3, 5, 10], "min_rows": [1, 5]},
     "Random Forest": {"trees": [20, 50], "max_depth": [5, 10]},
     "KNN": {"k": [3, 7, 11], "weights": ["uniform", "distance"]},
     "Ridge": {"alpha": [0.1, 1.0, 10.0]},
     "Lasso": {"alpha": [0.01, 0.1, 1.0]},
     "Gradient Boosting": {"rounds": [20, 50], "max_depth": [3, 5]},
+    "Support Vector Machine": {"C_": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]},
+    "MLP": {"hidden": [(10,), (20,), (50,)]},
+    "QDA": {"reg": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]},
+    "AdaBoost": {"rounds": [10, 50]},
+    "Extra Trees": {"trees": [20, 50], "max_depth": [5, 10], "max_features": ["sqrt", "log2", None]},
+    "ElasticNet": {"alpha": [0.1, 1.0, 10.0], "l1": [0.1, 0.5, 0.9]},
+    "Kernel Ridge": {"alpha": [0.1, 1.0, 10.0]},
+    "K Neighbors": {"k": [3, 5, 10], "weights": ["uniform", "distance"]},
+    "XGBoost": {"rounds": [20, 50], "max_depth": [3, 5], "eta": [0.1, 0.3], "subsample": [0.7, 1.0], "colsample": [0.7, 1.0]},
 }
 
 
@@ -394,7 +429,6 @@ def for_route(route: str) -> list[str]:
 
 def make(name: str, task: str = "classification", **params):
     reg = _registry(task)
-    key = ALIASES.get(name, name)
-    if key not in reg:
+    if name not in reg:
         raise ValueError(f"no {task} learner {name!r}; known: {sorted(reg)}")
-    return reg[key](**params)
+    return reg[name](**params)
