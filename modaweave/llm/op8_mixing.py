@@ -2,9 +2,15 @@
 
 The mix gives document i a rate r_i: how often it is repeated.  Among all rates that give every
 source its target of words, entropy balancing picks those with the least token-weighted divergence
-from the base rates q_i.  The dual has one multiplier per source and r_i = min(cap, q_i * exp(m_s)).
-Newton steps on the dual run as aggregations over Spark tables.  Rates become whole copies by
-carrying the rounding error from large to small documents inside bounded chunks of a source.
+from the base rates q_i, and it also wants the mix to keep the corpus's shares of words by length
+class (doublings of the size), so that a source that is cut does not lose its long or short documents
+alone.  Sources hold exactly; classes give way at a price, since both together may be out of reach.
+
+The dual is convex, with a multiplier a_s a source and b_c a class: r_i = min(cap, q_i * exp(a_s + b_c)).
+Newton steps run as aggregations over a table of (source, class, base) sums.  A source's own second
+derivative is one number, so sources are eliminated where they are, on the cluster; what is left is a
+system over at most 64 classes.  A step that does not lower the dual is halved.  Rates become whole
+copies by carrying the rounding error from large to small documents inside bounded chunks of a source.
 
 Nulls: a null text has size 0; a null source is a source of its own and comes last.  Empty tables
 give empty results.  Repeated rows count and are taken separately; columns of other names are kept.
@@ -12,19 +18,26 @@ give empty results.  Repeated rows count and are taken separately; columns of ot
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ordered_rank
-from ..session import cut_lineage
+from ..session import broadcast_small, cut_lineage
 from .common import WORD, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Length classes: the doublings of a size below 2 ** 63.
+CLASSES = 64
+#: Price of a class that misses its share: a miss of this part of its words moves its rates by a factor e.
+SOFTNESS = 0.1
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -46,39 +59,128 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return per.select("source", "docs", "source_size", F.least(F.col("_w") * F.lit(level), F.col("_most")).alias("target"))
 
 
-def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 40, tolerance: float = 1e-10) -> DataFrame:
-    """(source, multiplier) that solve the dual for documents (source, size, base).
+def length_class(size: Column) -> Column:
+    return F.floor(F.log2(size.cast("double") + 1)).cast("int")
+
+
+@dataclass
+class Balance:
+    """``sources``: source, multiplier (null: every document at the cap).  ``classes``: a multiplier each.
+    ``steps`` Newton steps were taken; ``gap`` is the largest miss of a source, as a share of its target,
+    and ``trace`` the dual's value before each step and at the end."""
+
+    sources: DataFrame
+    classes: np.ndarray
+    steps: int
+    gap: float
+    trace: list[float]
 
-    Documents of a source with the same base rate are summed first, so a step reads few rows and a
-    source with a third of all rows is no longer hot.
+
+def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, softness: float = SOFTNESS, rounds: int = 100, tolerance: float = 1e-10) -> Balance:
+    """Multipliers that solve the dual for documents (source, size, base), from zero on.
+
+    Documents of a source, class and base rate are summed first, so a step reads few rows and a source
+    with a third of all rows is not hot; a source's sums are then at most 64 rows.  A source whose target
+    takes all it may give has no multiplier.  Multipliers are rounded to 8 digits, so that the order of
+    summation does not show in the rates.
     """
-    stats = cut_lineage(sizes.groupBy("source", "base").agg(F.sum("size").alias("words")))
+    cells = cut_lineage(sizes.filter("size > 0 and base > 0").groupBy("source", length_class(F.col("size")).alias("class"), "base").agg(F.sum("size").alias("words")))
     goal = targets.select(F.col("source").alias("_s"), "target")
-    whole = stats.groupBy("source").agg(F.sum(F.col("words") * F.col("base")).alias("_q"))
+    able = cells.groupBy("source").agg((F.sum("words") * F.lit(float(cap))).alias("_most"))
     state = cut_lineage(
-        whole.join(goal, whole.source.eqNullSafe(goal._s))
-        .select("source", "target", F.when((F.col("target") > 0) & (F.col("_q") > 0), F.log(F.col("target") / F.col("_q"))).alias("multiplier"))
+        able.join(goal, able.source.eqNullSafe(goal._s))
+        .filter("target > 0")
+        .select("source", "target", (F.col("target") >= F.col("_most") * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("multiplier"))
     )
-    for _ in range(rounds):
-        cur = state.withColumnRenamed("source", "_s")
-        rate = F.col("base") * F.exp("multiplier")
-        step = (
-            stats.join(cur, stats.source.eqNullSafe(cur._s))
-            .groupBy("source")
-            .agg(
-                F.first("target").alias("target"),
-                F.first("multiplier").alias("multiplier"),
-                F.sum(F.col("words") * F.least(rate, F.lit(cap))).alias("_f"),
-                F.sum(F.when(rate < cap, F.col("words") * rate).otherwise(0.0)).alias("_g"),
-            )
+    b = np.zeros(CLASSES)
+    whole = state.agg(F.sum("target")).first()[0]
+    if whole is None:
+        return Balance(state.select("source", "multiplier"), b, 0, 0.0, [])
+    wanted = np.zeros(CLASSES)
+    shares = cells.groupBy("class").agg(F.sum("words").alias("w")).collect()  # at most 64
+    for r in shares:
+        wanted[r["class"]] = whole * r["w"] / sum(x["w"] for x in shares)
+    softened = softness * np.maximum(wanted, 1.0)
+
+    def summed(state: DataFrame, b: np.ndarray) -> DataFrame:
+        """state with, for each class, the words taken, their derivative and the dual's share."""
+        known = broadcast_small(state.withColumnRenamed("source", "_s"))
+        met = cells.join(known, F.col("source").eqNullSafe(F.col("_s")))
+        top = F.log(F.lit(float(cap)) / F.col("base"))
+        x = F.col("multiplier") + F.element_at(F.array(*[F.lit(float(v)) for v in b]), F.col("class") + 1)
+        met = met.withColumn("_x", x).withColumn("_free", ~F.col("full") & (F.col("_x") < top))
+        rate = F.when(F.col("_free"), F.col("base") * F.exp("_x")).otherwise(F.lit(float(cap)))
+        value = F.when(F.col("_free"), F.col("base") * F.exp("_x")).when(F.col("full"), 0.0).otherwise(cap * (1.0 + F.col("_x") - top))
+        by = met.groupBy("source", "class").agg(
+            *[F.first(c).alias(c) for c in ("target", "full", "multiplier")],
+            F.sum(F.col("words") * rate).alias("taken"),
+            F.sum(F.when(F.col("_free"), F.col("words") * rate).otherwise(0.0)).alias("slope"),
+            F.sum(F.col("words") * value).alias("value"),
         )
-        miss = F.col("target") - F.col("_f")
-        off = step.agg(F.max(F.when((F.abs(miss) > tolerance * F.col("target")) & (F.col("_g") > 0), 1).otherwise(0))).first()[0]
-        if not off:
-            break
-        moved = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), miss / F.col("_g")))
-        state = cut_lineage(step.select("source", "target", F.when(F.col("_g") > 0, F.col("multiplier") + moved).otherwise(F.col("multiplier")).alias("multiplier")))
-    return state.select("source", "multiplier")
+        return cut_lineage(by.groupBy("source").agg(*[F.first(c).alias(c) for c in ("target", "full", "multiplier")], F.collect_list(F.struct("class", "taken", "slope", "value")).alias("cells")))
+
+    def arrays(own) -> tuple[np.ndarray, ...]:
+        out = np.zeros((3, CLASSES))
+        for c in own:
+            out[:, c["class"]] = c["taken"], c["slope"], c["value"]
+        return out[0], out[1], out[2]
+
+    def measured(sums: DataFrame, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """(dual, gradient by class, class system, largest miss), the sources eliminated."""
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dual, worst, g, h = 0.0, 0.0, np.zeros(CLASSES), np.zeros((CLASSES, CLASSES))
+            for pdf in batches:
+                for own, target, full, a in zip(pdf["cells"], pdf["target"], pdf["full"], pdf["multiplier"], strict=True):
+                    taken, slope, value = arrays(own)
+                    g += taken
+                    if full:  # taken whole, whatever the multipliers: linear in those of the classes
+                        dual += b @ taken
+                        continue
+                    dual += value.sum() - a * target
+                    worst = max(worst, abs(taken.sum() - target) / target)
+                    h += np.diag(slope)
+                    if slope.sum() > 0:
+                        g -= slope * (taken.sum() - target) / slope.sum()
+                        h -= np.outer(slope, slope) / slope.sum()
+            yield pd.DataFrame({"s": [np.concatenate([[dual], g, h.ravel()])], "worst": [worst]})
+
+        row = sums.mapInPandas(part, "s array<double>, worst double").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.max("worst").alias("worst")).first()
+        s = np.array(row["s"])
+        dual = s[0] - (b * wanted).sum() + 0.5 * (softened * b * b).sum()
+        return dual, s[1 : 1 + CLASSES] - wanted + softened * b, s[1 + CLASSES :].reshape(CLASSES, CLASSES) + np.diag(softened), row["worst"]
+
+    def moved(sums: DataFrame, step: np.ndarray, share: float) -> DataFrame:
+        """Sources after a step of the classes: each answers it by its own derivative."""
+
+        @F.pandas_udf("double")
+        def answer(cells: pd.Series, target: pd.Series, full: pd.Series, a: pd.Series) -> pd.Series:
+            out = []
+            for own, t, f, x in zip(cells, target, full, a, strict=True):
+                taken, slope, _ = arrays(own)
+                # All at the cap and the target below: come down.
+                d = 0.0 if f else -(taken.sum() - t + slope @ step) / slope.sum() if slope.sum() > 0 else -1.0
+                out.append(x + share * min(2.0, max(-2.0, d)))
+            return pd.Series(out, dtype="float64")
+
+        return sums.select("source", "target", "full", answer("cells", "target", "full", "multiplier").alias("multiplier"))
+
+    sums, steps, trace = summed(state, b), 0, []
+    dual, g, h, worst = measured(sums, b)
+    while steps < rounds and (worst > tolerance or np.abs(g).max() > tolerance * whole):
+        trace.append(float(dual))
+        step, share = -np.linalg.solve(h, g), 1.0
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        while True:
+            tried = summed(moved(sums, step, share), b + share * step)
+            after = measured(tried, b + share * step)
+            if after[0] <= dual + 1e-9 * abs(dual) or share < 1e-4:
+                break
+            share /= 2
+        sums, b, steps = tried, b + share * step, steps + 1
+        dual, g, h, worst = after
+    trace.append(float(dual))
+    return Balance(cut_lineage(sums.select("source", F.when(~F.col("full"), F.round("multiplier", 8)).alias("multiplier"))), np.round(b, 8), steps, float(worst), trace)
 
 
 def _rounded(cap: int):
@@ -113,21 +215,24 @@ def _bounded_repeats(spread: DataFrame, chunk: int) -> DataFrame:
     return spread.join(own, F.col("_r") == F.col("_h_r"), "left").withColumn("_chunk", F.coalesce("_own", "_chunk")).drop("_h_r", "_own")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, base: str | None = None, chunk: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, base: str | None = None, chunk: int = 1024, softness: float = SOFTNESS) -> tuple[DataFrame, DataFrame]:
     """(sizes, plan): ``sizes`` is the documents' stored table with a row key ``_r``; ``plan`` gives
     (_r, copies).  ``chunk`` bounds the rows that are rounded together."""
     text = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     rate = F.col(base).cast("double") if base else F.lit(1.0)
     sizes = stored(docs.select("doc_id", "source", text.alias("size"), F.coalesce(rate, F.lit(1.0)).alias("base")).withColumn("_r", F.monotonically_increasing_id()), "mix-sizes")
     targets = cut_lineage(source_targets(sizes, weights, share, cap))
-    mult = balanced_rates(sizes, targets, cap).select(F.col("source").alias("_s"), "multiplier")
-    per = targets.join(mult, targets.source.eqNullSafe(mult._s), "left").drop("_s")
-    per = cut_lineage(per.select(F.col("source").alias("_s"), "docs", "source_size", "target", F.when(F.col("target") > 0, F.coalesce(F.exp("multiplier"), F.lit(0.0))).otherwise(0.0).alias("_tilt")))
+    balance = balanced_rates(sizes, targets, cap, softness)
+    per = targets.join(balance.sources.select(F.col("source").alias("_m"), "multiplier"), targets.source.eqNullSafe(F.col("_m")), "left").drop("_m")
+    per = cut_lineage(per.select(F.col("source").alias("_s"), "docs", "source_size", "target", "multiplier"))
     joined = sizes.join(per, sizes.source.eqNullSafe(per._s)).drop("_s")
+    tilt = F.element_at(F.array(*[F.lit(float(x)) for x in balance.classes]), length_class(F.col("size")) + 1)
+    tilted = F.when(F.col("multiplier").isNotNull(), F.col("base") * F.exp(F.col("multiplier") + tilt)).otherwise(F.lit(float(cap)))
+    rates = F.when((F.col("target") > 0) & (F.col("base") > 0), F.least(tilted, F.lit(float(cap)))).otherwise(F.lit(0.0))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(chunk)))
     spread = joined.select(
         "doc_id", "source", "size", "_r", "source_size", "target",
-        F.round(F.least(F.col("base") * F.col("_tilt"), F.lit(float(cap))), 9).alias("_rate"),
+        F.round(rates, 9).alias("_rate"), F.lit(balance.steps).cast("bigint").alias("steps"), F.lit(balance.gap).alias("gap"),
         F.pmod(F.xxhash64("doc_id", "size"), chunks).alias("_chunk"),
     )
     spread = _bounded_repeats(spread, chunk)
@@ -136,9 +241,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
 
 
 def op8(docs: DataFrame, **settings) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken."""
+    """Per document: doc_id, source, size, source_size, target, copies, taken, and the Newton steps taken
+    and the largest miss of a source's target at their end, before rates are rounded."""
     spread, plan = mix(docs, **settings)
-    return spread.join(plan, "_r").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return spread.join(plan, "_r").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "steps", "gap")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -371,6 +371,62 @@ def test_mixing_with_base_rates(docs):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target + 5
 
 
+def test_mixing_solves_the_dual(spark):
+    """Against alternating one-dimensional solves in numpy, on a corpus where nothing is closed form."""
+    rng = np.random.default_rng(4)
+    size = np.minimum(rng.geometric(0.01, 900) * rng.integers(1, 9, 900), 5000)
+    source = rng.choice(["a", "b", "c", "d"], 900, p=[0.6, 0.2, 0.15, 0.05])
+    size[source == "b"] //= 6
+    base = rng.choice([0.5, 1.0, 1.5], 900)
+    df = spark.createDataFrame([(s, int(n), float(q)) for s, n, q in zip(source, size, base, strict=True)], "source string, size long, base double")
+    goal = op8_mixing.source_targets(df)
+    want = {r.source: r.target for r in goal.collect()}
+    got = op8_mixing.balanced_rates(df, goal)
+    assert got.steps > 2 and got.gap <= 1e-10 and all(x >= y - 1e-6 * abs(x) for x, y in zip(got.trace, got.trace[1:], strict=False))
+    level = np.floor(np.log2(size + 1.0)).astype(int)
+    whole, price = sum(want.values()), op8_mixing.SOFTNESS
+    a, b = dict.fromkeys(want, 0.0), np.zeros(64)
+    full = {s for s in want if want[s] >= 2 * size[source == s].sum() * (1 - 1e-12)}
+
+    def taken(rows, x):
+        return (size[rows] * np.minimum(base[rows] * np.exp(x), 2.0)).sum()
+
+    def solve(f):
+        lo, hi = -30.0, 30.0
+        for _ in range(48):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        return lo
+
+    x = lambda rows: np.array([30.0 if s in full else a[s] for s in source[rows]]) + np.where(np.isin(source[rows], list(full)), 0, b[level[rows]])
+    for _ in range(60):
+        for s in set(want) - full:
+            rows = (source == s) & (size > 0)
+            a[s] = solve(lambda m: taken(rows, m + b[level[rows]]) - want[s])  # noqa: B023
+        for c in np.unique(level[size > 0]):
+            rows = (level == c) & (size > 0)
+            aim = whole * size[rows].sum() / size.sum()
+
+            def off(m):
+                held = b[c]  # noqa: B023
+                b[c] = m  # noqa: B023
+                out = taken(rows, x(rows)) - aim + price * max(aim, 1.0) * m  # noqa: B023
+                b[c] = held  # noqa: B023
+                return out
+
+            b[c] = solve(off)
+    mine = {r.source: r.multiplier for r in got.sources.collect()}
+    assert {s for s in mine if mine[s] is None} == full and len(full) < 4
+    for c in np.unique(level[size > 0]):
+        assert abs(got.classes[c] - b[c]) < 1e-5
+    assert all(abs(mine[s] - a[s]) < 1e-5 for s in set(want) - full)
+
+
+def test_mixing_takes_steps(docs):
+    got = op8_mixing.op8(docs).select("steps", "gap").distinct().collect()
+    assert len(got) == 1 and got[0].steps > 0 and got[0].gap <= 1e-10
+
+
 def test_mixing_bounds_repeated_rows(spark):
     """A repeated row and rows without an id do not gather in one chunk; reruns agree."""
     data = [(7, "one two three", "a")] * 700 + [(None, "four five", "a")] * 300 + [(k, "w " * (k % 9 + 1), "ab"[k % 2]) for k in range(100, 600)]
