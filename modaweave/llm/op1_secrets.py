@@ -20,7 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, stored
@@ -54,28 +54,42 @@ def frequent_words(docs: DataFrame, most: int = 500, least_chars: int = 4) -> li
     return [r["w"] for r in counts.collect()]
 
 
+def pieces(docs: DataFrame, *carried: str) -> DataFrame:
+    """_r, the columns ``carried``, _k, _piece, _match: what stands before the k-th match in a text, and the match; after the last
+    match a piece with a null match.  Texts without a match give no rows."""
+    rows = docs.select("_r", *carried, "text").filter(F.col("text").rlike(CANDIDATE))
+    parts = F.arrays_zip(F.split("text", CANDIDATE).alias("p"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("m"))
+    return rows.select("_r", *carried, F.posexplode(parts).alias("_k", "_z")).select("_r", *carried, "_k", F.col("_z")["p"].alias("_piece"), F.col("_z")["m"].alias("_match"))
+
+
 def candidates(docs: DataFrame, path_col: str | None = "source") -> DataFrame:
-    """doc_id, _r, start (0-based), length, value, before, after, path of every candidate.
+    """doc_id, _r, start (0-based), length, value, before, after, path of every candidate, with ``_k`` (the
+    match's number in its text) and ``_head`` (characters of the match before the value).
 
-    Matches come in order, so each is located from the end of the one before it.
+    A text is cut at its matches once; running lengths give the places and the next few pieces the
+    neighbourhood, so the work is linear in the text.  Windows pass over short rows in order.
     """
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "_r", "text", path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    found = rows.withColumn("_all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,m:string>>").alias("got"))
-
-    def place(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, F.col("text"), acc["next"])
-        return F.struct((at + F.length(m)).alias("next"), F.concat(acc["got"], F.array(F.struct(at.alias("at"), m.alias("m")))).alias("got"))
-
-    placed = found.withColumn("_m", F.explode(F.aggregate("_all", zero, place)["got"]))
-    head = F.length(F.regexp_extract(F.col("_m.m"), ASSIGNED, 0))
-    value = F.regexp_replace(F.substring(F.col("_m.m"), head + 1, F.length("_m.m")), "[.,;:!?)]+$", "")
-    at = F.col("_m.at") + head
+    match = F.coalesce("_match", F.lit(""))
+    head = F.length(F.regexp_extract(match, ASSIGNED, 0))
+    value = F.regexp_replace(F.substring(match, head + 1, F.length(match)), "[.,;:!?)]+$", "")
+    short = pieces(docs.select("_r", "doc_id", "text", path.alias("path")), "doc_id", "path").select(
+        "_r", "doc_id", "path", "_k", match.alias("_match"), head.alias("_head"), value.alias("value"),
+        F.length("_piece").alias("_gap"), (F.length("_piece") + F.length(match)).alias("_step"),
+        F.right("_piece", F.lit(SIDE)).alias("_end"), F.right(F.concat(F.right("_piece", F.lit(SIDE)), match), F.lit(SIDE)).alias("_unit_end"),
+        F.left(F.concat(F.left("_piece", F.lit(SIDE)), F.when(F.length("_piece") <= SIDE, match).otherwise("")), F.lit(SIDE)).alias("_unit"),
+    )
+    order = Window.partitionBy("_r", "doc_id").orderBy("_k")
+    # A match has six characters or more, so this many neighbours fill a side.
+    reach = range(1, SIDE // 6 + 2)
+    before = F.right(F.concat(*[F.coalesce(F.lag("_unit_end", j).over(order), F.lit("")) for j in reversed(reach)], "_end"), F.lit(SIDE))
+    rest = F.substring("_match", F.col("_head") + F.length("value") + 1, F.lit(SIDE))
+    after = F.left(F.concat(rest, *[F.coalesce(F.lead("_unit", j).over(order), F.lit("")) for j in reach]), F.lit(SIDE))
+    start = F.coalesce(F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_gap") + F.col("_head")
+    placed = short.select("_r", "doc_id", "path", "_k", "_head", "value", "_match", start.cast("int").alias("start"), before.alias("_left"), after.alias("after")).filter("_match <> ''")
     out = placed.select(
-        "doc_id", "_r", "path", (at - 1).alias("start"), value.alias("value"), (head > 0).alias("assigned"),
-        F.substring(F.col("text"), F.greatest(at - SIDE, F.lit(1)), at - F.greatest(at - SIDE, F.lit(1))).alias("before"),
-        F.substring(F.col("text"), at + F.length(value), F.lit(SIDE)).alias("after"),
+        "doc_id", "_r", "path", "_k", "_head", "start", "value", (F.col("_head") > 0).alias("assigned"),
+        F.right(F.concat("_left", F.left("_match", F.col("_head"))), F.lit(SIDE)).alias("before"), "after",
     ).withColumn("length", F.length("value"))
     return out.filter((F.col("assigned") & (F.col("length") >= 6)) | (F.col("value").rlike("[A-Za-z]") & (F.col("length") >= F.when(F.col("value").rlike("[0-9]"), 16).otherwise(20))))
 
@@ -155,16 +169,15 @@ def redacted(docs: DataFrame, mark: str = MARK, **settings) -> DataFrame:
     path = settings.get("path_col", "source")
     given = [c for c in ("doc_id", path) if c in keyed.columns]
     found = scan(keyed.select(*given, "text", F.col("_secret_row").alias("_r")), **settings).filter("is_secret")
-    spans = found.groupBy(F.col("_r").alias("_secret_key")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("length").cast("int").alias("n")))).alias("_spans"))
-    joined = keyed.join(spans, F.col("_secret_row") == F.col("_secret_key"), "left")
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("parts"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        part = F.substring(F.col("text"), acc["next"], s["s"] + 1 - acc["next"])
-        return F.struct((s["s"] + 1 + s["n"]).alias("next"), F.concat(acc["parts"], F.array(part, F.lit(mark))).alias("parts"))
-
-    done = F.aggregate("_spans", zero, cut)
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(F.col("text"), done["next"], F.length("text"))))
-    out = joined.withColumn("_clean", clean)
-    cols = {"text": F.col("_clean").alias("text"), "n_chars": F.when(F.col("_spans").isNull(), keyed["n_chars"]).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("_clean").alias("text")}
+    marked = found.select("_r", "_k", "_head", F.col("length").cast("int").alias("_length"))
+    held = keyed.select(F.col("_secret_row").alias("_r"), "text").join(marked.select("_r").distinct(), "_r", "left_semi")
+    match = F.coalesce("_match", F.lit(""))
+    hidden = F.concat(F.left(match, F.col("_head")), F.lit(mark), F.substring(match, F.col("_head") + F.col("_length") + 1, F.length(match)))
+    parts = pieces(held).join(marked, ["_r", "_k"], "left").select("_r", "_k", F.concat("_piece", F.when(F.col("_head").isNull(), match).otherwise(hidden)).alias("_part"))
+    # A group is one text cut at its matches.
+    whole = parts.groupBy(F.col("_r").alias("_secret_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "").alias("_clean"))
+    out = keyed.join(whole, F.col("_secret_row") == F.col("_secret_key"), "left")
+    cols = {"text": F.coalesce("_clean", keyed["text"]).alias("text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(F.col("_clean").isNull(), keyed["n_chars"]).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[cols.get(c, keyed[c]) for c in docs.columns])

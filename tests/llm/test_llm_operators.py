@@ -94,6 +94,26 @@ def test_secrets_assigned_to_prefixed_names(spark):
     assert labelled.count() == 0
 
 
+def test_secrets_of_a_long_text_in_proportion(spark):
+    """Forty times the candidates in one text; places and neighbourhoods are those of the text."""
+    import time
+
+    times = []
+    for n in (2_000, 80_000):
+        text = " ".join(f"k{i} password=Ab9{i:06d}xyzQ" + (f",x{i:015d}a" if i % 3 else " and") for i in range(n))
+        df = spark.createDataFrame([(1, 0, text)], "doc_id long, _r long, text string")
+        began = time.perf_counter()
+        got = op1_secrets.candidates(df).collect()
+        times.append(time.perf_counter() - began)
+        assert len(got) == n
+        assert all(text[r.start : r.start + r.length] == r.value for r in got)
+        assert all(r.before == text[max(0, r.start - 48) : r.start] and r.after == text[r.start + r.length :][:48] for r in got[:: n // 200])
+        if n > 10_000:
+            out = op1_secrets.redacted(df.drop("_r")).first().text
+            assert out.count(op1_secrets.MARK) == n and "Ab9" not in out
+    assert times[1] < 40 * times[0] + 5
+
+
 def test_secrets_odd(odd, empty):
     assert op1_secrets.op1(odd).count() == 0 and op1_secrets.op1(empty).count() == 0
     assert rows(op1_secrets.redacted(odd), *odd.columns) == rows(odd, *odd.columns)
