@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .linalg import Moments, _rows, centred_moments, fix_signs, moments, project
+from .linalg import DENSE_WIDTH, Moments, _rows, centred_moments, covariance_times, fix_signs, leading_components, moments, plain_width, project, tiled_sum, vector_mean
 
 METHODS = ("pca", "ipca", "ica", "kpca", "rks", "cca", "plsda", "tensordecompose", "integrate")
 
@@ -46,14 +46,22 @@ def pca_from(m: Moments, k: int) -> LinearFusion:
     return LinearFusion(m.mean, vectors, values)
 
 
-def pca(df: DataFrame, k: int, vec: str = "features") -> LinearFusion:
+def pca(df: DataFrame, k: int, vec: str = "features", dense: int = DENSE_WIDTH) -> LinearFusion:
+    """Principal components: from the covariance up to ``dense`` features, beyond by a range finder that
+    forms no width x width array."""
+    if plain_width(df, vec) > dense:
+        lead = leading_components(df, k, vec)
+        return LinearFusion(lead.mean, lead.vectors, lead.values)
     m = centred_moments(df, vec)
     values, vectors = _top_eigen(m.outer / max(m.n - 1, 1), k)
     return LinearFusion(m.mean, vectors, values)
 
 
 def incremental_pca(batches: Sequence[DataFrame], k: int, vec: str = "features") -> LinearFusion:
-    """Same model from centred batch moments merged one after the other."""
+    """Same model from centred batch moments merged one after the other; batches of wide vectors go
+    through the range finder together."""
+    if plain_width(batches[0], vec) > DENSE_WIDTH:
+        return pca(reduce(DataFrame.unionByName, [b.select(vec) for b in batches]), k, vec)
     return pca_from(reduce(lambda a, b: a + b, [centred_moments(b, vec) for b in batches]), k)
 
 
@@ -145,9 +153,17 @@ class PairFusion:
         return both.withColumn(out, joined).drop("_ca", "_cb")
 
 
-def cca(df: DataFrame, a: str, b: str, k: int, mode: str = "concat", pre: int = 50) -> PairFusion:
+def cca(df: DataFrame, a: str, b: str, k: int, mode: str = "concat", pre: int = 50, dense: int = DENSE_WIDTH) -> PairFusion:
     """Canonical correlation of two vector columns after a principal-component cut (``pre`` for the
-    first, k for the second), all from one joint moment pass."""
+    first, k for the second), all from one joint moment pass; wide columns are cut by the range finder
+    before that."""
+    widths = [plain_width(df, c) for c in (a, b)]
+    if max(widths) > dense:
+        cuts = [pca(df, min(keep, d), c, dense) for keep, d, c in ((pre, widths[0], a), (k, widths[1], b))]
+        low = cuts[1].transform(cuts[0].transform(df, a, "_la"), b, "_lb").select("_la", "_lb")
+        inner = cca(low, "_la", "_lb", k, mode, pre, max(pre, k))
+        whole = [LinearFusion(c.center, c.weights @ side.weights) for c, side in zip(cuts, (inner.left, inner.right), strict=True)]
+        return PairFusion(whole[0], whole[1], inner.correlations, mode)
     both = df.select(F.concat(F.col(a).cast("array<double>"), F.col(b).cast("array<double>")).alias("v"), F.size(a).alias("da"))
     da = both.select("da").first()["da"]
     m = centred_moments(both.select("v"), "v")
@@ -165,8 +181,42 @@ def cca(df: DataFrame, a: str, b: str, k: int, mode: str = "concat", pre: int =
     return PairFusion(LinearFusion(m.mean[:da], left * sign), LinearFusion(m.mean[da:], right * sign), s[:r], mode)
 
 
-def pls(df: DataFrame, label: str, k: int, vec: str = "features") -> LinearFusion:
-    """PLS1 scores from X'X and X'y of standardised data; rotations applied to new rows."""
+def _pls_wide(df: DataFrame, label: str, k: int, vec: str) -> LinearFusion:
+    """The same rotations from X'y and one product X'(Xw) per component."""
+    rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.array(F.col(label).cast("double")).alias("y"))
+    mean, top = vector_mean(rows, "x"), vector_mean(rows, "y")
+    n, d = rows.count(), len(mean)
+    shared = df.sparkSession.sparkContext.broadcast((mean, top))
+
+    def first(cols: list[np.ndarray]) -> np.ndarray:
+        m, t = shared.value
+        x, y = cols[0] - m, cols[1] - t
+        return np.column_stack([(x * x).sum(0), x.T @ y, np.full(x.shape[1], (y * y).sum())])
+
+    sums = tiled_sum(rows, ["x", "y"], first, d, 3)
+    sd = np.sqrt(sums[:, 0] / max(n - 1, 1))
+    sd = np.where(sd == 0, 1.0, sd)
+    left = sums[:, 1] / sd / (np.sqrt(sums[0, 2] / max(n - 1, 1)) or 1.0)
+    weights, loadings, sizes = np.zeros((d, 0)), np.zeros((d, 0)), []
+    for _ in range(k):
+        w = left / max(np.linalg.norm(left), 1e-300)
+        image = covariance_times(rows, "x", mean, n, (w / sd)[:, None])[:, 0] * max(n - 1, 1) / sd
+        image = image - loadings @ (np.array(sizes) * (loadings.T @ w))
+        size = w @ image
+        if size <= 1e-12:
+            break
+        p = image / size
+        left = left - (left @ w) * p
+        weights, loadings, sizes = np.column_stack([weights, w]), np.column_stack([loadings, p]), [*sizes, size]
+    rotation = weights @ np.linalg.pinv(loadings.T @ weights)
+    return LinearFusion(mean, rotation / sd[:, None])
+
+
+def pls(df: DataFrame, label: str, k: int, vec: str = "features", dense: int = DENSE_WIDTH) -> LinearFusion:
+    """PLS1 scores from X'X and X'y of standardised data; rotations applied to new rows.  Beyond
+    ``dense`` features X'X is not formed."""
+    if plain_width(df, vec) > dense:
+        return _pls_wide(df, label, k, vec)
     joint = df.select(F.concat(F.col(vec).cast("array<double>"), F.array(F.col(label).cast("double"))).alias("v"))
     m = centred_moments(joint, "v")
     sd = np.sqrt(np.diag(m.outer) / max(m.n - 1, 1))
@@ -194,18 +244,24 @@ def pls(df: DataFrame, label: str, k: int, vec: str = "features") -> LinearFusio
 def select_k_best(df: DataFrame, label: str, k: int, vec: str = "features") -> DataFrame:
     """(pos, f_score, rank) by the univariate regression F statistic.
 
-    All correlations come from one moment pass over (features, label).
+    Means first, then each feature's own square and its product with the label: three numbers a feature.
     """
-    joint = df.select(F.concat(F.col(vec).cast("array<double>"), F.array(F.col(label).cast("double"))).alias("v"))
-    m = centred_moments(joint, "v")
-    sd = np.sqrt(np.diag(m.outer))
+    rows = df.select(F.col(vec).cast("array<double>").alias("x"), F.array(F.col(label).cast("double")).alias("y"))
+    shared = df.sparkSession.sparkContext.broadcast((vector_mean(rows, "x"), vector_mean(rows, "y")))
+
+    def part(cols: list[np.ndarray]) -> np.ndarray:
+        x, y = (c - m for c, m in zip(cols, shared.value, strict=True))
+        return np.column_stack([(x * x).sum(0), x.T @ y, np.full(x.shape[1], (y * y).sum())])
+
+    s = tiled_sum(rows, ["x", "y"], part, len(shared.value[0]), 3)
+    n = rows.count()
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = m.outer[:-1, -1] / (sd[:-1] * sd[-1])
-        f = r * r / (1.0 - r * r) * (m.n - 2)
+        r = s[:, 1] / np.sqrt(s[:, 0] * s[:, 2])
+        f = r * r / (1.0 - r * r) * (n - 2)
     f = np.nan_to_num(f, nan=0.0)
     order = np.lexsort((np.arange(len(f)), -f))[:k]
-    rows = [(int(i), float(f[i]), n + 1) for n, i in enumerate(order)]
-    return df.sparkSession.createDataFrame(rows, "pos int, f_score double, rank int")
+    found = [(int(i), float(f[i]), rank + 1) for rank, i in enumerate(order)]
+    return df.sparkSession.createDataFrame(found, "pos int, f_score double, rank int")
 
 
 @dataclass

@@ -6,7 +6,7 @@ map-side combining.  Only width x width numbers reach the driver, checked agains
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 8192
+#: Widest vectors whose whole covariance is formed; wider ones go through products with a few vectors.
+DENSE_WIDTH = 2048
+#: Features in a row of partial sums.
+TILE = 4096
 
 
 @dataclass
@@ -129,3 +133,102 @@ def fix_signs(weights: np.ndarray) -> np.ndarray:
     pick = np.abs(weights).argmax(axis=0)
     sign = np.sign(weights[pick, np.arange(weights.shape[1])])
     return weights * np.where(sign == 0, 1.0, sign)
+
+
+# -- wide vectors: products with a few vectors, never a width x width array ---------------------------
+def plain_width(df: DataFrame, vec: str) -> int:
+    row = df.select(F.size(vec).alias("d")).first()
+    if row is None:
+        raise ValueError("no rows to fit on")
+    return row["d"]
+
+
+def tiled_sum(df: DataFrame, columns: Sequence[str], part: Callable[[list[np.ndarray]], np.ndarray], width: int, k: int) -> np.ndarray:
+    """Sum over all rows of ``part(batch)``, a (width, k) array.  A task adds up its own rows and emits
+    the sum in tiles of features; tiles meet on the cluster, and width x k numbers reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((width, k))
+        for pdf in batches:
+            if len(pdf):
+                acc += part([_rows(pdf[c]) for c in columns])
+        for t, lo in enumerate(range(0, width, TILE)):
+            yield pd.DataFrame({"tile": [t], "s": [acc[lo : lo + TILE].ravel()]})
+
+    cast = df.select(*[F.col(c).cast("array<double>").alias(c) for c in columns])
+    summed = cast.mapInPandas(run, "tile int, s array<double>").groupBy("tile").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
+    out = np.zeros((width, k))
+    for r in summed.select("tile", vector_to_array("s").alias("s")).collect():
+        lo = r["tile"] * TILE
+        out[lo : lo + TILE] = np.array(r["s"]).reshape(-1, k)
+    return out
+
+
+def covariance_times(df: DataFrame, vec: str, mean: np.ndarray, n: int, v: np.ndarray) -> np.ndarray:
+    """Sample covariance times the columns of ``v``, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast((mean, v))
+
+    def part(cols: list[np.ndarray]) -> np.ndarray:
+        m, v = shared.value
+        x = cols[0] - m
+        return x.T @ (x @ v)
+
+    return tiled_sum(df, [vec], part, len(mean), v.shape[1]) / max(n - 1, 1)
+
+
+@dataclass
+class Leading:
+    """The first components of a covariance; ``residual`` is their largest |C u - a u| as a share of the
+    largest variance, after ``passes`` over the table."""
+
+    n: int
+    mean: np.ndarray
+    vectors: np.ndarray
+    values: np.ndarray
+    residual: float
+    passes: int
+
+
+def leading_components(df: DataFrame, k: int, vec: str = "features", extra: int = 8, most: int = 30, tolerance: float = 1e-9, seed: int = 42) -> Leading:
+    """Randomised range finder: a block of ``k + extra`` random vectors and its products with the
+    covariance, orthonormal, until the first ``k`` Ritz vectors leave no residual.
+
+    A pass over the table per block; the basis is at most width x (k + extra) x ``most`` numbers, and is
+    cut back to the Ritz vectors beyond a fifth of that.
+    """
+    d = plain_width(df, vec)
+    n = df.count()
+    mean = vector_mean(df, vec)
+    block = min(d, k + extra)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, block)))
+    images = np.zeros((d, 0))
+    fresh, passes = basis, 0
+    while True:
+        image = covariance_times(df, vec, mean, n, fresh)
+        passes += 1
+        images = np.column_stack([images, image])
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1]
+        values, turn = values[order], turn[:, order]
+        lead = min(k, len(values))
+        rest = images @ turn[:, :lead] - (basis @ turn[:, :lead]) * values[:lead]
+        residual = float(np.linalg.norm(rest, axis=0).max() / max(values[0], 1e-300))
+        if residual <= tolerance or passes >= most or basis.shape[1] >= d:
+            break
+        if basis.shape[1] + block > max(6 * block, most * block // 5):
+            keep = turn[:, : 2 * block]
+            basis, images = basis @ keep, images @ keep
+        fresh = image
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        fresh, size = np.linalg.qr(fresh)
+        # Directions that the basis holds already are noise.
+        held = np.abs(np.diag(size)) > 1e-12 * max(values[0], 1e-300)
+        fresh = fresh[:, held][:, : d - basis.shape[1]]
+        if not fresh.shape[1]:
+            break
+        fresh = fresh - basis @ (basis.T @ fresh)
+        fresh, _ = np.linalg.qr(fresh)
+        basis = np.column_stack([basis, fresh])
+    return Leading(n, mean, fix_signs(basis @ turn[:, :lead]), np.maximum(values[:lead], 0.0), residual, passes)
