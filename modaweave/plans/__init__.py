@@ -4,7 +4,7 @@ import importlib as _importlib
 
 from .registry import CATALOG
 
-for _name in ("sources", "tables", "splits", "neighbours", "scores", "models", "trees"):
+for _name in ("sources", "tables", "splits", "neighbours", "scores", "models", "trees", "checks"):
     try:
         _importlib.import_module(f"{__name__}.catalog_{_name}")
     except ModuleNotFoundError as _e:

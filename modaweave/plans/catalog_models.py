@@ -218,8 +218,22 @@ def _knn_sql(target, metric, k, weight):
     )
 
 
+_BAYES = (
+    with_(
+        fx.VECTORS,
+        "t AS (SELECT id, features, CAST(label AS DOUBLE) AS label, row_number() OVER (ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) <= floor(round(0.75 * count(*) OVER (), 6)) AS train FROM vectors)",
+        "c AS (SELECT id, label, train, unnest(features) AS v, unnest(range(64)) AS pos FROM t)",
+        "s AS (SELECT label, pos, avg(v) AS mu, var_pop(v) AS var FROM c WHERE train GROUP BY ALL)",
+        "k AS (SELECT label, ln(count(*)) AS prior FROM t WHERE train GROUP BY label)",
+        "l AS (SELECT c.id, max(c.label) AS truth, s.label, sum(-0.5 * ln(s.var) - (c.v - s.mu) ** 2 / (2 * s.var)) + max(k.prior) AS ll FROM c JOIN s ON s.pos = c.pos JOIN k ON k.label = s.label WHERE NOT c.train GROUP BY c.id, s.label)",
+        "p AS (SELECT id, max(truth) AS label, max(ll) FILTER (label = 0) - max(ll) FILTER (label = 1) AS gap FROM l GROUP BY id)",
+    )
+    + f"SELECT id, {r('label')} AS label, {r('1 / (1 + exp(gap))')} AS p FROM p"
+)
+
 _GAPS = "list_transform(list_zip(q.features, n.features), lambda z: abs(z[1] - z[2]) ** {p})"
 _CHECKED = {
+    "naive_bayes": _BAYES,
     "k_neighbours": _knn_sql("CAST(label AS DOUBLE)", f"list_sum({_GAPS.format(p=3)}) ** (1.0 / 3)", 11, "1.0 / (dist + 1e-8)"),
     "k_neighbours_regression": _knn_sql("features[1] * 3 - features[2] + features[3] * features[3] * 2", f"sqrt(list_sum({_GAPS.format(p=2)}))", 5, "1.0"),
 }

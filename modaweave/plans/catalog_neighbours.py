@@ -81,16 +81,17 @@ def _(spark, d):
     return similarity_study(fx.vectors(spark, d))["weighted"].select("k", "roc_auc")
 
 
-@query(
-    "tanimoto_nearest",
-    "K5",
+TANIMOTO_SQL = (
     with_(
         "fp AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS b FROM embeddings)",
         "w AS (SELECT id, b, list_sum(b) AS n FROM fp)",
         "p AS (SELECT x.id AS query, y.id AS neighbour, 1.0 - list_dot_product(x.b, y.b) / greatest(x.n + y.n - list_dot_product(x.b, y.b), 1e-8) AS distance FROM w x JOIN w y ON x.id <> y.id)",
     )
-    + f"SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), neighbour) AS rank, {r('distance')} AS distance FROM p QUALIFY rank <= 3",
+    + f"SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY round(distance, 12), neighbour) AS rank, {r('distance')} AS distance FROM p QUALIFY rank <= 3"
 )
+
+
+@query("tanimoto_nearest", "K5", TANIMOTO_SQL)
 def _(spark, d):
     return neighbours.knn(fx.fingerprints(spark, d), 3, vec="bits", metric="tanimoto")
 
@@ -102,7 +103,20 @@ def _(spark, d):
     return fp.withColumn("c", center.scalar()).select("id", vx.tanimoto("bits", "c").alias("similarity"))
 
 
-@query("diverse_pick", "K6")
+_PICKS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS b, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+apart AS MATERIALIZED (
+  SELECT x.n AS a, list(1.0 - list_dot_product(x.b, y.b) / greatest(list_sum(x.b) + list_sum(y.b) - list_dot_product(x.b, y.b), 1e-8) ORDER BY y.n) AS d FROM v x, v y GROUP BY x.n),
+step(pick, place, gap) AS (
+  SELECT CAST(1 AS BIGINT), n, [CAST('inf' AS DOUBLE) FOR i IN range((SELECT count(*) FROM v))] FROM (SELECT n FROM v ORDER BY md5('42|' || CAST(id AS VARCHAR)), id LIMIT 1)
+  UNION ALL
+  SELECT pick + 1, list_position(now, list_max(now)), now
+  FROM (SELECT pick, [CASE WHEN j = s.place OR s.gap[j] < 0 THEN -1.0 ELSE least(s.gap[j], t.d[j]) END FOR j IN range(1, len(s.gap) + 1)] AS now FROM step s JOIN apart t ON t.a = s.place WHERE pick < 50))
+SELECT v.id, step.pick FROM step JOIN v ON v.n = step.place"""
+
+
+@query("diverse_pick", "K6", _PICKS)
 def _(spark, d):
     return density.maxmin(fx.fingerprints(spark, d), 50)
 
