@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
+from ..session import broadcast_small, cut_lineage, scratch_path
 
 #: A word is a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,17 +66,18 @@ def unit_hash(*cols: str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, by: str, seed: int = 0) -> DataFrame:
-    """About ``most`` rows of each value of ``by``, chosen by a hash of ``key``: a training sample only.
+def bounded_sample(df: DataFrame, key: str | Sequence[str], most: int, by: str, seed: int = 0) -> DataFrame:
+    """About ``most`` rows of each value of ``by``, chosen by a hash of the ``key`` columns: a training
+    sample only.
 
-    A value with fewer rows keeps them all.  One aggregation over ``by``; no shuffle of rows.
+    A value with fewer rows keeps them all.  Rows with the same key are one row of the sample, so a row
+    that is repeated without end does not fill it; null keys take part like others, so a key should hold
+    what tells rows apart.  One aggregation over ``by``; of the rows, only the sample is shuffled.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("_n")).collect()
-    share = {r[by]: min(1.0, most / r["_n"]) for r in counts}
-    if not share:
-        return df.limit(0)
-    rate = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-    return df.filter(unit_hash(key, seed=seed) < F.element_at(rate, F.col(by)))
+    keys = [key] if isinstance(key, str) else list(key)
+    share = df.groupBy(by).agg(F.count("*").alias("_n")).select(F.col(by).alias("_by"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")).alias("_share"))
+    rated = df.join(broadcast_small(share), F.col(by) == F.col("_by"))
+    return rated.filter(unit_hash(*keys, seed=seed) < F.col("_share")).drop("_by", "_share").dropDuplicates([*keys, by])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -140,7 +140,9 @@ def train(labelled: DataFrame, most: int = 5000, trees: int = 20, depth: int = 6
     """A forest over about ``most`` labelled findings of each kind (FEATURES and label 0 or 1)."""
     keys = [c for c in ("doc_id", "start") if c in labelled.columns]
     rows = labelled.withColumn("_k", F.xxhash64(*[F.col(c) for c in keys], *[F.col(c) for c in FEATURES]))
-    sample = stored(bounded_sample(rows, "_k", most, "label", seed).select("label", *FEATURES).coalesce(4), "secret-findings")
+    chosen = bounded_sample(rows, "_k", most, "label", seed).select("_k", "label", *FEATURES)
+    # A forest depends on the order of its rows: settle it.
+    sample = stored(chosen.repartition(4, "_k").sortWithinPartitions("_k", "label").drop("_k"), "secret-findings")
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred", numTrees=trees, maxDepth=depth, seed=seed)

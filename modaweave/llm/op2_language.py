@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_small, cut_lineage
 from .common import bounded_sample, held_out
 
 BLOCK = 2048
@@ -36,23 +37,37 @@ def letters(text: str | None) -> str:
     return " ".join([w for w, before in zip(words, ["", *words], strict=False) if w != before])
 
 
-def dictionaries(docs: DataFrame, most: int = 1500, size: int = 1 << 18, seed: int = 2) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, most: int = 1500, size: int = 1 << 18, seed: int = 2, total: int = 1 << 26) -> dict[str, bytes]:
     """Language to dictionary, in order of training rows.
 
-    About ``most`` labelled documents a language, one block of each at a place its hash chooses;
-    ``size`` bytes a language at most.  Both bound the training sample only.
+    About ``most`` labelled documents a language, a piece of each at a place its hash chooses, as long as
+    lets all of them fill ``size`` bytes (``BLOCK`` characters at most); whole pieces fill them.  All
+    dictionaries take ``total`` bytes at most: with very many languages each gets less, none is left out.
+    All bound the training sample only.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    order = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
-    blocks = F.ceil(F.length("text") / F.lit(BLOCK))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(blocks, F.lit(1))) * BLOCK + 1
-    chosen = bounded_sample(known, "doc_id", most, "lang", seed).select("doc_id", "lang", F.col("text").substr(at.cast("int"), F.lit(BLOCK)).alias("t"))
-    rows = sorted(chosen.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["t"]))
+    counts = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("n")))
+    order = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").collect()]
+    size = max(1, min(size, total // max(1, len(order))))
+    most = max(1, min(most, size // 32))
+    pieces = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(BLOCK), F.lit(size) / F.least(F.lit(most), F.col("n"))).cast("int").alias("_piece"))
+    chosen = bounded_sample(known, ["doc_id", "text"], most, "lang", seed).join(broadcast_small(pieces), F.col("lang") == F.col("_lang"))
+    at = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.greatest(F.length("text") - F.col("_piece") + 1, F.lit(1))) + 1
+    chosen = chosen.select("lang", F.xxhash64("doc_id", "text").alias("k"), F.substring("text", at.cast("int"), F.col("_piece")).alias("t"))
+    held: dict[str, list[bytes]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["k"], r["t"])):
+        p = letters(r["t"]).encode()
+        if p:
+            held.setdefault(r["lang"], []).append(p)
     out: dict[str, bytes] = {}
     for lang in order:
-        parts = [p for p in (letters(r["t"]) for r in rows if r["lang"] == lang) if p]
-        share = max(1, size // max(1, len(parts)))
-        out[lang] = b" ".join(p.encode()[:share] for p in parts)[-size:]
+        room, parts = size, []
+        for p in held.get(lang, []):
+            if len(p) + 1 > room:
+                break
+            parts.append(p)
+            room -= len(p) + 1
+        out[lang] = b" ".join(parts)
     return {k: v for k, v in out.items() if v}
 
 

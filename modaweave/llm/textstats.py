@@ -107,11 +107,13 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
 def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 5) -> pd.DataFrame:
     """Statistics of about ``most`` labelled documents of either class (doc_id, y, COUNTS, RATIOS).
 
-    A bounded training sample, taken by a hash of the id from all labels outside the held-out fold;
-    it is small enough to be broadcast to the documents and read on the driver.
+    A bounded training sample.  Labels are taken by a hash of their id from all those outside the
+    held-out fold, few enough to be broadcast; where an id stands for many documents, a hash of id and
+    text bounds the documents too, and equal rows count once.
     """
-    chosen = bounded_sample(known_labels(labels, label), "doc_id", most, "_y", seed).distinct()
+    chosen = bounded_sample(known_labels(labels, label).distinct(), "doc_id", most, "_y", seed)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = bounded_sample(texts, ["doc_id", "text"], most, "_y", seed + 1)
     out = texts.select("doc_id", "_y", stats_column("text").alias("_s")).toPandas()
     x = pd.DataFrame(np.array(out["_s"].tolist()).reshape(len(out), len(COUNTS + RATIOS)), columns=COUNTS + RATIOS)
     return pd.concat([out[["doc_id", "_y"]].rename(columns={"_y": "y"}), x], axis=1).sort_values(["doc_id", "y", *RATIOS], ignore_index=True)

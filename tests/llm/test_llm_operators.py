@@ -8,8 +8,9 @@ import pytest
 from llm_helpers import Sets, counts, near_groups, targets
 
 from modaweave.llm import op1_secrets, op2_language, op3_embedding, op4_packing, op5_quality, op6_rules, op7_minhash, op8_mixing, op9_licenses, op10_urls
-from modaweave.llm.common import components, stored
+from modaweave.llm.common import bounded_sample, components, stored
 from modaweave.llm.queries import QUERIES, SQL, tokenizer
+from modaweave.llm.textstats import labelled_stats
 from pyspark.sql import functions as F
 
 
@@ -44,6 +45,25 @@ def test_matches_sql(spark, folder, name):
     assert rows(df, *cols) == sorted(want.fetchall(), key=repr)
 
 
+def test_bounded_sample(spark):
+    """Null ids take part, a repeated row counts once, and every value of ``by`` is bounded."""
+    rows = [(None, f"text {k}", "a") for k in range(20_000)] + [(7, "the same", "a")] * 20_000 + [(k, f"b {k}", "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    for seed in range(4):
+        got = bounded_sample(df, ["doc_id", "text"], 1500, "lang", seed).collect()
+        assert 500 < sum(r.lang == "a" for r in got) < 1000 and sum(r.lang == "b" for r in got) == 300
+        assert sum(r.doc_id == 7 for r in got) <= 1
+    assert bounded_sample(df.limit(0), "doc_id", 10, "lang").count() == 0
+
+
+def test_labels_of_a_repeated_id_stay_bounded(spark):
+    a, b = [k for k in range(20) if zlib.crc32(str(k).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(a, f"words in text {k} of many") for k in range(3000)] + [(b, "equal rows here")] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    got = labelled_stats(docs, labels, "quality", 200)
+    assert 100 < (got.y == 1).sum() < 320 and (got.y == 0).sum() <= 1
+
+
 # 1 secrets
 
 SECRET = "AKIA" + "Q7ZX2M4N6P8R3T5V"

@@ -1,5 +1,7 @@
 """The pipeline stage by stage against what each stage was given."""
 
+import os
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -62,3 +64,18 @@ def test_packed(stages):
 def test_run(spark, folder, stages):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == stages[5].columns and got.count() == stages[5].count()
+
+
+def test_two_runs_stay_readable(spark, folder):
+    small = "/root/testdata/sf0.001"
+    first, second = corpus_pipeline.run(spark, small), corpus_pipeline.run(spark, small)
+    assert first.count() == second.count() > 0
+
+
+def test_a_held_result_stays_readable(spark, docs, folder, tmp_path):
+    part = docs.limit(60)
+    stage = dict(corpus_pipeline.STAGES)
+    held, other = stage["near_duplicates"](spark, part, folder), stage["near_duplicates"](spark, part, folder)
+    other.write.parquet(f"{tmp_path}/other")
+    stage["secrets"](spark, spark.read.parquet(f"{tmp_path}/other"), folder).count()
+    assert held.count() == other.count() > 0
