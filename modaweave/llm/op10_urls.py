@@ -2,8 +2,9 @@
 
 Hosts, without user info and port, are nodes; links in the pages' HTML are edges.  Trust starts at trusted seeds and follows
 links (personalised PageRank); distrust starts at blocked seeds and follows links backwards, since
-who links to bad hosts is suspect.  A host is blocked where distrust outweighs its trust.  Rules on
-host and path come first; the longest that fits decides.
+who links to bad hosts is suspect.  A host is blocked where distrust outweighs its trust; seeds beyond a
+bounded number of links are no evidence.  Rules on host and path come first; the longest that fits
+decides.
 
 Null urls, and urls without ``://``, have an empty host and path and the method's verdict for a
 host without evidence: allow.  Ties in rule length go to the longer host, then to the smaller text;
@@ -14,7 +15,7 @@ judged one by one, empty tables give empty results, other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ from .common import stored
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Parts of a host name that make it a blocked seed.
 BLOCKED_PARTS = ("ads", "adult", "bets", "betting", "casino", "gambling", "malware", "phishing", "pills", "porn", "spam", "xxx")
+#: Propagation ends when at most this share of the seeds' mass is still on its way.
+LEAST = 0.01
+FOLLOW = 0.85
 ANCHOR = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s>]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,12 +73,19 @@ def with_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return hosts.join(fit, "host", "left")
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, follow: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
+def enough_rounds(follow: float = FOLLOW, least: float = LEAST) -> int:
+    """Rounds after which at most the share ``least`` of the seeds' mass is still on its way."""
+    return ceil(log(least) / log(follow))
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, follow: float = FOLLOW, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) reached from ``seeds`` (host, trusted, blocked: booleans).
 
-    Both walks run in one table keyed by (host, kind), so a round is one join and one sum.  Rounds
-    end when no host is reached anew and no host's mass changes by more than the share ``tolerance``
-    of itself; mass falls by ``follow`` with each link, so this comes.  ``rounds`` ends them sooner.
+    Both walks run in one table keyed by (host, kind), so a round is one join and one sum.  Rounds end
+    when no host is reached anew and no host's mass changes by more than the share ``tolerance`` of
+    itself, or after ``rounds`` (``enough_rounds`` by default): what a round moves falls by ``follow``
+    each time, so beyond them the masses of all hosts together lack at most the share ``LEAST`` of the
+    seeds' mass, whatever the length of the graph's chains.
     """
     starts = seeds.select("host", F.lit(0).alias("kind"), F.col("trusted").alias("_on")).union(seeds.select("host", F.lit(1).alias("kind"), F.col("blocked").alias("_on")))
     start = cut_lineage(starts.filter("_on").select("host", "kind", F.lit(1.0 - follow).alias("mass")).distinct())
@@ -84,7 +95,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, follow: float = 0.85, rounds:
     out = ways.groupBy("_from", "_kind").agg(F.sum("links").alias("_all")).withColumnRenamed("_from", "_f").withColumnRenamed("_kind", "_k")
     ways = stored(ways.join(out, (ways._from == out._f) & (ways._kind == out._k)).select("_from", "_to", "_kind", (F.col("links") / F.col("_all")).alias("_share")), "url-ways")
     state = start
-    for _ in (range(rounds) if rounds is not None else count()) if ways.limit(1).count() else ():
+    for _ in range(rounds if rounds is not None else enough_rounds(follow)) if ways.limit(1).count() else ():
         moved = state.join(ways, (F.col("host") == F.col("_from")) & (F.col("kind") == F.col("_kind")))
         moved = moved.select(F.col("_to").alias("host"), "kind", (F.col("mass") * F.col("_share") * follow).alias("mass"))
         tagged = start.union(moved).select("host", "kind", "mass", F.lit(0.0).alias("_old")).union(state.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("_old")))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op10_urls
 from .common import table
 from .op1_secrets import op1
 from .op2_language import op2
@@ -150,4 +151,42 @@ SELECT CAST(nullif(d.c, 'none') AS BIGINT) AS conv_id, CAST(coalesce(n.gaps, 0)
 FROM done d LEFT JOIN counted n ON n.c = d.c LEFT JOIN line w ON w.c = d.c
 """
 
-SQL: dict[str, str] = {"op3_embedding": _LINKED, "op7_minhash": _COPIES, "op13_conversations": _REPAIRS}
+def _urls() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in op10_urls.RULES)
+    parts = ", ".join(f"'{p}'" for p in op10_urls.BLOCKED_PARTS)
+    start, rounds = 1 - op10_urls.FOLLOW, op10_urls.enough_rounds()
+    node = lambda h: f"lower(regexp_replace({h}, '^.*@|:[0-9]*$', '', 'g'))"
+    host = "translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE rule(verdict, rh, rp) AS (VALUES {rules}),
+page AS (SELECT page_id, html, coalesce({host}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+link AS (SELECT src, dst, count(*) AS n FROM (
+    SELECT {node('host')} AS src, {node('d')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{op10_urls.ANCHOR.replace("'", "''")}', 1)) AS d FROM page))
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+node AS (SELECT {node('host')} AS host FROM page UNION SELECT src FROM link UNION SELECT dst FROM link),
+fit AS (SELECT h.host, r.*, r.rh || r.rp AS rule FROM (SELECT host FROM node UNION SELECT host FROM page) h JOIN rule r ON h.host = r.rh OR ends_with(h.host, '.' || r.rh)),
+whole AS (SELECT host, first(verdict ORDER BY length(rule) DESC, length(rh) DESC, rule) AS verdict FROM fit WHERE rp = '/' GROUP BY host),
+seed AS (
+  SELECT n.host, coalesce(w.verdict = 'block', false) OR list_has_any(regexp_split_to_array(n.host, '[.\\-_]'), [{parts}]) AS bad, coalesce(w.verdict = 'allow', false) AS good
+  FROM node n LEFT JOIN whole w ON w.host = n.host),
+start AS (SELECT host, 1 AS kind, {start} AS mass FROM seed WHERE bad UNION ALL SELECT host, 0, {start} FROM seed WHERE good AND NOT bad),
+way AS (
+  SELECT src AS f, dst AS t, 0 AS kind, n / sum(n) OVER (PARTITION BY src) AS share FROM link
+  UNION ALL SELECT dst, src, 1, n / sum(n) OVER (PARTITION BY dst) FROM link),
+state(k, host, kind, mass) AS (
+  SELECT 0, host, kind, mass FROM start
+  UNION ALL
+  SELECT k + 1, host, kind, sum(mass) FROM (
+    SELECT x.k, s.host, s.kind, s.mass FROM (SELECT DISTINCT k FROM state) x, start s
+    UNION ALL SELECT a.k, w.t, a.kind, a.mass * w.share * {op10_urls.FOLLOW} FROM state a JOIN way w ON w.f = a.host AND w.kind = a.kind)
+  WHERE k < {rounds} GROUP BY ALL),
+mass AS (SELECT host, sum(CASE WHEN kind = 0 THEN mass ELSE 0 END) AS trust, sum(CASE WHEN kind = 1 THEN mass ELSE 0 END) AS distrust FROM state WHERE k = {rounds} GROUP BY host)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN m.distrust > m.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM page p LEFT JOIN mass m ON m.host = {node('p.host')}
+LEFT JOIN (
+  SELECT page_id, first(rule ORDER BY length(rule) DESC, length(rh) DESC, rule) AS rule, first(verdict ORDER BY length(rule) DESC, length(rh) DESC, rule) AS verdict
+  FROM page JOIN fit USING (host) WHERE starts_with(path, rp) GROUP BY page_id) b USING (page_id)
+"""
+
+
+SQL: dict[str, str] = {"op3_embedding": _LINKED, "op7_minhash": _COPIES, "op10_urls": _urls(), "op13_conversations": _REPAIRS}

@@ -555,3 +555,25 @@ def test_url_propagation_is_relative_and_joins_ports(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r for r in op10_urls.judged(df).filter("page_id in (7, 1500, 1501, 1502)").collect()}
     assert {k: r.verdict for k, r in got.items()} == dict.fromkeys(got, "block") and got[1501].host == "u@bad.net:8080"
+
+
+def test_urls_match_sql_on_a_linked_graph(spark):
+    """Trust, distrust, rules, ports and users over a random host graph, and a chain too long for evidence."""
+    rng = np.random.default_rng(8)
+    hosts = [f"h{k}.{t}" for k in range(25) for t in ("net", "org", "com")] + ["casino.net", "ads-x.com", "me.example.org"]
+    rows = []
+    for k in range(400):
+        a, links = hosts[rng.integers(len(hosts))], rng.choice(hosts, 3)
+        html = " ".join(f"<a class=x href='http://{'u@' if j == 1 else ''}{h.upper() if j == 2 else h}{':81' if j == 0 else ''}/x'>" for j, h in enumerate(links))
+        rows.append((k, f"https://{a}{':8080' if k % 9 == 0 else ''}/{rng.choice(['es', 'en', 'fr', 'de'])}/{k}?q", html))
+    rows += [(1000 + k, f"http://c{k}.net/", f'<a href="//c{k + 1}.net">') for k in range(45)] + [(1045, "http://c45.net/", '<a href="//spam.net">'), (2000, None, None), (2001, "no scheme", "<a href=//h1.net>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("given", df.toPandas())
+    con.execute("CREATE VIEW pages AS SELECT page_id::BIGINT AS page_id, url, html FROM given")
+    want = con.execute(SQL["op10_urls"])
+    names = [c[0] for c in want.description]
+    got = {r.page_id: r for r in op10_urls.op10(df).collect()}
+    assert sorted((tuple(r[c] for c in names) for r in got.values()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert got[1040].verdict == "block" and got[1000].verdict == "allow"
+    assert len({r.verdict for r in got.values() if r.rule is None}) == 2
