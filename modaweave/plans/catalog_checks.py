@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bitsearch, descent, fuse, learners, linalg, neighbours
+from ..operators import bitsearch, descent, folds, fuse, learners, linalg, neighbours, split
 from ..session import cut_lineage
 from . import fixtures as fx
 from . import studies
@@ -192,3 +192,35 @@ def _(spark, d):
     v = fx.vectors(spark, d).select("id", "features")
     found = cut_lineage(descent.descent_knn(v, 10))
     return descent.recall(found, neighbours.knn(v, 10)).select(F.lit(10).alias("k"), "entries", (F.col("recall") >= 0.95).alias("reached"))
+
+
+# -- folds in one pass ----------------------------------------------------------------------------------
+_FOLD_BAYES = with_(
+    fx.VECTORS,
+    "t AS (SELECT id, features, CAST(label AS DOUBLE) AS label, ntile(5) OVER (ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) - 1 AS fold FROM vectors)",
+    "c AS MATERIALIZED (SELECT id, label, fold, unnest(features) AS v, unnest(range(64)) AS pos FROM t)",
+    "s AS (SELECT f, label, pos, avg(v) AS mu, var_pop(v) AS var FROM c, range(5) r(f) WHERE fold <> f GROUP BY ALL)",
+    "k AS (SELECT f, label, ln(count(*)) AS prior FROM t, range(5) r(f) WHERE fold <> f GROUP BY ALL)",
+    "l AS (SELECT c.id, c.fold, max(c.label) AS truth, s.label, sum(-0.5 * ln(s.var) - (c.v - s.mu) ** 2 / (2 * s.var)) + max(k.prior) AS ll FROM c JOIN s ON s.pos = c.pos AND s.f = c.fold JOIN k ON k.label = s.label AND k.f = c.fold GROUP BY c.id, c.fold, s.label)",
+    "p AS (SELECT id, fold, max(truth) AS label, 1 / (1 + exp(max(ll) FILTER (label = 0) - max(ll) FILTER (label = 1))) AS p FROM l GROUP BY id, fold)",
+)
+
+
+@query("fold_predictions", "V1 V4 L5", _FOLD_BAYES + f"SELECT id, CAST(fold AS BIGINT) AS fold, label, 'Naive Bayes' AS model, {r('p')} AS p FROM p")
+def _(spark, d):
+    return folds.out_of_fold(split.kfold(_vec(spark, d), 5), ["Naive Bayes"])
+
+
+@query(
+    "fold_scores",
+    "V1 V4 M2 M6 M10",
+    _FOLD_BAYES.rstrip()
+    + """,
+cut AS (SELECT fold, label = 1 AS y, p > 0.5 AS g, p FROM p),
+tally AS (SELECT fold, count(*) FILTER (y AND g) AS tp, count(*) FILTER (NOT y AND NOT g) AS tn, count(*) FILTER (NOT y AND g) AS fp, count(*) FILTER (y AND NOT g) AS fn FROM cut GROUP BY fold),
+auc AS (SELECT a.fold, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS roc_auc FROM cut a JOIN cut b ON a.fold = b.fold AND a.y AND NOT b.y GROUP BY a.fold)
+"""
+    + f"SELECT 'all Naive Bayes' AS model, CAST(fold + 1 AS BIGINT) AS fold, {r('(tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE)')} AS accuracy, {r('2.0 * tp / (2 * tp + fp + fn)')} AS f1, {r('roc_auc')} AS roc_auc FROM tally JOIN auc USING (fold)",
+)
+def _(spark, d):
+    return studies.cross_validate_additive({"all": _vec(spark, d)}, ["Naive Bayes"]).select("model", "fold", "accuracy", "f1", "roc_auc")

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import folds as fold_models
 from ..operators import fuse as fusion
 from ..operators import groupsplit, learners, metrics, report, sample, split
 from ..operators.linalg import vector_mean
@@ -71,6 +72,23 @@ def cross_validate(tables: Mapping[str, DataFrame], models: Sequence[str], folds
     return _table(next(iter(tables.values())).sparkSession, records)
 
 
+def cross_validate_additive(tables: Mapping[str, DataFrame], models: Sequence[str], folds: int = 5, task: str = "classification", seed: int = 42) -> DataFrame:
+    """``cross_validate`` for learners that follow from sums (``folds.FITS``): one pass over a table for
+    all its folds and learners, one to score it, and one grouped job for the scores."""
+    out = []
+    for name, df in tables.items():
+        data = cut_lineage(split.kfold(df, folds, seed=seed))
+        scored = cut_lineage(fold_models.out_of_fold(data, models, task).select("model", (F.col("fold") + 1).alias("fold"), F.col("label").alias("y"), "p"))
+        by = ["model", "fold"]
+        if task == "regression":
+            got = metrics.regression_scores(scored, by)
+        else:
+            got = metrics.threshold_scores(scored, by, names=CLASS_SCORES).join(metrics.roc_auc(scored, by), by)
+        kind = "linear" if name.startswith(report.LINEAR_METHODS) else "Non-linear"
+        out.append(got.withColumn("model", F.concat(F.lit(f"{name} "), "model")).withColumn("model_type", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def cross_validate_fusions(ms: ModalitySet, labels: DataFrame, methods: Sequence[str], k: int, models: Sequence[str], folds: int = 5, task: str = "classification", seed: int = 42) -> DataFrame:
     """Fusions fitted inside each training fold, so no test row shapes the representation."""
     wide = cut_lineage(split.kfold(_joined(ms, labels), folds, seed=seed))
