@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bitsearch, descent, folds, fuse, learners, linalg, neighbours, split
+from ..operators import bitsearch, descent, folds, fuse, learners, linalg, neighbours, sample, split
 from ..session import cut_lineage
 from . import fixtures as fx
 from . import studies
@@ -157,7 +157,73 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
+# -- balancing ----------------------------------------------------------------------------------------
+def _rare(spark, d) -> DataFrame:
+    return cut_lineage(fx.vectors(spark, d).select("id", (F.col("cls") == 0).cast("int").alias("label"), "features"))
+
+
+_RARE = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label FROM embeddings), few AS (SELECT arg_min(label, (n, label)) AS label, max(n) - min(n) AS need FROM (SELECT label, count(*) AS n FROM v GROUP BY label))"
+_AROUND = "around AS (SELECT a.id, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 12), b.id) AS rank FROM v a JOIN v b ON a.id <> b.id)"
+_UNIT = "(CAST('0x' || substr({h}, 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _smote_sql(starts: str) -> str:
+    """Synthetic points, their first entries: from minority rows in turn towards a neighbour drawn by hash."""
+    return (
+        with_(
+            _RARE,
+            _AROUND,
+            "small AS (SELECT v.* FROM v JOIN few USING (label))",
+            f"start AS ({starts})",
+            "turn AS (SELECT id, x, row_number() OVER (ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) AS r, count(*) OVER () AS m FROM start)",
+            "base AS (SELECT id, x, unnest(range(1, need // m + CASE WHEN r <= need % m THEN 1 ELSE 0 END + 1)) AS copy FROM turn CROSS JOIN few)",
+            "near AS (SELECT a.id, b.x, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 12), b.id) AS rank, count(*) OVER (PARTITION BY a.id) AS n FROM small a JOIN small b ON a.id <> b.id)",
+            "drawn AS (SELECT *, md5('42|' || CAST(id AS VARCHAR) || '#' || CAST(copy AS VARCHAR)) AS h FROM base)",
+        )
+        + f"SELECT 's' || CAST(d.id AS VARCHAR) || '-' || CAST(d.copy AS VARCHAR) AS id, "
+        + ", ".join(f"{r(f'd.x[{i + 1}] + ' + _UNIT.format(h='md5(d.h)') + f' * (n.x[{i + 1}] - d.x[{i + 1}])')} AS c{i}" for i in range(3))
+        + f" FROM drawn d JOIN near n ON n.id = d.id AND n.rank = CAST(floor({_UNIT.format(h='d.h')} * least(n.n, 5)) AS BIGINT) + 1"
+    )
+
+
+_DANGER = "SELECT s.id, s.x FROM small s JOIN (SELECT id, count(*) FILTER (label <> truth) AS foreign_, count(*) AS seen FROM around WHERE rank <= 10 GROUP BY id) USING (id) WHERE foreign_ * 2 > seen AND foreign_ < seen"
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.filter("synthetic").select("id", *[F.col("features")[i].alias(f"c{i}") for i in range(3)])
+
+
+@query("smote_points", "S18", _smote_sql("SELECT id, x FROM small"))
+def _(spark, d):
+    return _points(sample.smote(_rare(spark, d)))
+
+
+@query("borderline_smote_points", "S19", _smote_sql(_DANGER))
+def _(spark, d):
+    return _points(sample.borderline_smote(_rare(spark, d)))
+
+
+@query("edited_rows", "S20", with_(_RARE, _AROUND) + "SELECT id, CAST(max(truth) AS BIGINT) AS label FROM around WHERE rank <= 3 GROUP BY id HAVING count(*) FILTER (label <> truth) = 0")
+def _(spark, d):
+    """The editing step on its own."""
+    return sample.edited(_rare(spark, d)).select("id", "label")
+
+
 # -- learners -----------------------------------------------------------------------------------------
+@query(
+    "quadratic_covariances",
+    "L8",
+    with_(fx.CELLS, "c AS (SELECT x.label, x.pos AS i, y.pos AS j, covar_samp(x.v, y.v) AS v FROM cells x JOIN cells y USING (id) GROUP BY x.label, x.pos, y.pos)")
+    + f"SELECT CAST(label AS BIGINT) AS label, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('0.999 * v + CASE WHEN i = j THEN 0.001 ELSE 0 END', 4)} AS v FROM c",
+    digits=4,
+)
+def _(spark, d):
+    """The regularised class covariances whose inverses the discriminant uses."""
+    model = learners.make("QDA").fit(_vec(spark, d))
+    rows = [(int(c), i, j, float(v)) for c, p in zip(model.classes, model.precisions, strict=True) for i, row in enumerate(np.linalg.inv(p)) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "label int, i int, j int, v double")
+
+
 def _target(spark, d) -> DataFrame:
     f = F.col("features")
     return _vec(spark, d).withColumn("label", f[0] * 3 - f[1] + f[2] * f[2] * 2)
