@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bitsearch, descent, folds, fuse, learners, linalg, neighbours, sample, split
 from ..session import cut_lineage
+from ..sources import store
 from . import fixtures as fx
 from . import studies
 from .catalog_neighbours import TANIMOTO_SQL
@@ -290,3 +291,12 @@ auc AS (SELECT a.fold, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5
 )
 def _(spark, d):
     return studies.cross_validate_additive({"all": _vec(spark, d)}, ["Naive Bayes"]).select("model", "fold", "accuracy", "f1", "roc_auc")
+
+
+# -- stored layout --------------------------------------------------------------------------------------
+@query("stored_alignment", "IO10 J1 J6", with_(fx.COMMON) + f"SELECT id, {r('balance')} AS balance, {r('n_orders')} AS n_orders, {r('n_events')} AS n_events FROM account JOIN ordering USING (id) JOIN activity USING (id)")
+def _(spark, d):
+    """Tables written once by id, joined bucket against bucket."""
+    kept = store.store(fx.modalities(spark, d))
+    f = F.col("features")
+    return kept.aligned().select("id", f[0].alias("balance"), f[2].alias("n_orders"), f[5].alias("n_events"))
