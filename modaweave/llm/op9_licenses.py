@@ -78,7 +78,8 @@ def training(docs: DataFrame, most: int = 2000, seed: int = 9) -> DataFrame:
     rows += [("unknown", v) for t in UNKNOWN for v in _variants(t)] + [("none", v) for t in NOT_ONE for v in _variants(t)]
     fixed = spark.createDataFrame(rows, "label string, t string").select("label", words_of("t").alias("words"))
     n = docs.filter("text is not null").count()
-    picked = docs.filter("text is not null").filter(unit_hash("doc_id", "text", seed=seed) < min(1.0, most / max(1, n)))
+    # Rows that are repeated share a hash: they count once.
+    picked = docs.filter("text is not null").filter(unit_hash("doc_id", "text", seed=seed) < min(1.0, most / max(1, n))).dropDuplicates(["doc_id", "text"])
     at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.size(F.split("text", "\n")))
     line = picked.select(F.split("text", "\n")[at.cast("int")].alias("t")).filter(~F.col("t").rlike(CUE))
     plain = line.select(F.lit("none").alias("label"), F.slice(words_of("t"), 1, WINDOW).alias("words"))
