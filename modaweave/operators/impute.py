@@ -51,19 +51,21 @@ def interpolate(df: DataFrame, features: Sequence[str], order: str) -> DataFrame
         *[F.max(f"_k_{f}").alias(f"_hi_{f}") for f in features], *[F.min(f"_k_{f}").alias(f"_lo_{f}") for f in features]
     )
     back = W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    ahead = W.orderBy("_blk").rowsBetween(1, W.unboundedFollowing)
+    # What follows is read as what comes before in falling order: a frame that is open ahead is summed
+    # up anew for every row, so its time grows with the square of the range.
+    ahead = W.orderBy(F.desc("_blk")).rowsBetween(W.unboundedPreceding, -1)
     edges = edges.select(
         "_blk",
         *[F.last(f"_hi_{f}", True).over(back).alias(f"_pb_{f}") for f in features],
-        *[F.first(f"_lo_{f}", True).over(ahead).alias(f"_nb_{f}") for f in features],
+        *[F.last(f"_lo_{f}", True).over(ahead).alias(f"_nb_{f}") for f in features],
     )
     before = W.partitionBy("_blk").orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("_blk").orderBy("_rn").rowsBetween(0, W.unboundedFollowing)
+    after = W.partitionBy("_blk").orderBy(F.desc("_rn")).rowsBetween(W.unboundedPreceding, 0)
     out = ranked.join(broadcast_small(edges), "_blk")
     fills = {}
     for f in features:
         prev = F.coalesce(F.last(f"_k_{f}", True).over(before), F.col(f"_pb_{f}"))
-        nxt = F.coalesce(F.first(f"_k_{f}", True).over(after), F.col(f"_nb_{f}"))
+        nxt = F.coalesce(F.last(f"_k_{f}", True).over(after), F.col(f"_nb_{f}"))
         out = out.withColumn(f"_p_{f}", prev).withColumn(f"_n_{f}", nxt)
         p, n = F.col(f"_p_{f}"), F.col(f"_n_{f}")
         slope = F.try_divide(n["v"] - p["v"], (n["p"] - p["p"]).cast("double"))
