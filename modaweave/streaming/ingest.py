@@ -17,10 +17,11 @@ from ..session import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, pattern: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """The Parquet files of ``folder``; with ``pattern`` those it names there, single files or folders of
+    part files."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    # The braces make any name a glob, which may stand for a file as well as for a folder.
+    return reader.parquet(f"{folder.rstrip('/')}/{{{pattern}}}" if pattern else folder)
 
 
 def ingest(stream: DataFrame, ids: DataFrame, key: str, valid: Column, good: str, rejects: str, checkpoint: str | None = None) -> None:
