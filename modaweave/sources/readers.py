@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Iterator, Mapping, Sequence
+from fnmatch import fnmatchcase
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -66,18 +70,46 @@ def normalise_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.withColumnRenamed(found, id_col)
 
 
+def _below(base_dir: str) -> str:
+    """The folder as it appears in the full paths of its files: without scheme and host."""
+    return "/" + posixpath.normpath(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", base_dir)).strip("/") + "/"
+
+
+def _named(spark: SparkSession, base_dir: str, descriptor: str, fmt: str) -> list[str]:
+    """Files below ``base_dir`` whose name contains ``descriptor``, and folders named like such a file, as
+    glob-safe paths.  A table written by Spark is a folder of part files; the folder carries the name then."""
+    found = set()
+    base = _below(base_dir)
+    # Only the listing is used; nothing is read.
+    for file in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base_dir).inputFiles():
+        path = unquote(file)
+        at = path.find(base)
+        start = at + len(base) if at >= 0 else path.rfind("/") + 1
+        parts = path[start:].split("/")
+        names = [fnmatchcase(part, f"*{descriptor}*") and (part is parts[-1] or part.endswith(f".{fmt}")) for part in parts]
+        hit = next((i for i, named in enumerate(names) if named), None)
+        if hit is not None:
+            found.add(path[:start] + "/".join(parts[: hit + 1]))
+    if not found:
+        raise FileNotFoundError(f"no {fmt} files named {descriptor!r} below {base_dir}")
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in sorted(found)]
+
+
 def embeddings(spark: SparkSession, base_dir: str, descriptor: str, fmt: str = "parquet") -> DataFrame:
-    """The files whose name contains ``descriptor``, one row per id."""
-    reader = spark.read.format(fmt).option("pathGlobFilter", f"*{descriptor}*").option("recursiveFileLookup", True)
+    """The files whose name contains ``descriptor``, or folders named like such a file, one row per id."""
+    reader = spark.read.format(fmt).option("recursiveFileLookup", True)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
-    return normalise_id(reader.load(base_dir)).dropDuplicates(["id"])
+    return normalise_id(reader.load(_named(spark, base_dir, descriptor, fmt))).dropDuplicates(["id"])
 
 
 def all_embeddings(spark: SparkSession, base_dir: str, fmt: str = "parquet") -> DataFrame:
-    """Every embedding file below a folder, tagged with the descriptor its name starts with."""
+    """Every embedding file below a folder, tagged with the descriptor its name starts with; files in a
+    folder named like a file (``x.parquet``) belong to that name."""
     df = spark.read.format(fmt).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}").load(base_dir)
-    return df.withColumn("descriptor", descriptor_of(F.col("_metadata.file_name")))
+    inside = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(quote(_below(base_dir))), "/")
+    name = F.regexp_extract(inside, rf"([^/]+\.{fmt})(/[^/]*)*$", 1)
+    return df.withColumn("descriptor", descriptor_of(name))
 
 
 def descriptor_of(file_name):
@@ -142,8 +174,6 @@ def log_values(df: DataFrame, text: str, labels: Mapping[str, tuple[str, int]])
 
 
 def _quote(text: str) -> str:
-    import re
-
     return re.escape(text)
 
 
