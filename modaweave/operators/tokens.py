@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_slot, seeded_key
 from ..functions.vectors import let
+from ..session import cut_lineage
 from .ranking import ordered_rank
 
 PAD, OTHER = 0, 1
@@ -54,23 +56,50 @@ def extend_vocab(base: DataFrame, extra: DataFrame) -> DataFrame:
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, id_col: str = "id", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(id, token_ids, length); unknown tokens get the id of ``<other>``.
 
-    A vocabulary of checked size is broadcast as a lookup and nothing is shuffled; a larger one is
-    joined by token and the sequence put together again by position.
+    The ``broadcast_tokens`` tokens that come most often are a broadcast lookup, and where the vocabulary
+    holds no more, nothing is shuffled.  Of a larger one only the other, rare tokens are joined and put
+    back at their positions.
     """
-    if vocab.count() <= broadcast_tokens:
-        table = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
-        shared = df.sparkSession.sparkContext.broadcast(table)
+    common = vocab.select("token", "token_id").orderBy("token_id").limit(broadcast_tokens + 1).collect()  # ids fall with the count
+    whole = len(common) <= broadcast_tokens
+    table = {r["token"]: r["token_id"] for r in common[:broadcast_tokens]}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    length = F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0)).alias("length")
+    if whole:
 
         @F.pandas_udf("array<bigint>")
         def look_up(seqs: pd.Series) -> pd.Series:
             get = shared.value.get
-            return pd.Series([[get(t, OTHER) for t in s] for s in seqs], dtype=object)
-
-        return df.select(id_col, look_up(tokens).alias("token_ids"), F.size(tokens).alias("length"))
-    cells = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token")).join(vocab.select("token", "token_id"), "token", "left")
-    code = F.struct("pos", F.coalesce("token_id", F.lit(OTHER).cast("bigint")).alias("code"))
-    lists = cells.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), code))).alias("_s"))
-    return lists.select(id_col, F.transform("_s", lambda s: s["code"]).alias("token_ids"), F.size("_s").alias("length"))
+            return pd.Series([[get(t, OTHER) for t in (() if s is None else s)] for s in seqs], dtype=object)
+
+        return df.select(id_col, look_up(tokens).alias("token_ids"), length)
+
+    @F.pandas_udf("array<bigint>")
+    def common_ids(seqs: pd.Series) -> pd.Series:
+        get = shared.value.get
+        return pd.Series([[get(t, -1) for t in (() if s is None else s)] for s in seqs], dtype=object)
+
+    # Rows are told apart by their place in the written table, so ids may repeat.
+    rare = F.filter(F.transform("_ids", lambda c, i: F.when(c < 0, F.struct(i.alias("at"), F.get(F.col(tokens), i).alias("token")))), lambda x: x.isNotNull())
+    coded = df.select(id_col, tokens, length, common_ids(tokens).alias("_ids"), F.monotonically_increasing_id().alias("_row"))
+    held = cut_lineage(coded.select(id_col, "length", "_ids", rare.alias("_rare"), "_row"))
+    cells = held.select("_row", F.explode("_rare").alias("_c")).select("_row", "_c.at", "_c.token")
+    code = F.struct("at", F.col("token_id").alias("code"))
+    found = cells.join(vocab.select("token", "token_id"), "token").groupBy("_row").agg(F.collect_list(code).alias("_f"))
+    found = found.select("_row", F.col("_f.at").alias("_at"), F.col("_f.code").alias("_code"))
+
+    @F.pandas_udf("array<bigint>")
+    def put_back(ids: pd.Series, at: pd.Series, code: pd.Series) -> pd.Series:
+        out = []
+        for s, where, what in zip(ids, at, code, strict=True):
+            s = np.array(s, dtype="int64")
+            if where is not None:
+                s[where] = what
+            s[s < 0] = OTHER
+            out.append(s)
+        return pd.Series(out, dtype=object)
+
+    return held.select(id_col, "length", "_ids", "_row").join(found, "_row", "left").select(id_col, put_back("_ids", "_at", "_code").alias("token_ids"), "length")
 
 
 def mask_labels(df: DataFrame, token_ids: str = "token_ids", id_col: str = "id", share: float = 0.15, seed: int = 42) -> DataFrame:
