@@ -58,3 +58,25 @@ def test_bounds_leave_out_far_blocks(spark, monkeypatch):
     d = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
     assert (low.min(1) == 0).all()
     assert (low <= np.sort(d, axis=1)[:, [5]]).mean() < 0.4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "tanimoto", "minkowski"])
+def test_tiles_match_whole_matrix(monkeypatch, metric):
+    """Ties, copies and rows that are no numbers over many tiles."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbours, "TILE_COLUMNS", 8)
+    x = RNG.normal(size=(150, 6))
+    if metric == "tanimoto":
+        x = (x > 0).astype(float)
+    x[100:120] = x[:20]
+    x = neighbours._prepare(x, metric)
+    d = np.round(neighbours._reported(neighbours.pairwise(x, x, metric, 3.0), x, x, metric), 9)
+    cols, vals = neighbours.nearest_columns(x, x, 7, metric, 3.0)
+    assert np.allclose(np.sort(d, axis=1)[:, :7], vals, atol=1e-6)
+    if metric != "euclidean":  # its product rounds copies apart
+        assert (np.argsort(d, axis=1, kind="stable")[:, :7] == cols).all()
+    y = x.copy()
+    y[3] = np.nan
+    cols, _ = neighbours.nearest_columns(y[:3], y, 7, metric, 3.0)
+    assert 3 not in cols
+    assert neighbours.nearest_columns(x[:5], x[:2], 7, metric)[0].shape == (5, 2)
