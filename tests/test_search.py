@@ -36,6 +36,24 @@ def test_packed_search_is_exact(spark, width, share, block, k):
     assert by_rank(bitsearch.tanimoto_knn(df, k, block=block)) == by_rank(knn(df, k, vec="bits", metric="tanimoto"))
 
 
+def test_packed_pairs_stay_in_the_task(spark, monkeypatch):
+    """Pairs that cannot count never become rows of a join, and small chunks and tiles change nothing."""
+    monkeypatch.setattr(bitsearch, "TILE_COLUMNS", 16)
+    x = (np.random.default_rng(3).random((300, 130)) < 0.3).astype(int)
+    x[40:80] = x[40]
+    df = as_table(spark, x)
+    rows, second = [], bitsearch._second_pass
+
+    def counted(*args):
+        out = second(*args).cache()
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(bitsearch, "_second_pass", counted)
+    assert by_rank(bitsearch.tanimoto_knn(df, 2, block=8, chunk=20)) == by_rank(knn(df, 2, vec="bits", metric="tanimoto"))
+    assert rows[0] < 261 * 261 / 4
+
+
 def test_packed_search_of_few_rows(spark):
     df = as_table(spark, np.eye(3, dtype=int))
     assert bitsearch.tanimoto_knn(df.limit(0), 2).count() == 0
