@@ -144,3 +144,24 @@ def test_density_sample_is_exact(spark, limit):
     got = [r["id"] for r in density.density_sample(lab, fp, 60, maxmin_limit=limit).collect()]
     assert len(got) == len(set(got)) == 60
     assert 1 <= sum(i < 60 for i in got) <= 60
+
+
+@pytest.mark.parametrize("p", [1.0, 1.5, 3.0, 2.5])
+def test_minkowski_forms_few_distances(p, monkeypatch):
+    """The k nearest by the plain formula, with most distances ruled out by a product."""
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(6000, 16))
+    b[40:60] = b[40]
+    a = np.r_[rng.normal(size=(50, 16)), b[38:44]]
+    formed, pairs = [], neighbours._minkowski_pairs
+
+    def counted(x, i, *rest):
+        formed.append(len(i))
+        return pairs(x, i, *rest)
+
+    monkeypatch.setattr(neighbours, "_minkowski_pairs", counted)
+    cols, vals = neighbours.nearest_columns(a, b, 5, "minkowski", p)
+    want = np.round(np.stack([(np.abs(b - row) ** p).sum(1) ** (1 / p) for row in a]), 12)
+    order = np.argsort(want, axis=1, kind="stable")[:, :5]
+    assert (cols == order).all() and np.allclose(vals, np.take_along_axis(want, order, 1), atol=1e-11)
+    assert sum(formed) < len(a) * len(b) * 3 / 4 and (formed or p < 1.5)
