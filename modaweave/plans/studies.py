@@ -8,13 +8,13 @@ Input tables have ``id``, ``label`` and ``features``; ``tables`` maps a fused-ta
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds as fold_models
@@ -190,23 +190,57 @@ def distribution_shift(long: DataFrame, group: str, models: Sequence[str], min_r
     return _table(long.sparkSession, records)
 
 
-def _seeded_folds(df: DataFrame, folds: int, seeds: Sequence[int]) -> Iterator[tuple[int, int, DataFrame, DataFrame]]:
-    data = cut_lineage(split.stratified_kfold(df, folds, "label", seeds=seeds))
-    for s, f in product(seeds, range(folds)):
-        own = data.filter(F.col("seed") == s)
-        yield s, f, own.filter(F.col("fold") != f).drop("seed", "fold"), own.filter(F.col("fold") == f).drop("seed", "fold")
+def _seeded_sets(df: DataFrame, folds: int, seeds: Sequence[int], fractions: Sequence[float] | None = None) -> tuple[dict[tuple, DataFrame], dict[tuple, DataFrame]]:
+    """Balanced training rows per (seed, held-out fold) or (seed, fold, fraction), and test rows per (seed, fold).
+
+    All sets are ranked together, on ids and labels alone; then each row is written once, with the numbers
+    of the sets it is in.
+    """
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))  # ids may repeat
+    tagged = cut_lineage(split.stratified_kfold(rows.select("_row", "id", "label"), folds, "label", seeds=seeds))
+    sets = tagged.withColumn("held", F.explode(F.array(*[F.lit(f) for f in range(folds)]))).filter("held <> fold")
+    by, keys = ["seed", "held"], {"seed": list(seeds), "held": list(range(folds))}
+    if fractions is not None:
+        sets = cut_lineage(split.learning_fractions(sets, "label", fractions=fractions, by=by, seed=F.col("seed")))
+        by, keys = [*by, "fraction"], {**keys, "fraction": list(fractions)}
+    sets = sample.undersample(sets, "label", seed=F.col("seed"), by=by)
+
+    def number(names: Mapping[str, str]) -> Column:
+        """Place of a row's set among the products of the keys."""
+        out = F.lit(0)
+        for column, key in names.items():
+            at = F.array_position(F.array(*[F.lit(v) for v in keys[key]]), F.col(column)) - 1
+            out = out * len(keys[key]) + at
+        return out.cast("int")
+
+    train_of = sets.groupBy("_row").agg(F.collect_list(number({k: k for k in by})).alias("_train"))
+    test_of = tagged.groupBy("_row").agg(F.collect_list(number({"seed": "seed", "fold": "held"})).alias("_test"))
+    held = cut_lineage(rows.join(test_of, "_row").join(train_of, "_row", "left"))
+    pick = lambda column, names: {key: held.filter(F.array_contains(column, i)).select(*df.columns) for i, key in enumerate(product(*(keys[k] for k in names)))}
+    return pick("_train", by), pick("_test", ["seed", "held"])
+
+
+def _scored_together(scored: Sequence[DataFrame]) -> list[dict[str, Any]]:
+    """``_scores`` of many written (y, p) tables of a classification, in one grouped job each."""
+    rows = reduce(DataFrame.unionByName, [s.withColumn("_k", F.lit(k)) for k, s in enumerate(scored)])
+    both = metrics.threshold_scores(rows, ["_k"], names=CLASS_SCORES).join(metrics.roc_auc(rows, ["_k"]), "_k")
+    got = {r["_k"]: {c: v for c, v in r.asDict().items() if c != "_k"} for r in both.collect()}
+    return [got[k] if k in got else _scores(s.withColumnRenamed("y", "label"), "classification") for k, s in enumerate(scored)]
 
 
 def low_data_curves(df: DataFrame, models: Sequence[str], seeds: Sequence[int] = (42, 123, 456), folds: int = 5, fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75)) -> DataFrame:
-    records = []
-    for s, f, train, test in _seeded_folds(df, folds, seeds):
-        nested = cut_lineage(split.learning_fractions(train, "label", fractions=fractions, seed=s))
-        for frac, m in product(fractions, models):
-            rows = sample.undersample(nested.filter(F.col("fraction") == frac).drop("fraction"), "label", seed=s)
-            began = time.time()
-            got = _scores(learners.make(m).fit(cut_lineage(rows)).transform(test), "classification")
-            records.append({"model": m, "seed": s, "fold": f + 1, "fraction": frac, "roc_auc": got["roc_auc"], "balanced_accuracy": got["balanced_accuracy"], "seconds": time.time() - began})
-    return _table(df.sparkSession, records)
+    """Scores per learner, seed, fold and share of the training rows; ``seconds`` are those of the fit and of
+    the predictions."""
+    train, test = _seeded_sets(df, folds, seeds, fractions)
+    records, scored = [], []
+    for s, f, frac, m in product(seeds, range(folds), fractions, models):
+        began = time.time()
+        fitted = learners.make(m).fit(cut_lineage(train[s, f, frac]))
+        scored.append(cut_lineage(fitted.transform(test[s, f]).select(F.col("label").alias("y"), "p")))
+        records.append({"model": m, "seed": s, "fold": f + 1, "fraction": frac, "seconds": time.time() - began})
+    names = ("model", "seed", "fold", "fraction", "roc_auc", "balanced_accuracy", "seconds")
+    both = [{**r, **got} for r, got in zip(records, _scored_together(scored), strict=True)]
+    return _table(df.sparkSession, [{c: r[c] for c in names} for r in both])
 
 
 def descriptor_benchmark(tables: Mapping[str, DataFrame], models: Sequence[str], seeds: Sequence[int] = (42, 123, 456), folds: int = 5, done: DataFrame | None = None) -> DataFrame:
@@ -215,19 +249,23 @@ def descriptor_benchmark(tables: Mapping[str, DataFrame], models: Sequence[str],
     ``done`` holds finished (descriptor, seed, fold) records to leave out.
     """
     finished = set() if done is None else {tuple(r) for r in done.select("descriptor", "seed", "fold").distinct().collect()}
-    records = []
+    records, scored = [], []
     for name, df in tables.items():
-        for s, f, train, test in _seeded_folds(df, folds, seeds):
-            if (name, s, f + 1) in finished:
-                continue
-            train, test = standardised(cut_lineage(sample.undersample(train, "label", seed=s)), test)
+        todo = [(s, f) for s, f in product(seeds, range(folds)) if (name, s, f + 1) not in finished]
+        if not todo:
+            continue
+        train_sets, test_sets = _seeded_sets(df, folds, seeds)
+        for s, f in todo:
+            train, test = standardised(cut_lineage(train_sets[s, f]), test_sets[s, f])
             train, test = cut_lineage(train), cut_lineage(test)
             sizes = {"train_size": train.count(), "test_size": test.count()}
             for m in models:
                 began = time.time()
-                got = _scores(learners.make(m).fit(train).transform(test), "classification")
-                records.append({"descriptor": name, "model": m, "seed": s, "fold": f + 1, **sizes, "seconds": time.time() - began, **got})
-    return _table(next(iter(tables.values())).sparkSession, records)
+                fitted = learners.make(m).fit(train)
+                scored.append(cut_lineage(fitted.transform(test).select(F.col("label").alias("y"), "p")))
+                records.append({"descriptor": name, "model": m, "seed": s, "fold": f + 1, **sizes, "seconds": time.time() - began})
+    both = [{**r, **got} for r, got in zip(records, _scored_together(scored) if scored else [], strict=True)]
+    return _table(next(iter(tables.values())).sparkSession, both)
 
 
 def classification_benchmark(tables: Mapping[str, DataFrame], labels: DataFrame, models: Sequence[str], strategy: str | None = None) -> DataFrame:
