@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_slot, seeded_key
 from ..functions.vectors import let
-from ..session import cut_lineage
+from ..session import cut_lineage, planned_bytes
 from .ranking import ordered_rank
 
 PAD, OTHER = 0, 1
@@ -138,6 +140,50 @@ def context_tokens(df: DataFrame, tokens: str, id_col: str = "id") -> DataFrame:
     return rows.select(id_col, "pos", F.concat_ws("_", "_token", around).alias("context"))
 
 
+def count_rare(df: DataFrame, word: str, chunk_rows: int = 1 << 20) -> DataFrame:
+    """(word, n) for words that mostly come once, so that counting them before the shuffle spares few rows.
+
+    A task counts ``chunk_rows`` words at a time and sends those of one slot, a share of all words by hash,
+    as one sorted text, which packs well.  The slots grow in number with the input, and each is counted on
+    its own, so that nothing outgrows memory.  Words are neither null nor hold a space.
+    """
+    slots = max(1, min(1 << 15, planned_bytes(df) >> 20))
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches).group_by("word", use_threads=False).aggregate([("slot", "min"), ([], "count_all")])
+        words, slot = t["word"].combine_chunks(), t["slot_min"].to_numpy().astype("int16")
+        if words.null_count or pc.any(pc.match_substring(words, " ")).as_py():
+            raise ValueError("words to count must not be null or hold a space")
+        order = pc.sort_indices(words).to_numpy()
+        order = order[np.argsort(slot[order], kind="stable")]
+        slot = slot[order]
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        edges = pa.array(np.r_[first, len(slot)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(edges, words.take(pa.array(order))), " ")
+        n = pa.ListArray.from_arrays(edges, pa.array(t["count_all"].to_numpy()[order]))
+        return pa.RecordBatch.from_arrays([pa.array(slot[first].astype("int32")), texts, n], ["slot", "words", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= chunk_rows:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    def add(t: pa.Table) -> pa.Table:
+        words, n = pc.list_flatten(pc.split_pattern(t["words"], " ")), pc.list_flatten(t["n"])
+        total = pa.table({"word": words, "n": n}).group_by("word", use_threads=False).aggregate([("n", "sum")]).sort_by("word")
+        return pa.table({word: total["word"], "n": total["n_sum"]})
+
+    slot = F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
+    sent = df.select(slot.alias("slot"), F.col(word).alias("word")).mapInArrow(pack, "slot int, words string, n array<bigint>")
+    return sent.groupBy("slot").applyInArrow(add, f"`{word}` string, n bigint")
+
+
 def pattern_flags(df: DataFrame, text: str, patterns: Mapping[str, str]) -> DataFrame:
     """One 0/1 column per named regular expression."""
     return df.withColumns({name: F.col(text).rlike(rx).cast("int") for name, rx in patterns.items()})

@@ -336,7 +336,7 @@ def _(spark, d):
     + "SELECT context, count(*) AS n FROM ctx GROUP BY context",
 )
 def _(spark, d):
-    return tokens.context_tokens(fx.texts(spark, d), "tokens").groupBy("context").agg(F.count("*").alias("n"))
+    return tokens.count_rare(tokens.context_tokens(fx.texts(spark, d), "tokens"), "context")
 
 
 # Named text patterns used as multi-hot flags (fixed values).
