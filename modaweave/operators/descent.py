@@ -25,8 +25,9 @@ from .linalg import plain_width, project
 from .neighbours import _prepare, pairwise
 from .ranking import ordered_rank, top_per_group
 
-#: Bytes of vectors that the gatherings of a part may name, rows of a part at least, candidates held at once.
-PART_BYTES = 192 << 20
+#: Bytes of vectors and candidates that the gatherings of a part may name, rows of a part at least, candidates
+#: added before they are cut to each row's best.
+PART_BYTES = 256 << 20
 LEAST_ROWS = 512
 HELD = 1 << 21
 
@@ -149,7 +150,8 @@ def descent_knn(df: DataFrame, k: int, vec: str = "features", id_col: str = "id"
     # Vectors travel as floats where that loses nothing.
     short = rows.agg(F.min(F.forall("vec", lambda v: v.cast("float").cast("double").eqNullSafe(v)))).first()[0]
     number = "<f4" if short else "<f8"
-    hubs = max(1, part_bytes // (2 * k * max(1, width) * np.dtype(number).itemsize))
+    # A gathering names some 2 k rows, each with a vector and up to k candidates of 24 bytes.
+    hubs = max(1, part_bytes // (2 * k * (width * np.dtype(number).itemsize + 24 * k)))
     parts = max(-(-n // hubs), min(2 * spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
     size = -(-n // parts)
     place = F.expr(f"cast(at div {size} as int)")

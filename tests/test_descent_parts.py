@@ -39,7 +39,7 @@ def test_only_pairs_below_the_kth_are_sent(held, monkeypatch):
 def test_many_parts_find_as_much(spark):
     x = RNG.normal(size=(600, 12)) + 4 * RNG.normal(size=(20, 12))[RNG.integers(0, 20, 600)]
     df = table(spark, x, RNG.permutation(10_000)[:600] - 5000)
-    found = descent.descent_knn(df, 6, metric="euclidean", part_bytes=1 << 18).cache()  # 14 parts of at most 43 rows
+    found = descent.descent_knn(df, 6, metric="euclidean", part_bytes=1 << 21).cache()  # 15 parts of 40 rows
     row = descent.recall(found, knn(df, 6, metric="euclidean"), 1e-7).first()
     assert row.recall >= 0.97 and row.entries == 600 * 6
     ranks = found.groupBy("query").agg(F.sort_array(F.collect_list("rank")).alias("r")).select("r").distinct().collect()
